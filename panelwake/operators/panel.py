@@ -47,31 +47,21 @@ def masked(available: Column, value: Column) -> Column:
     return F.when(available, F.coalesce(value, F.lit(0)))
 
 
-def history(spine: DataFrame, facts: dict[str, DataFrame], entity: str, period: str) -> DataFrame:
+def history(spine: DataFrame, facts: list[DataFrame], entity: str, period: str) -> DataFrame:
     """Spine rows and per-period facts on one axis, one row per (entity, period).
 
-    Each fact table has the entity, the period it happened in and a column `n`. Facts of periods the
-    spine lacks stay, marked by in_spine = 0, because later periods count them.
+    A fact table has the entity, the period it happened in and any number of count columns. Facts of
+    periods the spine lacks stay, marked by in_spine = 0, because later periods count them.
     """
     labels = [c for c in spine.columns if c not in (entity, period)]
-    names = list(facts)
-    stacked = spine.select(
-        entity, period, F.lit(1).alias("in_spine"), *labels, *[F.lit(0).alias(n) for n in names]
-    )
-    for name, fact in facts.items():
-        stacked = stacked.unionByName(
-            fact.select(
-                entity,
-                period,
-                F.lit(0).alias("in_spine"),
-                *[F.lit(None).cast(spine.schema[c].dataType).alias(c) for c in labels],
-                *[(F.col("n") if n == name else F.lit(0)).alias(n) for n in names],
-            )
-        )
+    names = [c for f in facts for c in f.columns if c not in (entity, period)]
+    stacked = spine.withColumn("in_spine", F.lit(1))
+    for fact in facts:
+        stacked = stacked.unionByName(fact, allowMissingColumns=True)
     return stacked.groupBy(entity, period).agg(
-        F.max("in_spine").alias("in_spine"),
+        F.coalesce(F.max("in_spine"), F.lit(0)).alias("in_spine"),
         *[F.max(c).alias(c) for c in labels],
-        *[F.sum(n).alias(n) for n in names],
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names],
     )
 
 
@@ -105,42 +95,57 @@ def trailing_sum(entity: str, period: str, fact: str, periods: int) -> Column:
     return F.coalesce(F.sum(fact).over(span(entity, period, periods, 1)), F.lit(0))
 
 
-def owner_rates(
+def own_sums(entity: str, period: str, label: str) -> dict[str, Column]:
+    """Rows and positives of the entity itself in earlier periods."""
+    earlier = before(entity, period)
+    return {
+        "_own_n": F.coalesce(F.count(label).over(earlier), F.lit(0)),
+        "_own_p": F.coalesce(F.sum(label).over(earlier), F.lit(0)),
+    }
+
+
+def owner_history(
     spine: DataFrame, owners: DataFrame, entity: str, period: str, label: str, owner: str
 ) -> DataFrame:
-    """Portfolio size and the owner's earlier positive rate without the entity's own rows."""
-    size = owners.where(F.col(owner).isNotNull()).groupBy(owner).agg(
-        F.count("*").alias("portfolio_size")
-    )
-    rows = spine.select(entity, period, label).join(owners.select(entity, owner), entity, "left")
-    earlier = before(entity, period)
-    own = rows.withColumns(
-        {
-            "_own_n": F.coalesce(F.count(label).over(earlier), F.lit(0)),
-            "_own_p": F.coalesce(F.sum(label).over(earlier), F.lit(0)),
-        }
-    )
-    by_owner = (
-        rows.where(F.col(owner).isNotNull())
+    """Per (owner, period): panel rows and positives of all earlier periods."""
+    per_period = (
+        spine.select(entity, period, label)
+        .join(owners.where(F.col(owner).isNotNull()).select(entity, owner), entity)
         .groupBy(owner, period)
         .agg(F.count("*").alias("n"), F.sum(label).alias("p"))
     )
     running = before(owner, period)
-    by_owner = by_owner.select(
+    return per_period.select(
         owner,
         period,
         F.coalesce(F.sum("n").over(running), F.lit(0)).alias("_all_n"),
         F.coalesce(F.sum("p").over(running), F.lit(0)).alias("_all_p"),
     )
-    out = own.join(by_owner, [owner, period], "left").join(size, owner, "left")
+
+
+def owner_sizes(owners: DataFrame, owner: str) -> DataFrame:
+    return owners.where(F.col(owner).isNotNull()).groupBy(owner).agg(
+        F.count("*").alias("portfolio_size")
+    )
+
+
+def loo_rate() -> Column:
+    """The owner's earlier positive rate over its other entities; NULL without any."""
     others = F.col("_all_n") - F.col("_own_n")
-    return out.select(
-        entity,
-        period,
-        owner,
-        "portfolio_size",
-        numeric.ratio(F.col("_all_p") - F.col("_own_p"), others).alias("portfolio_loo_rate"),
+    return numeric.ratio(F.col("_all_p") - F.col("_own_p"), others)
+
+
+def owner_rates(
+    spine: DataFrame, owners: DataFrame, entity: str, period: str, label: str, owner: str
+) -> DataFrame:
+    """Portfolio size and leave-one-out rate on the spine."""
+    rows = spine.select(entity, period, label).withColumns(own_sums(entity, period, label))
+    out = (
+        rows.join(owners.select(entity, owner), entity, "left")
+        .join(owner_history(spine, owners, entity, period, label, owner), [owner, period], "left")
+        .join(owner_sizes(owners, owner), owner, "left")
     )
+    return out.select(entity, period, owner, "portfolio_size", loo_rate().alias("portfolio_loo_rate"))
 
 
 @dataclass(frozen=True)
@@ -291,89 +296,82 @@ def availability(season: Column, floor: dt.date) -> dict[str, Column]:
     }
 
 
-def masked_complaints(spine: DataFrame, windows: DataFrame, entity: str, floor: dt.date) -> DataFrame:
-    """Complaint windows on the spine: 0 where covered and empty, NULL where not covered."""
+def complaint_columns(floor: dt.date) -> dict[str, Column]:
+    """Masked complaint features of a frame joined to complaint_windows."""
     av = availability(F.col("season"), floor)
-    out = spine.join(windows, [entity, "season"], "left")
     days = F.col("days_ps")
-    return out.select(
-        entity,
-        "season",
-        *[av[k].cast("int").alias(f"c6_available_{k}") for k in ("ps", "t365", "t730")],
-        masked(av["ps"], F.col("evt_ps")).cast("double").alias("c6_evt_ps"),
-        masked(av["ps"], days).cast("double").alias("c6_days_ps"),
-        F.when(av["ps"], numeric.ratio(F.col("evt_ps"), days)).alias("c6_dup_intensity_ps"),
-        masked(av["t365"], F.col("evt_t365")).cast("double").alias("c6_evt_t365"),
-        masked(av["t730"], F.col("evt_t730")).cast("double").alias("c6_evt_t730"),
-    )
+    return {
+        **{f"c6_available_{k}": av[k].cast("int") for k in ("ps", "t365", "t730")},
+        "c6_evt_ps": masked(av["ps"], F.col("evt_ps")).cast("double"),
+        "c6_days_ps": masked(av["ps"], days).cast("double"),
+        "c6_dup_intensity_ps": F.when(av["ps"], numeric.ratio(F.col("evt_ps"), days)),
+        "c6_evt_t365": masked(av["t365"], F.col("evt_t365")).cast("double"),
+        "c6_evt_t730": masked(av["t730"], F.col("evt_t730")).cast("double"),
+    }
 
 
-def masked_problems(
-    spine: DataFrame, windows: DataFrame, entity: str, floor: dt.date, units: str
-) -> DataFrame:
-    """Problem windows on a spine that carries the unit count."""
+def gap_columns(floor: dt.date) -> dict[str, Column]:
+    """Masked gap features of a frame joined to gap_features."""
+    av = availability(F.col("season"), floor)["t730"]
+    return {
+        "c6_gap_median_t730": F.when(av, F.col("gap_median")),
+        "c6_gap_min_t730": F.when(av, F.col("gap_min")),
+        "c6_days_since_last_t730": F.when(av, F.col("days_since_last")),
+    }
+
+
+def problem_columns(floor: dt.date, units: str) -> dict[str, Column]:
+    """Masked problem features of a frame joined to problem_windows and the unit count."""
     av = availability(F.col("season"), floor)
-    out = spine.join(windows, [entity, "season"], "left")
     apts = F.coalesce("apts_ps", F.lit(0))
-    return out.select(
-        entity,
-        "season",
-        av["ps"].cast("int").alias("c7_available_ps"),
-        av["t730"].cast("int").alias("c7_available_t730"),
-        masked(av["ps"], F.col("apts_ps")).cast("double").alias("c7_apts_ps"),
-        F.when(av["ps"], numeric.ratio(apts, F.col(units))).alias("c7_apt_share_ps"),
-        masked(av["ps"], F.col("evt_all_ps")).cast("double").alias("c7_evt_all_ps"),
-        masked(av["ps"], F.col("evt_n_ps")).cast("double").alias("c7_evt_dedupN_ps"),
-        F.when(
-            av["ps"], 1.0 - numeric.ratio(F.col("evt_n_ps"), F.col("evt_all_ps"))
-        ).alias("c7_dupflag_share_ps"),
-        masked(av["t730"], F.col("apts_t730")).cast("double").alias("c7_apts_t730"),
-    )
+    flagged = 1.0 - numeric.ratio(F.col("evt_n_ps"), F.col("evt_all_ps"))
+    return {
+        "c7_available_ps": av["ps"].cast("int"),
+        "c7_available_t730": av["t730"].cast("int"),
+        "c7_apts_ps": masked(av["ps"], F.col("apts_ps")).cast("double"),
+        "c7_apt_share_ps": F.when(av["ps"], numeric.ratio(apts, F.col(units))),
+        "c7_evt_all_ps": masked(av["ps"], F.col("evt_all_ps")).cast("double"),
+        "c7_evt_dedupN_ps": masked(av["ps"], F.col("evt_n_ps")).cast("double"),
+        "c7_dupflag_share_ps": F.when(av["ps"], flagged),
+        "c7_apts_t730": masked(av["t730"], F.col("apts_t730")).cast("double"),
+    }
 
 
-def masked_gaps(spine: DataFrame, gaps: DataFrame, entity: str, floor: dt.date) -> DataFrame:
-    av = availability(F.col("season"), floor)["t730"]
-    return spine.join(gaps, [entity, "season"], "left").select(
-        entity,
-        "season",
-        F.when(av, F.col("gap_median")).alias("c6_gap_median_t730"),
-        F.when(av, F.col("gap_min")).alias("c6_gap_min_t730"),
-        F.when(av, F.col("days_since_last")).alias("c6_days_since_last_t730"),
-    )
+def on_spine(spine: DataFrame, windows: DataFrame, entity: str, columns: dict[str, Column]) -> DataFrame:
+    """One window family on the spine: 0 where covered and empty, NULL where not covered."""
+    out = spine.join(windows, [entity, "season"], "left")
+    return out.select(entity, "season", *[c.alias(n) for n, c in columns.items()])
 
 
 def history_features(
-    spine: DataFrame,
-    incidents: DataFrame,
-    context: dict[str, DataFrame],
-    complaints: DataFrame,
-    entity: str,
-    spec: PanelSpec,
+    spine: DataFrame, incidents: DataFrame, yearly: DataFrame, entity: str, spec: PanelSpec
 ) -> DataFrame:
     """Label, count, context and yearly complaint history: one shuffle, one sort, many frames.
 
-    Every fact table has (entity, season, n); for yearly facts `season` holds the calendar year, so
-    'season - 1' means the last full year before the cutoff year.
+    `incidents`: entity, season, inc. `yearly`: entity, season, cmp and one ctx_<class> per class,
+    where `season` holds the calendar year, so 'season - 1' means the last full year before the cutoff
+    year.
     """
     p = "season"
-    facts = {"_inc": incidents, "_cmp": complaints} | {f"_ctx_{c}": t for c, t in context.items()}
-    rows = history(spine.select(entity, p, "label_c", "label_bc"), facts, entity, p)
+    rows = history(spine.select(entity, p, "label_c", "label_bc"), [incidents, yearly], entity, p)
     after_first = F.col(p) > spec.first_season
     has_year = F.col(p) - 1 >= spec.complaint_first_year
     cols = label_history(entity, p, "label_c", spec.first_season)
-    inc = prior_and_total(entity, p, "_inc", "x", after_first)
+    inc = prior_and_total(entity, p, "inc", "x", after_first)
     cols |= {"viol_cnt_prior1": inc["x_prior1"], "viol_cnt_prior_cum": inc["x_cum"]}
-    rows = rows.withColumn("_ctx_total", sum((F.col(f"_ctx_{c}") for c in context), F.lit(0)))
-    for c in [*context, "total"]:
-        cols |= prior_and_total(entity, p, f"_ctx_{c}", f"ctx_{c.lower()}")
-    cmp = prior_and_total(entity, p, "_cmp", "x", has_year)
+    names = [c.lower() for c in spec.classes]
+    rows = rows.withColumn("ctx_total", sum((F.col(f"ctx_{c}") for c in names), F.lit(0)))
+    for c in [*names, "total"]:
+        cols |= prior_and_total(entity, p, f"ctx_{c}", f"ctx_{c}")
+    cmp = prior_and_total(entity, p, "cmp", "x", has_year)
     cols |= {
         "c311_available": has_year.cast("int"),
         "c311_prior1": cmp["x_prior1"],
         "c311_prior_cum": cmp["x_cum"],
     }
-    keep = [entity, p, *cols, "label_c", "label_bc"]
-    return rows.withColumns(cols).where(F.col("in_spine") == 1).select(*keep)
+    own = own_sums(entity, p, "label_c")
+    keep = [entity, p, *cols, *own, "label_c", "label_bc"]
+    return rows.withColumns(cols | own).where(F.col("in_spine") == 1).select(*keep)
 
 
 FEATURE_TYPES = {"c311_available": "int", "prewar": "int", "bldgclass_1": "string", "borough": "string"}
@@ -382,8 +380,7 @@ FEATURE_TYPES = {"c311_available": "int", "prewar": "int", "bldgclass_1": "strin
 def feature_frame(
     spine: DataFrame,
     incidents: DataFrame,
-    context: dict[str, DataFrame],
-    complaints: DataFrame,
+    yearly: DataFrame,
     complaint_events: DataFrame,
     problem_events: DataFrame,
     lots: DataFrame,
@@ -395,43 +392,35 @@ def feature_frame(
 
     `lots`: entity, yearbuilt, unitsres, unitstotal, numfloors, bldgclass_1, borough.
     `owners`: entity, owner_key. Event tables: entity, ts; problem events also sub_key, is_sub, flag.
-    Every family is keyed by (entity, season) and joined on it.
+    Every family has one row per (entity, season) and joins on it; the masks are applied at the end.
     """
     keys = [entity, "season"]
-    base = history_features(spine, incidents, context, complaints, entity, spec)
-    units = spine.select(*keys).join(lots.select(entity, "unitstotal"), entity, "left")
-    c6 = masked_complaints(
-        spine.select(*keys), complaint_windows(complaint_events, entity, "ts"), entity, spec.complaint_floor
-    )
-    gaps = masked_gaps(
-        spine.select(*keys), gap_features(complaint_events, entity, "ts", SEASONS, 730), entity, spec.complaint_floor
+    c6 = complaint_windows(complaint_events, entity, "ts")
+    gaps = gap_features(complaint_events, entity, "ts", SEASONS, 730).drop("events")
+    c7 = problem_windows(problem_events, entity, "ts", "sub_key", F.col("is_sub"), F.col("flag") == "N")
+    rows = history_features(spine, incidents, yearly, entity, spec)
+    for part in (c6, gaps, c7):
+        rows = rows.join(part, keys, "left")
+    rows = (
+        rows.join(lots, entity, "left")
+        .join(owners.select(entity, "owner_key"), entity, "left")
+        .join(owner_history(spine, owners, entity, "season", "label_c", "owner_key"), ["owner_key", "season"], "left")
+        .join(owner_sizes(owners, "owner_key"), "owner_key", "left")
     )
-    c7 = masked_problems(
-        units,
-        problem_windows(
-            problem_events, entity, "ts", "sub_key", F.col("is_sub"), F.col("flag") == "N"
-        ),
-        entity,
-        spec.complaint_floor,
-        "unitstotal",
-    )
-    portfolio = owner_rates(spine, owners, entity, "season", "label_c", "owner_key").drop("owner_key")
-    out = base.join(lots, entity, "left")
-    for part in (portfolio, c6, gaps, c7):
-        out = out.join(part, keys)
     year = F.col("yearbuilt")
-    out = out.withColumns(
-        {
-            "building_age": F.col("season") - numeric.positive(year),
-            "prewar": F.coalesce(numeric.prewar(year), F.lit(0)),
-        }
-    )
-    fixed = fixed_features(context)
-    tail = [c for c in out.columns if c.startswith(("c6_", "c7_"))]
-    ordered = [c for c in fixed + tail]
-    return out.select(
+    tail = complaint_columns(spec.complaint_floor) | gap_columns(spec.complaint_floor)
+    tail |= problem_columns(spec.complaint_floor, "unitstotal")
+    derived = {
+        "building_age": F.col("season") - numeric.positive(year),
+        "prewar": F.coalesce(numeric.prewar(year), F.lit(0)),
+        "portfolio_loo_rate": loo_rate(),
+    }
+    names = fixed_features(spec.classes) + list(tail)
+    known = derived | tail
+    typed = lambda c: FEATURE_TYPES.get(c, "int" if "available" in c else "double")
+    return rows.select(
         *keys,
-        *[F.col(c).cast(FEATURE_TYPES.get(c, "int" if "available" in c else "double")).alias(c) for c in ordered],
+        *[known.get(c, F.col(c)).cast(typed(c)).alias(c) for c in names],
         "label_c",
         "label_bc",
     )

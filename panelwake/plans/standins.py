@@ -112,29 +112,32 @@ def spine(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def season_counts(spark: SparkSession, folder: str, flag: str, status: str | None = None) -> DataFrame:
-    """Events per (entity, season), in-season only."""
-    cond = F.col("l_returnflag") == flag
-    if status:
-        cond = cond & (F.col("l_linestatus") == status)
+def season_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """In-season incidents of the counted class per (entity, season)."""
+    back = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")
     return (
         lineitem(spark, folder)
-        .where(cond)
+        .where(back)
         .groupBy(
             F.col("l_partkey").alias("key"), calendar.season_of(F.to_date("l_shipdate")).alias("season")
         )
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("inc"))
         .where(F.col("season").isNotNull())
     )
 
 
-def year_counts(spark: SparkSession, folder: str, flag: str, first_year: int) -> DataFrame:
-    """Events per (entity, calendar year) from a first year on; the year sits in `season`."""
+def year_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Events per (entity, calendar year), by class and as complaints; the year sits in `season`."""
+    year = F.year("l_shipdate")
+    flag = F.col("l_returnflag")
     return (
         lineitem(spark, folder)
-        .where((F.col("l_returnflag") == flag) & (F.year("l_shipdate") >= first_year))
-        .groupBy(F.col("l_partkey").alias("key"), F.year("l_shipdate").alias("season"))
-        .agg(F.count("*").alias("n"))
+        .where(year >= SPEC.context_first_year)
+        .groupBy(F.col("l_partkey").alias("key"), year.alias("season"))
+        .agg(
+            *[F.count_if(flag == c).alias(f"ctx_{c.lower()}") for c in SPEC.classes],
+            F.count_if((flag == "N") & (year >= SPEC.complaint_first_year)).alias("cmp"),
+        )
     )
 
 
