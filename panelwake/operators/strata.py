@@ -69,20 +69,24 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 def log_histogram(df: DataFrame, group: str, value: str, bins: int, top: Column) -> DataFrame:
     """Counts and densities on `bins` log-spaced bins over [1, top]; the last bin is closed."""
     width = F.log10(top) / F.lit(float(bins))
-    at = F.least(F.floor(F.log10(F.col(value)) / width), F.lit(bins - 1)).cast("int")
+    df = df.withColumn("_w", width)
+    at = F.least(F.floor(F.log10(F.col(value)) / F.col("_w")), F.lit(bins - 1)).cast("int")
     inside = df.where((F.col(value) >= 1) & (F.col(value) <= top))
-    counts = inside.groupBy(group, at.alias("bin")).agg(F.count("*").alias("n"))
+    counts = inside.groupBy(group, at.alias("bin")).agg(F.count("*").alias("n"), F.max("_w").alias("_w"))
     total = F.sum("n").over(W.partitionBy(group))  # at most `bins` rows per group
-    lo, hi = F.pow(F.lit(10.0), F.col("bin") * width), F.pow(F.lit(10.0), (F.col("bin") + 1) * width)
-    return counts.withColumn("density", F.col("n") / (total * (hi - lo)))
+    edge = lambda i: F.pow(F.lit(10.0), i * F.col("_w"))
+    size = edge(F.col("bin") + 1) - edge(F.col("bin"))
+    return counts.withColumn("density", F.col("n") / (total * size)).drop("_w")
 
 
 def linear_histogram(df: DataFrame, group: str, value: str, bins: int, lo: Column, hi: Column) -> DataFrame:
     """Counts and densities on `bins` equal bins over [lo, hi] per group; the last bin is closed."""
-    width = (hi - lo) / F.lit(float(bins))
-    at = F.least(F.floor((F.col(value) - lo) / width), F.lit(bins - 1)).cast("int")
+    df = df.withColumn("_w", (hi - lo) / F.lit(float(bins)))
+    at = F.least(F.floor((F.col(value) - lo) / F.col("_w")), F.lit(bins - 1)).cast("int")
     counts = (
-        df.where(F.col(value).isNotNull()).groupBy(group, at.alias("bin")).agg(F.count("*").alias("n"))
+        df.where(F.col(value).isNotNull())
+        .groupBy(group, at.alias("bin"))
+        .agg(F.count("*").alias("n"), F.max("_w").alias("_w"))
     )
-    total = F.sum("n").over(W.partitionBy(group))
-    return counts.withColumn("density", F.col("n") / (total * width))
+    total = F.sum("n").over(W.partitionBy(group))  # at most `bins` rows per group
+    return counts.withColumn("density", F.col("n") / (total * F.col("_w"))).drop("_w")

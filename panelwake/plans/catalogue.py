@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-from panelwake.plans import association_queries, ingest_queries, panel_queries  # noqa: F401
+from panelwake.plans import (  # noqa: F401
+    association_queries,
+    ingest_queries,
+    panel_queries,
+    ranking_queries,
+    strata_queries,
+)
 from panelwake.plans.registry import ORACLES, QUERIES  # noqa: F401
