@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwake.functions.numeric import log_choose
-from panelwake.operators.order import prefix_sums, split_points
+from panelwake.operators.order import prefix_sums, quantiles, split_points
 
 # Cut-offs of the report.
 TOP_K = [100, 250, 500, 1000, 2500]
@@ -118,9 +118,9 @@ def rank_percentiles(
 
 
 def sign_test(deltas: DataFrame, groups: list[str], delta: str, alpha: float = 0.05) -> DataFrame:
-    """One-sided exact sign test of 'median delta <= 0'; zero deltas are dropped and counted.
+    """One-sided exact sign test of 'median delta <= 0' per group; zero deltas are dropped and counted.
 
-    The upper binomial tail is summed over its terms as rows.
+    The binomial tail is summed over its terms as rows, the median comes from prefix sums.
     """
     d = F.col(delta)
     facts = deltas.groupBy(*groups).agg(
@@ -128,8 +128,8 @@ def sign_test(deltas: DataFrame, groups: list[str], delta: str, alpha: float = 0
         F.count_if(d == 0).alias("n_dropped_zero"),
         F.count_if(d != 0).alias("n_signtest"),
         F.count_if(d > 0).alias("n_positive"),
-        F.percentile(d, F.lit(0.5)).alias("median_delta"),
     )
+    median = quantiles(deltas, groups, delta, [0.5]).select(*groups, F.col("q0").alias("median_delta"))
     n, k = F.col("n_signtest"), F.col("n_positive")
     # past the centre the short tail is summed, before it the complement
     upper = k * 2 > n
@@ -141,16 +141,15 @@ def sign_test(deltas: DataFrame, groups: list[str], delta: str, alpha: float = 0
         "n_signtest"
     ) * math.log(2.0)
     tail = terms.groupBy(*groups).agg(F.sum(F.exp(log_p)).alias("_tail"))
-    joined = facts.join(tail, groups, "left") if groups else _attach(facts, tail)
     t = F.coalesce("_tail", F.lit(0.0))
     p = F.when(n > 0, F.when(upper, t).otherwise(1.0 - t))
-    return joined.withColumn("p_one_sided", p).withColumn(
-        "reject", F.col("p_one_sided") < alpha
-    ).drop("_tail")
-
-
-def _attach(facts: DataFrame, tail: DataFrame) -> DataFrame:
-    return facts.withColumn("_tail", tail.select("_tail").scalar())
+    return (
+        facts.join(median, groups, "left")
+        .join(tail, groups, "left")
+        .withColumn("p_one_sided", p)
+        .withColumn("reject", F.col("p_one_sided") < alpha)
+        .drop("_tail")
+    )
 
 
 def lexicographic_best(metrics: DataFrame, order: list[Column], margin_of: str, n: int = 2) -> DataFrame:

@@ -11,6 +11,7 @@ from panelwake.operators import order, ranking
 from panelwake.plans import standins as st
 from panelwake.plans.panel_queries import COUNT_SQL, LABEL_SQL, baseline_scores, first_events
 from panelwake.plans.registry import query
+from panelwake.session import durable
 from panelwake.sources.landing import read_table
 
 SEED = 42
@@ -83,7 +84,10 @@ def ranking_report(spark, folder):
 
 
 def scored_panel(spark, folder) -> DataFrame:
-    """Two baseline scores in long form with label and zero-history flag."""
+    """Two baseline scores in long form with label and zero-history flag.
+
+    Kept durable: split points and metrics read it several times.
+    """
     flags = ranking.zero_history(
         st.spine(spark, folder).select("key", "season", "label_c"),
         first_events(spark, folder),
@@ -92,7 +96,7 @@ def scored_panel(spark, folder) -> DataFrame:
     ).select("key", "season", "label_c", "zero_history")
     wide = baseline_scores(spark, folder).join(flags, ["key", "season"])
     model = lambda m: F.struct(F.lit(m).alias("model"), F.col(m).alias("score"))
-    return (
+    return durable(
         wide.where(F.col("season").between(st.FIRST_SEASON, st.LAST_SEASON))
         .select(
             "key",
@@ -172,7 +176,9 @@ def silent_entities(spark, folder) -> DataFrame:
 
 def rank_improvement(spark, folder) -> DataFrame:
     """Percentile under one model minus percentile under the other, on the screened entities."""
-    wide = baseline_scores(spark, folder).where(F.col("season").between(st.FIRST_SEASON, st.LAST_SEASON))
+    wide = durable(
+        baseline_scores(spark, folder).where(F.col("season").between(st.FIRST_SEASON, st.LAST_SEASON))
+    )
     screen = silent_entities(spark, folder)
     out = screen.join(wide, ["key", "season"], "left")
     for model in ("persistence", "trailing3"):
@@ -180,8 +186,8 @@ def rank_improvement(spark, folder) -> DataFrame:
             "pct", f"pct_{model}"
         ).drop("avg_rank")
         out = order.lookup_skewed(out, pct, ["season", model], "n", "all_n").drop("n", "all_n")
-    return out.select(
-        "key", "season", (F.col("pct_trailing3") - F.col("pct_persistence")).alias("delta")
+    return durable(
+        out.select("key", "season", (F.col("pct_trailing3") - F.col("pct_persistence")).alias("delta"))
     )
 
 
@@ -190,7 +196,7 @@ def rank_improvement(spark, folder) -> DataFrame:
     st.with_base(
         f""",{PANEL_SCORES_SQL},{SILENT_SQL}
 SELECT CAST(ft.season AS INTEGER) AS season, CAST(n_screen AS BIGINT) AS n_screen, CAST(n_missing AS BIGINT) AS n_missing, CAST(realized_n AS BIGINT) AS realized_n, CAST(z AS BIGINT) AS n_dropped_zero, CAST(n AS BIGINT) AS n_signtest, CAST(k AS BIGINT) AS n_positive,
-  round(CAST(t AS DOUBLE), 6) AS median_delta, round(coalesce(p, 0.0), 6) AS p_one_sided, coalesce(p, 0.0) < 0.05 AS reject FROM ft LEFT JOIN pv ON pv.season = ft.season"""
+  round(CAST(t AS DOUBLE), 6) AS median_delta, CASE WHEN n > 0 THEN round(coalesce(p, 0.0), 6) END AS p_one_sided, CASE WHEN n > 0 THEN coalesce(p, 0.0) < 0.05 END AS reject FROM ft LEFT JOIN pv ON pv.season = ft.season"""
     ),
 )
 def paired_rank_sign_test(spark, folder):
@@ -215,7 +221,7 @@ def paired_rank_sign_test(spark, folder):
         f""",{PANEL_SCORES_SQL},{areas_sql('strat', 'model, season, stratum')},{SILENT_SQL},
 r AS (SELECT avg(p_at_250) FILTER (model = 'trailing3' AND stratum = 'zero') / avg(p_at_250) FILTER (model = 'persistence' AND stratum = 'zero') AS stratum_ratio,
   avg(p_at_250) FILTER (model = 'trailing3' AND stratum = 'all') / avg(p_at_250) FILTER (model = 'persistence' AND stratum = 'all') AS global_ratio FROM metrics),
-t AS (SELECT count(*) FILTER (t > 0 AND coalesce(p, 0.0) < 0.05) AS passed, count(*) AS tested FROM ft LEFT JOIN pv ON pv.season = ft.season)
+t AS (SELECT count(*) FILTER (n > 0 AND t > 0 AND coalesce(p, 0.0) < 0.05) AS passed, count(*) AS tested FROM ft LEFT JOIN pv ON pv.season = ft.season)
 SELECT round(stratum_ratio, 6) AS stratum_ratio, round(global_ratio, 6) AS global_ratio, CASE WHEN stratum_ratio >= 1.35 THEN 'PASS' ELSE 'FAIL' END AS stratum_verdict, CASE WHEN global_ratio >= 0.90 THEN 'PASS' ELSE 'FAIL' END AS global_verdict, CAST(passed AS BIGINT) AS sign_passed, CAST(tested AS BIGINT) AS sign_tested FROM r, t"""
     ),
 )
