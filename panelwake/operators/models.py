@@ -6,7 +6,7 @@ import functools
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -192,60 +192,78 @@ def class_ratio(df: DataFrame, label: str) -> DataFrame:
 # -- logistic baseline ---------------------------------------------------------------------------
 
 
-def logistic_columns(train: DataFrame, numbers: list[str], category: str) -> tuple[dict, list[str]]:
-    """Training medians and category levels; both are small results."""
-    medians = train.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in numbers]).first()
-    levels = sorted(
-        r[0] for r in train.select(F.coalesce(category, F.lit("MISSING"))).distinct().collect()
-    )
-    return medians.asDict(), levels
+def logistic_facts(train: DataFrame, numbers: list[str], category: str) -> dict:
+    """Training medians, category levels, means and deviations; all are small results.
+
+    Ages and unit counts have few distinct values, which keeps the exact median cheap.
+    """
+    row = train.agg(
+        *[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in numbers]
+    ).first()
+    levels = train.select(F.coalesce(category, F.lit("MISSING")).alias("v")).distinct().collect()
+    return {"medians": row.asDict(), "levels": sorted(r["v"] for r in levels)}
 
 
-def logistic_inputs(df: DataFrame, lag: str, medians: dict, category: str, levels: list[str]) -> DataFrame:
+def logistic_inputs(df: DataFrame, lag: str, category: str, facts: dict) -> DataFrame:
+    """Imputed numbers with missing flags, and one-hot levels."""
     cols = {"x_lag": F.col(lag).cast("double")}
-    for c, m in medians.items():
+    for c, m in facts["medians"].items():
         cols[f"x_{c}"] = F.coalesce(F.col(c).cast("double"), F.lit(m))
         cols[f"x_{c}_missing"] = F.col(c).isNull().cast("double")
     flags = {
         f"h_{i}": (F.coalesce(category, F.lit("MISSING")) == level).cast("double")
-        for i, level in enumerate(levels)
+        for i, level in enumerate(facts["levels"])
     }
     return df.withColumns(cols | flags)
 
 
+def standardised(df: DataFrame, facts: dict) -> DataFrame:
+    return df.withColumns({c: (F.col(c) - m) / s for c, (m, s) in facts["scale"].items()})
+
+
 def fit_logistic(
     train: DataFrame, lag: str, numbers: list[str], category: str, label: str
-) -> tuple[PipelineModel, dict, list[str]]:
+) -> tuple[PipelineModel, dict]:
     """L2 logistic regression on standardised numbers and one-hot categories.
 
     The summed-loss objective with unit penalty is Spark's mean-loss one with penalty 1 / rows.
     """
-    medians, levels = logistic_columns(train, numbers, category)
-    ready = logistic_inputs(train, lag, medians, category, levels)
-    numeric_cols = ["x_lag"] + [f"x_{c}{s}" for c in medians for s in ("", "_missing")]
-    rows = train.count()
+    facts = logistic_facts(train, numbers, category)
+    ready = logistic_inputs(train, lag, category, facts)
+    numeric_cols = ["x_lag"] + [f"x_{c}{s}" for c in numbers for s in ("", "_missing")]
+    row = ready.agg(
+        F.count("*").alias("rows"),
+        *[F.avg(c).alias(f"m_{c}") for c in numeric_cols],
+        *[F.stddev_pop(c).alias(f"s_{c}") for c in numeric_cols],
+    ).first()
+    facts["scale"] = {c: (row[f"m_{c}"], row[f"s_{c}"] or 1.0) for c in numeric_cols}
+    inputs = [*numeric_cols, *[f"h_{i}" for i in range(len(facts["levels"]))]]
     pipeline = Pipeline(
         stages=[
-            VectorAssembler(inputCols=numeric_cols, outputCol="_num"),
-            StandardScaler(inputCol="_num", outputCol="_std", withMean=True, withStd=True),
-            VectorAssembler(
-                inputCols=["_std", *[f"h_{i}" for i in range(len(levels))]], outputCol="_x"
-            ),
+            VectorAssembler(inputCols=inputs, outputCol="_x"),
             LogisticRegression(
                 featuresCol="_x",
                 labelCol=label,
                 probabilityCol="_prob",
                 rawPredictionCol="_raw",
                 predictionCol="_pred",
-                regParam=1.0 / rows,
+                regParam=1.0 / row["rows"],
                 elasticNetParam=0.0,
                 standardization=False,
                 maxIter=200,
-                tol=1e-9,
+                tol=1e-6,
             ),
         ]
     )
-    return pipeline.fit(ready), medians, levels
+    return pipeline.fit(standardised(ready, facts)), facts
+
+
+def score_logistic(
+    model: PipelineModel, df: DataFrame, lag: str, category: str, facts: dict, name: str
+) -> DataFrame:
+    return probability(
+        model.transform(standardised(logistic_inputs(df, lag, category, facts), facts)), name
+    )
 
 
 def probability(df: DataFrame, name: str) -> DataFrame:
@@ -285,8 +303,6 @@ def fit_trees(
     trees = GBTClassifier(
         featuresCol="_t",
         labelCol=label,
-        probabilityCol="_prob",
-        rawPredictionCol="_raw",
         predictionCol="_pred",
         maxIter=rounds,
         maxDepth=depth,
@@ -294,6 +310,7 @@ def fit_trees(
         subsamplingRate=subsample,
         seed=seed,
     )
+    trees = trees.setProbabilityCol("_prob").setRawPredictionCol("_raw")
     if weight:
         trees = trees.setWeightCol(weight)
     pipeline = Pipeline(
