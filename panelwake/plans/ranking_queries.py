@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwake.functions import calendar
@@ -298,3 +299,41 @@ def audit_sample(spark, folder):
     """First hundred panel rows and first hundred positive ones, in key order."""
     s = st.spine(spark, folder).select("key", "season", "label_c")
     return ranking.audit_sample(s, F.col("label_c") == 1, ["season", "key"], 100)
+
+
+@query(
+    "ranking_by_tercile",
+    st.with_base(
+        f""",{PANEL_SCORES_SQL},
+tc AS (SELECT p_partkey AS key, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS r, count(*) OVER () AS m FROM part),
+sl AS (SELECT long.model, long.score, long.y, long.tie, CASE WHEN 3 * (r - 1) <= m - 1 THEN 1 WHEN 3 * (r - 1) <= 2 * (m - 1) THEN 2 ELSE 3 END AS tercile FROM long JOIN tc ON tc.key = long.key),{areas_sql('sl', 'model, tercile')}
+SELECT model, CAST(tercile AS INTEGER) AS tercile, {METRICS_OUT} FROM metrics"""
+    ),
+)
+def ranking_by_tercile(spark, folder):
+    """The same metrics on slices by a tercile of an entity attribute."""
+    p = st.parts(spark, folder).select(F.col("p_partkey").alias("key"), "p_retailprice")
+    ranked = order.row_numbers(p, [F.asc("p_retailprice"), F.asc("key")])
+    slices = ranked.select("key", order.tercile(F.col("rank"), F.col("all_rows")).alias("tercile"))
+    rows = scored_panel(spark, folder).join(slices, "key")
+    return st.rounded(
+        ranking.report(rows, ["model", "tercile"], "score", "y", ranking.tie_key(SEED, "season", "key"))
+    )
+
+
+@query(
+    "label_volume",
+    st.with_base(
+        """,
+v AS (SELECT season, count(*) AS rows, sum(label_c) AS positives FROM spine GROUP BY season)
+SELECT CAST(a.season AS INTEGER) AS season, CAST(a.rows AS BIGINT) AS rows, CAST(a.positives AS BIGINT) AS positives, CAST(b.positives AS BIGINT) AS positives_before, round(a.positives::DOUBLE / b.positives, 6) AS ratio FROM v a LEFT JOIN v b ON b.season = a.season - 1"""
+    ),
+)
+def label_volume(spark, folder):
+    """Positives per season against the season before."""
+    v = st.spine(spark, folder).groupBy("season").agg(
+        F.count("*").alias("rows"), F.sum("label_c").alias("positives")
+    )
+    one_back = W.partitionBy(F.lit(0)).orderBy("season").rangeBetween(-1, -1)  # one row per season
+    out = v.withColumn("positives_before", F.max("positives").over(one_back))
+    return st.rounded(out.withColumn("ratio", F.col("positives") / F.col("positives_before")))

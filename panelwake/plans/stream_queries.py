@@ -13,7 +13,7 @@ from panelwake.streaming import feeds
 def ship_stream(spark, folder) -> DataFrame:
     schema = st.lineitem(spark, folder).schema
     raw = feeds.file_stream(spark, folder, schema, "lineitem.parquet")
-    return raw.withColumn("ts", F.col("l_shipdate").cast("timestamp"))
+    return raw.withColumn("ts", feeds.event_time(F.col("l_shipdate")))
 
 
 @query(
@@ -25,3 +25,34 @@ def stream_dedupe(spark, folder):
     rows = ship_stream(spark, folder).select(*st.ROW_ID, "l_returnflag", "ts")
     landed, _ = feeds.drain(feeds.dedupe(rows, "ts", [*st.ROW_ID, "l_returnflag"]), "dedupe")
     return landed.groupBy("l_returnflag", F.year("l_shipdate").alias("year")).agg(F.count("*").alias("rows"))
+
+
+SETTLED = 7  # days before the end of the stream after which results may still change
+
+
+@query(
+    "stream_assoc",
+    st.with_base(
+        """,
+z AS (SELECT max(d) - 7 AS settled FROM li),
+c AS (SELECT i.rid, i.d, count(e.rid) AS n FROM inc i LEFT JOIN evt e ON e.key = i.key AND e.d BETWEEN i.d - 30 AND i.d, z WHERE i.d <= settled GROUP BY i.rid, i.d)
+SELECT CAST(year(d) AS INTEGER) AS year, CAST(count(*) AS BIGINT) AS incidents, CAST(sum(n) AS BIGINT) AS pairs, CAST(count(*) FILTER (n = 0) AS BIGINT) AS silent FROM c GROUP BY 1"""
+    ),
+)
+def stream_assoc(spark, folder):
+    """Association of incidents with the events of the 30 days before, as a stream-stream join."""
+    rows = ship_stream(spark, folder).withColumnRenamed("l_partkey", "key")
+    side = lambda flag: rows.where(F.col("l_returnflag") == flag).select("key", "ts")
+    landed, _ = feeds.drain(feeds.associate(side("R"), side("N"), "key", "ts", 30), "assoc")
+    last = st.lineitem(spark, folder).agg(F.date_sub(F.to_date(F.max("l_shipdate")), SETTLED).alias("d"))
+    per_day = (
+        landed.where(F.col("day") <= last.scalar())
+        .groupBy("key", "day")
+        .agg(F.max("incidents").alias("incidents"), F.sum("events").alias("events"))
+    )
+    n = F.col("incidents")
+    return per_day.groupBy(F.year("day").alias("year")).agg(
+        F.sum(n).alias("incidents"),
+        F.sum(n * F.col("events")).alias("pairs"),
+        F.sum(F.when(F.col("events") == 0, n).otherwise(0)).alias("silent"),
+    )

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from panelwake.functions.calendar import epoch_micros
 from panelwake.session import scratch_path
 
 
@@ -20,6 +21,16 @@ def file_stream(
     return reader.parquet(folder)
 
 
+def event_time(ts: Column) -> Column:
+    """A zone-less time as an event time; its clock is read as UTC, whatever the session zone."""
+    return F.timestamp_micros(epoch_micros(ts))
+
+
+def event_day(t: Column) -> Column:
+    """Calendar day of such an event time."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(t) / 86400000000).cast("int"))
+
+
 def dedupe(stream: DataFrame, ts: str, key: list[str], delay: str = "2 days") -> DataFrame:
     """First arrival per key; keys are remembered until the watermark passes them."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
@@ -51,7 +62,7 @@ def associate(
     )
     return inc.join(evt, near, "left_outer").select(
         F.col("i_key").alias("key"),
-        F.to_date("i_t").alias("day"),
+        event_day(F.col("i_t")).alias("day"),
         F.col("i_n").alias("incidents"),
         F.coalesce("e_n", F.lit(0)).alias("events"),
     )
