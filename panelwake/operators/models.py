@@ -98,7 +98,7 @@ def fold_moments(df: DataFrame, columns: list[str], folds: list[int], period: st
     total = F.sum("n")
     means = rows.groupBy("fold", "column").agg(
         total.alias("n"),
-        (F.sum(F.col("n") * F.coalesce("m", F.lit(0.0))) / total).alias("mean"),
+        F.try_divide(F.sum(F.col("n") * F.coalesce("m", F.lit(0.0))), total).alias("mean"),
         F.sum("ss").alias("_within"),
         F.collect_list(F.struct("n", "m")).alias("_parts"),  # one entry per period
     )
@@ -107,7 +107,7 @@ def fold_moments(df: DataFrame, columns: list[str], folds: list[int], period: st
         F.lit(0.0),
         lambda acc, p: acc + p["n"] * F.pow(p["m"] - F.col("mean"), 2),
     )
-    std = F.sqrt((F.coalesce("_within", F.lit(0.0)) + between) / F.col("n"))
+    std = F.sqrt(F.try_divide(F.coalesce("_within", F.lit(0.0)) + between, F.col("n")))
     return means.select(
         "fold",
         "column",
@@ -125,7 +125,7 @@ def pooled_rates(df: DataFrame, k: str, u: str, eligible: Column, folds: list[in
     per_period = rows.groupBy("season", "cap").agg(F.sum(k_c).alias("k"), F.sum(u_c).alias("u"))
     totals = fold_totals(per_period, folds, ["cap"], ["k", "u"])
     return totals.where(F.col("split") == "train").select(
-        "fold", "cap", (F.col("k") / F.col("u")).alias("pooled_rate")
+        "fold", "cap", F.try_divide("k", "u").alias("pooled_rate")
     )
 
 

@@ -46,8 +46,8 @@ def areas(points: DataFrame, groups: list[str]) -> DataFrame:
     fp = n - tp
     pos, rows = F.max("all_tp"), F.max("all_n")
     two = (pos > 0) & (pos < rows)
-    ap = F.sum(tp * ctp / cn) / pos
-    auc = F.sum(fp * (ctp - tp / 2.0)) / (pos.cast("double") * (rows - pos))
+    ap = F.try_divide(F.sum(tp * ctp / cn), pos)
+    auc = F.try_divide(F.sum(fp * (ctp - tp / 2.0)), pos.cast("double") * (rows - pos))
     return points.groupBy(*groups).agg(
         rows.alias("n"),
         pos.alias("pos"),
@@ -113,7 +113,7 @@ def rank_percentiles(
         "n",
         "all_n",
         rank.alias("avg_rank"),
-        (1.0 - (rank - 1.0) / (F.col("all_n") - 1.0)).alias("pct"),
+        (1.0 - F.try_divide(rank - 1.0, F.col("all_n") - 1.0)).alias("pct"),
     )
 
 

@@ -21,8 +21,8 @@ def distribution(prefix: str = "") -> list[Column]:
         q[1].alias(f"{prefix}median"),
         q[0].alias(f"{prefix}p25"),
         q[2].alias(f"{prefix}p75"),
-        (F.sum(v * n) / total).alias(f"{prefix}mean"),
-        (100.0 * F.sum(F.when(v >= 2, n).otherwise(0)) / total).alias(f"{prefix}pct_ge2"),
+        F.try_divide(F.sum(v * n), total).alias(f"{prefix}mean"),
+        F.try_divide(100.0 * F.sum(F.when(v >= 2, n).otherwise(0)), total).alias(f"{prefix}pct_ge2"),
     ]
 
 
@@ -37,7 +37,8 @@ def lag_distribution(value: str, weight: str) -> list[Column]:
 
 
 def zero_share() -> Column:
-    return 100.0 * F.sum(F.when(F.col("value") == 0, F.col("n")).otherwise(0)) / F.sum("n")
+    zero = F.sum(F.when(F.col("value") == 0, F.col("n")).otherwise(0))
+    return F.try_divide(100.0 * zero, F.sum("n"))
 
 
 def gate_branch(short: Column, long: Column, need: float = 2.0) -> Column:
@@ -62,5 +63,5 @@ def null_audit(df: DataFrame, columns: list[str]) -> DataFrame:
             F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("nulls")) for c in columns])
         ).alias("x"),
     ).select(
-        "x.column", "x.nulls", (100.0 * F.col("x.nulls") / F.col("_rows")).alias("null_pct")
+        "x.column", "x.nulls", F.try_divide(100.0 * F.col("x.nulls"), F.col("_rows")).alias("null_pct")
     )

@@ -40,7 +40,7 @@ def support_overlap(cells: DataFrame) -> DataFrame:
     """How much of each group sits in cells that also hold the other one."""
     z, p = F.col("n_zero"), F.col("n_pos")
     inside = lambda x, other, k: F.sum(F.when(other >= k, x).otherwise(0))
-    share = lambda x, other, k: 100.0 * inside(x, other, k) / F.sum(x)
+    share = lambda x, other, k: F.try_divide(100.0 * inside(x, other, k), F.sum(x))
     return cells.agg(
         F.count("*").alias("cells"),
         inside(z, p, 1).alias("zero_with_1_pos"),
@@ -63,7 +63,7 @@ def dominant(df: DataFrame, of: list[str], category: str) -> DataFrame:
 
 def weighted_mean(value: Column, weight: Column) -> Column:
     ok = value.isNotNull() & (weight > 0)
-    return F.sum(F.when(ok, value * weight)) / F.sum(F.when(ok, weight))
+    return F.try_divide(F.sum(F.when(ok, value * weight)), F.sum(F.when(ok, weight)))
 
 
 def log_histogram(df: DataFrame, group: str, value: str, bins: int, top: Column) -> DataFrame:
@@ -76,17 +76,17 @@ def log_histogram(df: DataFrame, group: str, value: str, bins: int, top: Column)
     total = F.sum("n").over(W.partitionBy(group))  # at most `bins` rows per group
     edge = lambda i: F.pow(F.lit(10.0), i * F.col("_w"))
     size = edge(F.col("bin") + 1) - edge(F.col("bin"))
-    return counts.withColumn("density", F.col("n") / (total * size)).drop("_w")
+    return counts.withColumn("density", F.try_divide(F.col("n"), total * size)).drop("_w")
 
 
 def linear_histogram(df: DataFrame, group: str, value: str, bins: int, lo: Column, hi: Column) -> DataFrame:
     """Counts and densities on `bins` equal bins over [lo, hi] per group; the last bin is closed."""
     df = df.withColumn("_w", (hi - lo) / F.lit(float(bins)))
-    at = F.least(F.floor((F.col(value) - lo) / F.col("_w")), F.lit(bins - 1)).cast("int")
+    at = F.least(F.floor(F.try_divide(F.col(value) - lo, F.col("_w"))), F.lit(bins - 1)).cast("int")
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(group, at.alias("bin"))
         .agg(F.count("*").alias("n"), F.max("_w").alias("_w"))
     )
     total = F.sum("n").over(W.partitionBy(group))  # at most `bins` rows per group
-    return counts.withColumn("density", F.col("n") / (total * F.col("_w"))).drop("_w")
+    return counts.withColumn("density", F.try_divide(F.col("n"), total * F.col("_w"))).drop("_w")

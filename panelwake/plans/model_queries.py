@@ -89,8 +89,8 @@ def fold_base_rates(spark, folder):
     return st.rounded(
         out.withColumns(
             {
-                "base_rate": F.col("positives") / F.col("rows"),
-                "duplicate_rate": F.col("duplicates") / F.col("positives"),
+                "base_rate": F.try_divide("positives", "rows"),
+                "duplicate_rate": F.try_divide("duplicates", "positives"),
             }
         )
     )
@@ -206,7 +206,7 @@ def ipw_weights(spark, folder):
         F.sum(models.duplicate_target(F.col("k_raw"))).alias("duplicates"),
         F.max("w").alias("max_weight"),
         F.round(F.sum("w"), 4).alias("weight_sum"),
-        (F.count_if((F.col("y") == 1) & (F.col("rhat") < 0.05)) / pos).alias("share_below_floor"),
+        F.try_divide(F.count_if((F.col("y") == 1) & (F.col("rhat") < 0.05)), pos).alias("share_below_floor"),
         ratio.alias("ratio_full"),
         F.sqrt(ratio).alias("ratio_sqrt"),
     )
@@ -245,14 +245,11 @@ def scored_heads(spark, folder) -> DataFrame:
     rows = labelled(spark, folder).join(f, ["key", "season"])
     cnt = F.coalesce(F.col("viol_cnt_prior_cum").cast("double"), F.lit(0.0))
     rows = rows.withColumn("cnt", cnt)
+    u, k = numeric.cap_units(F.col("u_raw"), F.col("k_raw").cast("double"), 25.0)
     facts = rows.agg(
         F.stddev_pop("cnt").alias("sd"),
-        (
-            F.sum(F.when(F.col("eligible"), F.least(F.col("k_raw").cast("double"), F.least("u_raw", F.lit(25.0)))))
-            / F.sum(F.when(F.col("eligible"), F.least("u_raw", F.lit(25.0))))
-        ).alias("pbar"),
+        F.try_divide(F.sum(F.when(F.col("eligible"), k)), F.sum(F.when(F.col("eligible"), u))).alias("pbar"),
     )
-    u, k = numeric.cap_units(F.col("u_raw"), F.col("k_raw").cast("double"), 25.0)
     head = lambda c: numeric.sigmoid(-0.5 + 0.4 * F.col("viol_lag1") - 0.05 * c)
     rows = rows.withColumns({"pbar": facts.select("pbar").scalar(), "sd": facts.select("sd").scalar(), "u": u, "k": k})
     p = numeric.sigmoid(-2.5 + 0.1 * F.coalesce(F.col("c311_prior_cum").cast("double"), F.lit(0.0)))

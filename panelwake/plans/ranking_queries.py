@@ -326,7 +326,7 @@ def ranking_by_tercile(spark, folder):
     st.with_base(
         """,
 v AS (SELECT season, count(*) AS rows, sum(label_c) AS positives FROM spine GROUP BY season)
-SELECT CAST(a.season AS INTEGER) AS season, CAST(a.rows AS BIGINT) AS rows, CAST(a.positives AS BIGINT) AS positives, CAST(b.positives AS BIGINT) AS positives_before, round(a.positives::DOUBLE / b.positives, 6) AS ratio FROM v a LEFT JOIN v b ON b.season = a.season - 1"""
+SELECT CAST(a.season AS INTEGER) AS season, CAST(a.rows AS BIGINT) AS rows, CAST(a.positives AS BIGINT) AS positives, CAST(b.positives AS BIGINT) AS positives_before, round(a.positives::DOUBLE / nullif(b.positives, 0), 6) AS ratio FROM v a LEFT JOIN v b ON b.season = a.season - 1"""
     ),
 )
 def label_volume(spark, folder):
@@ -336,4 +336,4 @@ def label_volume(spark, folder):
     )
     one_back = W.partitionBy(F.lit(0)).orderBy("season").rangeBetween(-1, -1)  # one row per season
     out = v.withColumn("positives_before", F.max("positives").over(one_back))
-    return st.rounded(out.withColumn("ratio", F.col("positives") / F.col("positives_before")))
+    return st.rounded(out.withColumn("ratio", F.try_divide("positives", "positives_before")))

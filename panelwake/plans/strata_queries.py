@@ -445,6 +445,6 @@ def stratified_partial_corr(spark, folder):
     )
     return st.rounded(
         per.agg(
-            F.sum("n").alias("n"), (F.sum("xy") / F.sqrt(F.sum("xx") * F.sum("yy"))).alias("partial_corr")
+            F.sum("n").alias("n"), F.try_divide(F.sum("xy"), F.sqrt(F.sum("xx") * F.sum("yy"))).alias("partial_corr")
         )
     )
