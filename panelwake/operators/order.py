@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from panelwake.session import durable
 
-SLICES = 64
+HEAVY = 64  # a key is heavy when it holds more than 1/64 of all rows
 
 
-def split_points(df: DataFrame, value: str, slices: int = SLICES) -> list[float]:
-    """Values that cut a column into slices of about equal row counts.
+def split_points(df: DataFrame, value: str, slices: int | None = None) -> list[float]:
+    """Values that cut a column into slices of about equal row counts, one slice per shuffle task.
 
     Only the balance of the work depends on them; results do not.
     """
+    if slices is None:
+        slices = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4096)
     probs = [i / slices for i in range(1, slices)]
     return sorted(set(df.approxQuantile(value, probs, 1.0 / (4 * slices))))
 
@@ -139,7 +141,7 @@ def lookup_skewed(left: DataFrame, right: DataFrame, keys: list[str], weight: st
     Keys with more than 1/64 of all rows go through a broadcast - by counting there are at most 64
     per total - and never meet in one task; the rest takes the normal join.
     """
-    heavy = F.col(weight) * SLICES > F.col(total)
+    heavy = F.col(weight) * HEAVY > F.col(total)
     hot = F.broadcast(right.where(heavy))
     through_hot = left.join(hot, keys)
     rest = left.join(F.broadcast(right.where(heavy).select(*keys)), keys, "left_anti")

@@ -13,6 +13,7 @@ from panelwake.operators.order import prefix_sums, quantiles, split_points
 
 # Cut-offs of the report.
 TOP_K = [100, 250, 500, 1000, 2500]
+SALTS = 64
 
 
 def tie_key(seed: int, *keys: str) -> Column:
@@ -37,43 +38,59 @@ def curve(
     return prefix_sums(counts, groups, score, ["n", "tp"], splits, descending=True)
 
 
-def areas(points: DataFrame, groups: list[str]) -> DataFrame:
+def areas(points: DataFrame, groups: list[str], edge_k: int | None = None) -> DataFrame:
     """n, positives, prevalence, average precision (step sum) and ROC area (ties half).
 
-    Both areas are NULL when only one class is present.
+    Both areas are NULL when only one class is present. With edge_k, column _edge holds the score at
+    which the first edge_k rows end; NULL when the group is shorter.
     """
+    score = [c for c in points.columns if c not in groups][0]
     tp, n, ctp, cn = (F.col(c) for c in ("tp", "n", "cum_tp", "cum_n"))
     fp = n - tp
     pos, rows = F.max("all_tp"), F.max("all_n")
     two = (pos > 0) & (pos < rows)
     ap = F.try_divide(F.sum(tp * ctp / cn), pos)
     auc = F.try_divide(F.sum(fp * (ctp - tp / 2.0)), pos.cast("double") * (rows - pos))
+    edge = [F.max(F.when(cn >= edge_k, F.col(score))).alias("_edge")] if edge_k else []
     return points.groupBy(*groups).agg(
         rows.alias("n"),
         pos.alias("pos"),
         (pos / rows).alias("prevalence"),
         F.when(two, ap).alias("pr_auc"),
         F.when(two, auc).alias("roc_auc"),
+        *edge,
     )
 
 
 def top_k(
-    scored: DataFrame, groups: list[str], score: str, label: str, tie: Column, ks: list[int] = TOP_K
+    scored: DataFrame,
+    groups: list[str],
+    score: str,
+    label: str,
+    tie: Column,
+    edges: DataFrame,
+    ks: list[int] = TOP_K,
 ) -> DataFrame:
     """Precision in the first k rows of each group for every k in one pass.
 
-    The filter on row_number() is applied on the map side too, so at most max(ks) rows per task and
-    group are shuffled.
+    `edges` has one row per group with the score the first max(ks) rows end at, so only rows from
+    there up are looked at. Rows tied at the edge may be many: they are cut to max(ks) inside salted
+    sub-groups first, and what is left is at most salts x max(ks) rows per group.
     """
-    order = W.partitionBy(*groups).orderBy(F.desc(score), F.col("_tie"))
-    best = (
+    most = max(ks)
+    candidates = (
         scored.select(*groups, score, label, tie.alias("_tie"))
-        .withColumn("_rn", F.row_number().over(order))
-        .where(F.col("_rn") <= max(ks))
+        .join(edges.select(*groups, "_edge"), groups)
+        .where(F.col("_edge").isNull() | (F.col(score) >= F.col("_edge")))
+        .withColumn("_salt", F.pmod(F.xxhash64("_tie"), F.lit(SALTS)))
     )
+    best_first = [F.desc(score), F.col("_tie")]
+    for parts in ([*groups, "_salt"], groups):
+        at = F.row_number().over(W.partitionBy(*parts).orderBy(*best_first))
+        candidates = candidates.withColumn("_rn", at).where(F.col("_rn") <= most)
     size = F.max("_rn")
     hit = lambda k: F.sum(F.when(F.col("_rn") <= k, F.col(label)).otherwise(0))
-    return best.groupBy(*groups).agg(
+    return candidates.groupBy(*groups).agg(
         *[F.when(size >= k, hit(k).cast("double") / k).alias(f"p_at_{k}") for k in ks]
     )
 
@@ -88,8 +105,8 @@ def report(
     splits: list[float] | None = None,
 ) -> DataFrame:
     """One row per group with all ranking metrics."""
-    whole = areas(curve(scored, groups, score, label, splits), groups)
-    return whole.join(top_k(scored, groups, score, label, tie, ks), groups)
+    whole = areas(curve(scored, groups, score, label, splits), groups, max(ks))
+    return whole.join(top_k(scored, groups, score, label, tie, whole, ks), groups).drop("_edge")
 
 
 def by_stratum(scored: DataFrame, zero_flag: str, stratum: str = "stratum") -> DataFrame:

@@ -283,7 +283,9 @@ def seed_spread(spark, folder):
     seeds = F.explode(F.array(*[F.lit(i) for i in range(1, 6)])).alias("seed")
     rows = priced_orders(spark, folder).select("*", seeds)
     tie = F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.col("o_orderkey").cast("string")))
-    per = ranking.top_k(rows, ["seed", "year"], "score", "y", tie, [250])
+    groups = ["seed", "year"]
+    edges = ranking.areas(ranking.curve(rows, groups, "score", "y"), groups, 250)
+    per = ranking.top_k(rows, groups, "score", "y", tie, edges, [250])
     return st.rounded(ranking.spread(per, ["year"], "p_at_250"))
 
 

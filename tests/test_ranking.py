@@ -50,9 +50,21 @@ def test_all_scores_tied(spark):
     assert r["pr_auc"] == pytest.approx(0.3) and r["roc_auc"] == pytest.approx(0.5) and r["p_at_5"] == 0.6
 
 
+def test_top_k_with_a_third_of_the_rows_tied_at_the_edge(spark):
+    df = spark.range(6000).select(
+        "id", F.lit("a").alias("g"), F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.col("id") / 6000).alias("s"), (F.col("id") % 7 == 0).cast("int").alias("y")
+    ).unionByName(spark.range(50).select("id", F.lit("b").alias("g"), F.lit(0.5).alias("s"), F.lit(1).alias("y")))
+    tie = ranking.tie_key(42, "id")
+    got = {r["g"]: r for r in ranking.report(df, ["g"], "s", "y", tie, [100, 2500, 4000]).collect()}
+    pdf = df.withColumn("t", tie).where("g = 'a'").toPandas().sort_values(["s", "t"], ascending=[False, True])
+    for k in (100, 2500, 4000):
+        assert got["a"][f"p_at_{k}"] == pytest.approx(pdf.y.head(k).sum() / k)
+    assert got["b"]["p_at_100"] is None and got["b"]["n"] == 50
+
+
 def test_top_k_is_cut_before_the_shuffle(spark):
     df = spark.range(5000).select("id", (F.col("id") % 2).alias("g"), (F.col("id") % 97).cast("double").alias("s"), (F.col("id") % 2).alias("y"))
-    plan = ranking.top_k(df, ["g"], "s", "y", F.col("id"), [100, 2500])._jdf.queryExecution().executedPlan().toString()
+    plan = ranking.report(df, ["g"], "s", "y", F.col("id"), [100, 2500])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
 
 
