@@ -6,6 +6,7 @@ busy entity therefore holds at most one row per calendar day and tag, however ma
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -20,9 +21,7 @@ def timeline(
 
     `streams` maps an output name to the predicate that says which rows belong to it.
     """
-    wanted = None
-    for cond in streams.values():
-        wanted = cond if wanted is None else wanted | cond
+    wanted = functools.reduce(lambda a, b: a | b, streams.values())
     return (
         df.where(wanted & F.col(key).isNotNull() & day.isNotNull())
         .groupBy(F.col(key).alias("key"), day.alias("day"), *tags)
@@ -133,7 +132,8 @@ def lag_weights(
 
 def coverage_span(df: DataFrame, day: Column, streams: dict[str, Column]) -> DataFrame:
     """First and last observed day per stream; one row."""
-    return df.agg(
+    wanted = functools.reduce(lambda a, b: a | b, streams.values())
+    return df.where(wanted).agg(
         *[F.min(F.when(cond, day)).alias(f"{name}_lo") for name, cond in streams.items()],
         *[F.max(F.when(cond, day)).alias(f"{name}_hi") for name, cond in streams.items()],
     )

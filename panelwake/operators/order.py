@@ -135,14 +135,33 @@ def quantiles(
     return out.drop(*[f"_{s}{i}" for s in ("lo", "hi") for i in range(len(probs))])
 
 
-def lookup_skewed(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: str) -> DataFrame:
-    """Left lookup in a table with one row per key that knows its number of left rows.
+def lookup_skewed(
+    left: DataFrame, right: DataFrame, keys: list[str], heavy: Column, spread_on: Column
+) -> DataFrame:
+    """Left lookup in a table with one row per key, with busy keys spread over salts.
 
-    Keys with more than 1/64 of all rows go through a broadcast - by counting there are at most 64
-    per total - and never meet in one task; the rest takes the normal join.
+    `heavy` marks keys of `right` that hold more than 1/HEAVY of the left rows. By counting there are
+    at most HEAVY of them per total, which is what makes their broadcast safe. Rows of a heavy key,
+    and rows without a key, get a salt from `spread_on`; the heavy rows of `right` are copied once per
+    salt.
     """
-    heavy = F.col(weight) * HEAVY > F.col(total)
-    hot = F.broadcast(right.where(heavy))
-    through_hot = left.join(hot, keys)
-    rest = left.join(F.broadcast(right.where(heavy).select(*keys)), keys, "left_anti")
-    return through_hot.unionByName(rest.join(right.where(~heavy), keys, "left"))
+    hot = right.where(heavy).select(*keys, F.lit(True).alias("_hot"))
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col(k).isNull()
+    salt = F.pmod(F.xxhash64(spread_on), F.lit(HEAVY)).cast("int")
+    tagged = left.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.when(F.col("_hot") | no_key, salt).otherwise(0)
+    )
+    copies = F.when(heavy, F.sequence(F.lit(0), F.lit(HEAVY - 1))).otherwise(F.array(F.lit(0)))
+    spread = right.withColumn("_salt", F.explode(copies))
+    return tagged.drop("_hot").join(spread, [*keys, "_salt"], "left").drop("_salt")
+
+
+BROADCAST_ROWS = 100_000
+
+
+def join_small(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with a durable side that is broadcast if it is counted to be small, else shuffled."""
+    small = right.count() <= BROADCAST_ROWS
+    return left.join(F.broadcast(right) if small else right, keys)

@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwake.functions import calendar, numeric
+from panelwake.operators.order import HEAVY, lookup_skewed
+from panelwake.session import durable
 
 
 @dataclass(frozen=True)
@@ -107,26 +109,37 @@ def own_sums(entity: str, period: str, label: str) -> dict[str, Column]:
 def owner_history(
     spine: DataFrame, owners: DataFrame, entity: str, period: str, label: str, owner: str
 ) -> DataFrame:
-    """Per (owner, period): panel rows and positives of all earlier periods."""
+    """Per (owner, period): portfolio size, panel rows now, rows and positives of earlier periods."""
+    known = owners.where(F.col(owner).isNotNull()).select(entity, owner)
     per_period = (
         spine.select(entity, period, label)
-        .join(owners.where(F.col(owner).isNotNull()).select(entity, owner), entity)
+        .join(known, entity)
         .groupBy(owner, period)
-        .agg(F.count("*").alias("n"), F.sum(label).alias("p"))
+        .agg(F.count("*").alias("_owner_n"), F.sum(label).alias("p"))
     )
     running = before(owner, period)
+    sizes = known.groupBy(owner).agg(F.count("*").alias("portfolio_size"))
     return per_period.select(
         owner,
         period,
-        F.coalesce(F.sum("n").over(running), F.lit(0)).alias("_all_n"),
+        "_owner_n",
+        F.coalesce(F.sum("_owner_n").over(running), F.lit(0)).alias("_all_n"),
         F.coalesce(F.sum("p").over(running), F.lit(0)).alias("_all_p"),
-    )
+    ).join(sizes, owner)
 
 
-def owner_sizes(owners: DataFrame, owner: str) -> DataFrame:
-    return owners.where(F.col(owner).isNotNull()).groupBy(owner).agg(
-        F.count("*").alias("portfolio_size")
-    )
+def with_owner(
+    rows: DataFrame, owners: DataFrame, history: DataFrame, entity: str, period: str, owner: str
+) -> DataFrame:
+    """Attach owner and owner history; owners holding a large share of the panel are spread.
+
+    The history has one row per (owner, period) and is kept, as three places read it.
+    """
+    history = durable(history)
+    total = history.agg(F.sum("_owner_n")).scalar()
+    heavy = F.col("_owner_n") * HEAVY > total
+    linked = rows.join(owners.select(entity, owner), entity, "left")
+    return lookup_skewed(linked, history, [owner, period], heavy, F.col(entity))
 
 
 def loo_rate() -> Column:
@@ -140,11 +153,8 @@ def owner_rates(
 ) -> DataFrame:
     """Portfolio size and leave-one-out rate on the spine."""
     rows = spine.select(entity, period, label).withColumns(own_sums(entity, period, label))
-    out = (
-        rows.join(owners.select(entity, owner), entity, "left")
-        .join(owner_history(spine, owners, entity, period, label, owner), [owner, period], "left")
-        .join(owner_sizes(owners, owner), owner, "left")
-    )
+    past = owner_history(spine, owners, entity, period, label, owner)
+    out = with_owner(rows, owners, past, entity, period, owner)
     return out.select(entity, period, owner, "portfolio_size", loo_rate().alias("portfolio_loo_rate"))
 
 
@@ -200,10 +210,18 @@ def day_grain(events: DataFrame, entity: str, ts: str) -> tuple[DataFrame, DataF
 
 
 def gap_features(
-    events: DataFrame, entity: str, ts: str, cutoffs: Cutoffs, days: int, period: str = "season"
+    events: DataFrame,
+    entity: str,
+    ts: str,
+    cutoffs: Cutoffs,
+    days: int,
+    period: str = "season",
+    more: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Median and smallest gap between events inside the window, days since the last event, events.
 
+    `more` adds aggregates over the window's day rows (columns day, events, _cut).
+
     Gaps in one window add up to at most its length, which bounds how many different gap values a
     busy entity can have, and with it the histogram behind the median.
     """
@@ -224,31 +242,39 @@ def gap_features(
             (F.min("gap") / 86400000000.0).alias("gap_min"),
         )
     )
-    last = targets.groupBy(entity, period, "_cut").agg(
-        F.sum("events").alias("events"), F.max("last_t").alias("last_t")
+    extra = more or {}
+    last = targets.groupBy(entity, period).agg(
+        F.sum("events").alias("events"),
+        F.max("last_t").alias("_last"),
+        *[c.alias(n) for n, c in extra.items()],
     )
-    since = calendar.elapsed_days(F.col("last_t"), calendar.epoch_micros("_cut"))
-    return last.select(entity, period, "events", since.alias("days_since_last")).join(
+    since = calendar.elapsed_days(F.col("_last"), calendar.epoch_micros(cutoffs.cutoff(F.col(period))))
+    return last.select(entity, period, "events", since.alias("days_since_last"), *extra).join(
         gaps, [entity, period], "left"
     )
 
 
+def window_sums() -> dict[str, Column]:
+    """Events and event days of the previous season, events of the last 365 and 730 days."""
+    prior = _in_prior_season()
+    recent = F.col("day") >= F.date_sub(F.col("_cut"), 365)
+    return {
+        "evt_ps": F.sum(F.when(prior, F.col("events")).otherwise(0)),
+        "days_ps": F.count_if(prior),
+        "evt_t365": F.sum(F.when(recent, F.col("events")).otherwise(0)),
+        "evt_t730": F.sum("events"),
+    }
+
+
 def complaint_windows(events: DataFrame, entity: str, ts: str) -> DataFrame:
-    """Per (entity, target season): events and event days of the previous season, trailing events."""
+    """The window sums per (entity, target season), without gaps."""
     per_day = (
         events.where(F.col(entity).isNotNull() & F.col(ts).isNotNull())
         .groupBy(entity, F.to_date(ts).alias("day"))
         .agg(F.count("*").alias("events"))
     )
     rows = to_targets(per_day, SEASONS, 730)
-    prior = _in_prior_season()
-    recent = F.col("day") >= F.date_sub(F.col("_cut"), 365)
-    return rows.groupBy(entity, "season").agg(
-        F.sum(F.when(prior, F.col("events")).otherwise(0)).alias("evt_ps"),
-        F.count_if(prior).alias("days_ps"),
-        F.sum(F.when(recent, F.col("events")).otherwise(0)).alias("evt_t365"),
-        F.sum("events").alias("evt_t730"),
-    )
+    return rows.groupBy(entity, "season").agg(*[c.alias(n) for n, c in window_sums().items()])
 
 
 def _in_prior_season() -> Column:
@@ -395,18 +421,12 @@ def feature_frame(
     Every family has one row per (entity, season) and joins on it; the masks are applied at the end.
     """
     keys = [entity, "season"]
-    c6 = complaint_windows(complaint_events, entity, "ts")
-    gaps = gap_features(complaint_events, entity, "ts", SEASONS, 730).drop("events")
+    c6 = gap_features(complaint_events, entity, "ts", SEASONS, 730, more=window_sums()).drop("events")
     c7 = problem_windows(problem_events, entity, "ts", "sub_key", F.col("is_sub"), F.col("flag") == "N")
     rows = history_features(spine, incidents, yearly, entity, spec)
-    for part in (c6, gaps, c7):
-        rows = rows.join(part, keys, "left")
-    rows = (
-        rows.join(lots, entity, "left")
-        .join(owners.select(entity, "owner_key"), entity, "left")
-        .join(owner_history(spine, owners, entity, "season", "label_c", "owner_key"), ["owner_key", "season"], "left")
-        .join(owner_sizes(owners, "owner_key"), "owner_key", "left")
-    )
+    rows = rows.join(c6, keys, "left").join(c7, keys, "left").join(lots, entity, "left")
+    past = owner_history(spine, owners, entity, "season", "label_c", "owner_key")
+    rows = with_owner(rows, owners, past, entity, "season", "owner_key")
     year = F.col("yearbuilt")
     tail = complaint_columns(spec.complaint_floor) | gap_columns(spec.complaint_floor)
     tail |= problem_columns(spec.complaint_floor, "unitstotal")

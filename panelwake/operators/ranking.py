@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwake.functions.numeric import log_choose
-from panelwake.operators.order import prefix_sums, quantiles, split_points
+from panelwake.operators.order import join_small, prefix_sums, quantiles, split_points
+from panelwake.session import durable
 
 # Cut-offs of the report.
 TOP_K = [100, 250, 500, 1000, 2500]
@@ -73,14 +74,15 @@ def top_k(
 ) -> DataFrame:
     """Precision in the first k rows of each group for every k in one pass.
 
-    `edges` has one row per group with the score the first max(ks) rows end at, so only rows from
-    there up are looked at. Rows tied at the edge may be many: they are cut to max(ks) inside salted
+    `edges` is durable and has one row per group with the score the first max(ks) rows end at, so only
+    rows from there up are looked at. Rows tied at the edge may be many: they are cut to max(ks) inside salted
     sub-groups first, and what is left is at most salts x max(ks) rows per group.
     """
     most = max(ks)
     candidates = (
-        scored.select(*groups, score, label, tie.alias("_tie"))
-        .join(edges.select(*groups, "_edge"), groups)
+        join_small(
+            scored.select(*groups, score, label, tie.alias("_tie")), edges.select(*groups, "_edge"), groups
+        )
         .where(F.col("_edge").isNull() | (F.col(score) >= F.col("_edge")))
         .withColumn("_salt", F.pmod(F.xxhash64("_tie"), F.lit(SALTS)))
     )
@@ -105,7 +107,7 @@ def report(
     splits: list[float] | None = None,
 ) -> DataFrame:
     """One row per group with all ranking metrics."""
-    whole = areas(curve(scored, groups, score, label, splits), groups, max(ks))
+    whole = durable(areas(curve(scored, groups, score, label, splits), groups, max(ks)))
     return whole.join(top_k(scored, groups, score, label, tie, whole, ks), groups).drop("_edge")
 
 

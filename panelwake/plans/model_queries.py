@@ -244,7 +244,7 @@ def scored_heads(spark, folder) -> DataFrame:
     f = base_features(spark, folder).select("key", "season", "viol_lag1", "viol_cnt_prior_cum", "c311_prior_cum")
     rows = labelled(spark, folder).join(f, ["key", "season"])
     cnt = F.coalesce(F.col("viol_cnt_prior_cum").cast("double"), F.lit(0.0))
-    rows = rows.withColumn("cnt", cnt)
+    rows = durable(rows.withColumn("cnt", cnt))  # read for the pooled facts and for the rows
     u, k = numeric.cap_units(F.col("u_raw"), F.col("k_raw").cast("double"), 25.0)
     facts = rows.agg(
         F.stddev_pop("cnt").alias("sd"),

@@ -70,7 +70,8 @@ def rank_percentile(spark, folder):
     """Average rank and rank percentile of every order inside its year."""
     scored = priced_orders(spark, folder).select("o_orderkey", "year", "score")
     pct = ranking.rank_percentiles(scored, ["year"], "score")
-    out = order.lookup_skewed(scored, pct, ["year", "score"], "n", "all_n")
+    heavy = F.col("n") * order.HEAVY > F.col("all_n")
+    out = order.lookup_skewed(scored, pct, ["year", "score"], heavy, F.col("o_orderkey"))
     return st.rounded(out.select("o_orderkey", "year", "score", "avg_rank", "pct"))
 
 
@@ -186,7 +187,8 @@ def rank_improvement(spark, folder) -> DataFrame:
         pct = ranking.rank_percentiles(wide.select("season", model), ["season"], model).withColumnRenamed(
             "pct", f"pct_{model}"
         ).drop("avg_rank")
-        out = order.lookup_skewed(out, pct, ["season", model], "n", "all_n").drop("n", "all_n")
+        heavy = F.col("n") * order.HEAVY > F.col("all_n")
+        out = order.lookup_skewed(out, pct, ["season", model], heavy, F.col("key")).drop("n", "all_n")
     return durable(
         out.select("key", "season", (F.col("pct_trailing3") - F.col("pct_persistence")).alias("delta"))
     )
@@ -284,7 +286,7 @@ def seed_spread(spark, folder):
     rows = priced_orders(spark, folder).select("*", seeds)
     tie = F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.col("o_orderkey").cast("string")))
     groups = ["seed", "year"]
-    edges = ranking.areas(ranking.curve(rows, groups, "score", "y"), groups, 250)
+    edges = durable(ranking.areas(ranking.curve(rows, groups, "score", "y"), groups, 250))
     per = ranking.top_k(rows, groups, "score", "y", tie, edges, [250])
     return st.rounded(ranking.spread(per, ["year"], "p_at_250"))
 

@@ -63,8 +63,11 @@ def test_lookup_of_hot_keys(spark, scores):
     df = spark.createDataFrame(scores)
     facts = df.groupBy("g", "s").agg(F.count("*").alias("n")).withColumn("total", F.lit(800)).withColumn("v", F.col("s") * 2)
     left = df.unionByName(spark.createDataFrame([("c", 1, 0.5)], "g string, k int, s double"))
-    got = order.lookup_skewed(left, facts, ["g", "s"], "n", "total").toPandas()
-    assert len(got) == 801
+    left = left.unionByName(spark.createDataFrame([(None, 7, 0.5)], "g string, k int, s double"))
+    heavy = F.col("n") * order.HEAVY > F.col("total")
+    got = order.lookup_skewed(left, facts, ["g", "s"], heavy, F.col("k")).toPandas()
+    assert len(got) == 802 and got[got.g.isna()].v.isna().all()
+    got = got[got.g.notna()]
     assert got[got.g == "c"].v.isna().all()
     rest = got[got.g != "c"]
     assert (rest.v == rest.s * 2).all()
