@@ -17,7 +17,7 @@ from panelwake.plans.panel_queries import (
     first_events,
 )
 from panelwake.plans.registry import query
-from panelwake.session import durable
+from panelwake.session import durable, spread
 
 FOLDS = [1998, 1999, 2000]
 FIRST = 1995
@@ -315,7 +315,7 @@ def model_frame(spark, folder) -> DataFrame:
     age = F.col("season") - F.col("yearbuilt")
     out = f.join(rows, ["key", "season"]).withColumn("building_age", age)
     flagged = ranking.zero_history(out, first_events(spark, folder), "key", calendar.cutoff("season"))
-    return durable(flagged.drop("first_ts"))
+    return durable(spread(flagged.drop("first_ts"), "key", "season"))
 
 
 @query("logistic_baseline")

@@ -85,29 +85,27 @@ def ranking_report(spark, folder):
     return st.rounded(ranking.report(scored, ["year"], "score", "y", ranking.tie_key(SEED, "o_orderkey")))
 
 
-def scored_panel(spark, folder) -> DataFrame:
-    """Two baseline scores in long form with label and zero-history flag.
+def panel_scores(spark, folder) -> DataFrame:
+    """Two baseline scores with label and zero-history flag, one row per entity and season.
 
     Kept durable: split points and metrics read it several times.
     """
     flags = ranking.zero_history(
-        st.spine(spark, folder).select("key", "season", "label_c"),
+        st.spine(spark, folder).select("key", "season", F.col("label_c").alias("y")),
         first_events(spark, folder),
         "key",
         calendar.cutoff("season"),
-    ).select("key", "season", "label_c", "zero_history")
-    wide = baseline_scores(spark, folder).join(flags, ["key", "season"])
+    ).select("key", "season", "y", "zero_history")
+    listed = F.col("season").between(st.FIRST_SEASON, st.LAST_SEASON)
+    return durable(baseline_scores(spark, folder).where(listed).join(flags, ["key", "season"]))
+
+
+def by_model(wide: DataFrame) -> DataFrame:
+    """The scores in long form."""
     model = lambda m: F.struct(F.lit(m).alias("model"), F.col(m).alias("score"))
-    return durable(
-        wide.where(F.col("season").between(st.FIRST_SEASON, st.LAST_SEASON))
-        .select(
-            "key",
-            "season",
-            F.col("label_c").alias("y"),
-            "zero_history",
-            F.explode(F.array(model("persistence"), model("trailing3"))).alias("m"),
-        )
-        .select("key", "season", "y", "zero_history", "m.*")
+    both = F.explode(F.array(model("persistence"), model("trailing3"))).alias("m")
+    return wide.select("key", "season", "y", "zero_history", both).select(
+        "key", "season", "y", "zero_history", "m.*"
     )
 
 
@@ -121,8 +119,8 @@ strat AS (SELECT *, 'all' AS stratum FROM long UNION ALL SELECT *, CASE WHEN zer
 GROUPS = ["model", "season", "stratum"]
 
 
-def stratum_metrics(spark, folder) -> DataFrame:
-    rows = ranking.by_stratum(scored_panel(spark, folder), "zero_history")
+def stratum_metrics(wide: DataFrame) -> DataFrame:
+    rows = ranking.by_stratum(by_model(wide), "zero_history")
     return ranking.report(rows, GROUPS, "score", "y", ranking.tie_key(SEED, "season", "key"))
 
 
@@ -134,7 +132,7 @@ def stratum_metrics(spark, folder) -> DataFrame:
 )
 def ranking_by_stratum(spark, folder):
     """All metrics per model, season and stratum in one grouped plan."""
-    return st.rounded(stratum_metrics(spark, folder))
+    return st.rounded(stratum_metrics(panel_scores(spark, folder)))
 
 
 @query(
@@ -147,7 +145,7 @@ SELECT stratum, CAST(count(*) FILTER (model = 'trailing3') AS BIGINT) AS folds,
 )
 def model_deltas(spark, folder):
     """Mean metric over folds of one model minus the other, per stratum."""
-    m = stratum_metrics(spark, folder)
+    m = stratum_metrics(panel_scores(spark, folder))
     mean = lambda name, c: F.avg(F.when(F.col("model") == name, F.col(c)))
     delta = lambda c: mean("trailing3", c) - mean("persistence", c)
     return st.rounded(
@@ -176,11 +174,9 @@ def silent_entities(spark, folder) -> DataFrame:
     return ok.select("key", st.season_of_day("day").alias("season")).distinct()
 
 
-def rank_improvement(spark, folder) -> DataFrame:
+def rank_improvement(spark, folder, wide: DataFrame) -> DataFrame:
     """Percentile under one model minus percentile under the other, on the screened entities."""
-    wide = durable(
-        baseline_scores(spark, folder).where(F.col("season").between(st.FIRST_SEASON, st.LAST_SEASON))
-    )
+    wide = wide.select("key", "season", "persistence", "trailing3")
     screen = silent_entities(spark, folder)
     out = screen.join(wide, ["key", "season"], "left")
     for model in ("persistence", "trailing3"):
@@ -204,7 +200,7 @@ SELECT CAST(ft.season AS INTEGER) AS season, CAST(n_screen AS BIGINT) AS n_scree
 )
 def paired_rank_sign_test(spark, folder):
     """Exact one-sided sign test of rank improvement on silent entities, per season."""
-    deltas = rank_improvement(spark, folder)
+    deltas = rank_improvement(spark, folder, panel_scores(spark, folder))
     test = ranking.sign_test(deltas, ["season"], "delta")
     cover = deltas.groupBy("season").agg(
         F.count("*").alias("n_screen"), F.count_if(F.col("delta").isNull()).alias("n_missing")
@@ -230,7 +226,8 @@ SELECT round(stratum_ratio, 6) AS stratum_ratio, round(global_ratio, 6) AS globa
 )
 def criteria_check(spark, folder):
     """Stratum and global precision ratios against their thresholds, and sign tests passed."""
-    m = stratum_metrics(spark, folder)
+    wide = panel_scores(spark, folder)
+    m = stratum_metrics(wide)
     mean = lambda model, s: F.avg(
         F.when((F.col("model") == model) & (F.col("stratum") == s), F.col("p_at_250"))
     )
@@ -238,7 +235,7 @@ def criteria_check(spark, folder):
         F.try_divide(mean("trailing3", "zero"), mean("persistence", "zero")).alias("stratum_ratio"),
         F.try_divide(mean("trailing3", "all"), mean("persistence", "all")).alias("global_ratio"),
     )
-    test = ranking.sign_test(rank_improvement(spark, folder), ["season"], "delta")
+    test = ranking.sign_test(rank_improvement(spark, folder, wide), ["season"], "delta")
     passed = test.agg(
         F.count_if((F.col("median_delta") > 0) & F.col("reject")).alias("sign_passed"),
         F.count("*").alias("sign_tested"),
@@ -319,7 +316,7 @@ def ranking_by_tercile(spark, folder):
     p = st.parts(spark, folder).select(F.col("p_partkey").alias("key"), "p_retailprice")
     ranked = order.row_numbers(p, [F.asc("p_retailprice"), F.asc("key")])
     slices = ranked.select("key", order.tercile(F.col("rank"), F.col("all_rows")).alias("tercile"))
-    rows = scored_panel(spark, folder).join(slices, "key")
+    rows = by_model(panel_scores(spark, folder)).join(slices, "key")
     return st.rounded(
         ranking.report(rows, ["model", "tercile"], "score", "y", ranking.tie_key(SEED, "season", "key"))
     )
