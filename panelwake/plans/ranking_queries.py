@@ -274,7 +274,7 @@ def winner_runner_up(spark, folder):
     f"""WITH {PRICED_SQL},
 s AS (SELECT *, md5(CAST(seed AS VARCHAR) || '|' || CAST(o_orderkey AS VARCHAR)) AS tie2 FROM priced, (SELECT unnest([1, 2, 3, 4, 5]) AS seed)),
 r AS (SELECT seed, year, y, row_number() OVER (PARTITION BY seed, year ORDER BY score DESC, tie2) AS rn FROM s),
-m AS (SELECT seed, year, sum(y)::DOUBLE / 250 AS p FROM r WHERE rn <= 250 GROUP BY ALL)
+m AS (SELECT seed, year, CASE WHEN count(*) >= 250 THEN sum(y)::DOUBLE / 250 END AS p FROM r WHERE rn <= 250 GROUP BY seed, year)
 SELECT year, CAST(count(p) AS BIGINT) AS runs, round(avg(p), 6) AS mean, round(min(p), 6) AS lo, round(max(p), 6) AS hi, round(stddev_pop(p), 6) AS std, round(max(p) - min(p), 6) AS range FROM m GROUP BY year""",
 )
 def seed_spread(spark, folder):

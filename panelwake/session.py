@@ -58,14 +58,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """One partition per shuffle task, for tables that iterative fits read many times.
-
-    A stated number keeps adaptive execution from folding a small table into one partition.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage on storage that outlives any single executor."""
     spark = df.sparkSession

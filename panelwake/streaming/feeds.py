@@ -55,10 +55,12 @@ def associate(
         return counted.select(F.window_time("w").alias(f"{name}_t"), f"{name}_key", f"{name}_n")
 
     inc, evt = daily(incidents, "i"), daily(events, "e")
+    # whole seconds, because adding an interval to a time follows the session zone's clock changes
+    second = lambda c: F.col(c).cast("long")
     near = (
         (F.col("i_key") == F.col("e_key"))
-        & (F.col("e_t") <= F.col("i_t"))
-        & (F.col("e_t") >= F.col("i_t") - F.expr(f"interval {days} days"))
+        & (second("e_t") <= second("i_t"))
+        & (second("e_t") >= second("i_t") - days * 86400)
     )
     return inc.join(evt, near, "left_outer").select(
         F.col("i_key").alias("key"),
