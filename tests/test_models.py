@@ -163,3 +163,22 @@ def test_folds_do_not_touch_the_future(spark):
 def test_twin_models_rank_better_than_chance(spark):
     scored = mq.gbt_ipw_twin(spark, "/root/testdata/sf0.001")
     assert scored.where("score_weighted < 0 or score_plain > 1").count() == 0
+
+
+def test_search_picks_a_winner_with_rounds(spark):
+    frame = panel(spark).withColumns({"zero_history": F.col("k") == 0, "_tie": F.col("key")}).cache()
+    configs = [r.asDict() for r in models.sampled_configs(spark, models.PROPENSITY_DIMS, 2, 42).collect()]
+    metrics = models.search_trees(
+        frame, configs, [1999, 2000], 1995, ["a", "b", "c"], {"c": ["A", "B", "C"]}, "y", overrides={"rounds": 2, "depth": 2}
+    )
+    assert metrics.count() == 4 and metrics.where("best_round not between 1 and 2").count() == 0
+    rows = models.search_winner(metrics).orderBy("place").collect()
+    assert [r["place"] for r in rows] == [1, 2] and rows[0]["mean_ap"] >= rows[1]["mean_ap"]
+    assert rows[0]["margin"] == pytest.approx(rows[0]["mean_ap"] - rows[1]["mean_ap"])
+
+
+def test_tree_settings():
+    config = {"num_leaves": 63, "max_depth": -1, "learning_rate": 0.1, "n_estimators": 400, "min_child_samples": 20, "subsample": 0.7, "colsample_bytree": 0.6}
+    got = models.tree_settings(config)
+    assert got["depth"] == 6 and got["columns"] == "0.6" and got["rounds"] == 400
+    assert models.tree_settings(config | {"max_depth": 4})["depth"] == 4
