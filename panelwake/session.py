@@ -41,17 +41,19 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int = 8) -> Sp
     return tune(spark)
 
 
+def _checkpoint_dir(spark: SparkSession) -> str | None:
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return current.get() if current.isDefined() else None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; a scratch folder only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    own = tempfile.mkdtemp(prefix="panelwake-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if _checkpoint_dir(spark) is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelwake-"))
+    return _checkpoint_dir(spark)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -61,6 +63,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage on storage that outlives any single executor."""
     spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    folder = shared_dir(spark)
+    if _checkpoint_dir(spark) is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
