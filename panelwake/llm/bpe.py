@@ -26,7 +26,7 @@ from panelwake.llm.common import TOKENIZERS, only, query, sha, table
 CHUNKS_KEPT = 300_000
 
 # White space of Unicode; a chunk is a run without it, with one space in front if there is one.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 # fixed values: the word pattern of the public vocabulary file

@@ -5,6 +5,9 @@ from __future__ import annotations
 from panelwake.llm import (  # noqa: F401
     bpe,
     chat_format,
+    language,
+    secrets,
     token_files,
+    vector_search,
 )
 from panelwake.llm.common import ORACLES, QUERIES  # noqa: F401
