@@ -17,7 +17,7 @@ ORACLES: dict[str, str] = {}
 #: Arrow batches to Python stay small, however long single texts are.
 ARROW_SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 

@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 
 #: Longer words are not kept; they are handed out as they are.
 LONGEST = 256
+#: Bytes worked on at a time where several numbers per byte are needed.
+PIECE = 1 << 19
 
 SPACE, LETTER, DIGIT, MARK, QUOTE, OTHER = range(6)
 
@@ -97,21 +99,31 @@ def split_spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def hash_words(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of each word."""
+    out = np.zeros((2, len(starts)), np.uint64)
     ends = np.cumsum(sizes)
-    first = ends - sizes
-    place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(first, sizes)
+    begin = 0
+    while begin < len(starts):  # some hundred thousand bytes at a time, or one long word
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PIECE)))
+        out[:, begin:end] = _hash_piece(data, starts[begin:end], sizes[begin:end])
+        begin = end
+    return np.maximum(out[0], 1), out[1]
+
+
+def _hash_piece(data, starts, sizes):
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
     value = _BYTE[data[place + np.repeat(starts, sizes)]]
-    if len(sizes) and sizes.max() > LONGEST:  # weights repeat, times another odd number each round
+    if sizes.max() > LONGEST:  # weights repeat, times another odd number each round
         value *= (2 * (place // LONGEST) + 1).astype(np.uint64)
         place %= LONGEST
     out = []
     for weights in _PLACE:
-        h = np.add.reduceat(value * weights[place], first) if len(first) else np.zeros(0, np.uint64)
+        h = np.add.reduceat(value * weights[place], first)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
         out.append(h)
-    return np.maximum(out[0], 1), out[1]
+    return out
 
 
 class Known:
@@ -164,8 +176,8 @@ class Known:
 class Rows:
     """Variable-length rows of numbers, one per known word, gathered for many words at once."""
 
-    def __init__(self):
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+    def __init__(self, dtype=np.int32):
+        self.flat, self.used = np.zeros(1 << 16, dtype), 0
         self.starts, self.sizes, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), 0
 
     def add(self, rows: np.ndarray, sizes: np.ndarray) -> None:
@@ -182,9 +194,16 @@ class Rows:
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.sizes[at].astype(np.int64)
-        ends = np.cumsum(sizes)
-        shift = np.repeat(self.starts[at] - (ends - sizes), sizes)
-        return self.flat[shift + np.arange(len(shift))], sizes
+        out = np.empty(int(sizes.sum()), self.flat.dtype)
+        done = 0
+        for i in range(0, len(at), 100_000):
+            n = sizes[i : i + 100_000]
+            ends = np.cumsum(n)
+            places = np.repeat(self.starts[at[i : i + 100_000]] - (ends - n), n)
+            places += np.arange(len(places))
+            out[done : done + len(places)] = self.flat[places]
+            done += len(places)
+        return out, sizes
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

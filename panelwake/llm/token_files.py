@@ -12,7 +12,8 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwake.llm.common import TOKENIZERS, only, partitions, query, table
+from panelwake.llm.bpe import byte_alphabet
+from panelwake.llm.interning import LONGEST, Known, Rows, hash_words, lowered, split_words, text_bytes, text_of, with_rows
 from panelwake.session import scratch_path
 
-#: Words kept with their ids by one task.
-WORDS_KEPT = 400_000
-
-# White space that ends a word for certain; rarer kinds stay inside words and are left to the library.
-_WORD = re.compile("[^ \t\n\r\x0b\x0c]+")
+#: Distinct words kept with their ids by one Python worker.
+WORDS_KEPT = 2_000_000
 
 _FILE_SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 _ARROW_SCHEMA = pa.schema(
@@ -42,10 +42,16 @@ _ARROW_SCHEMA = pa.schema(
 )
 
 
+_BYTES = {b: c for c, b in byte_alphabet().items()}
+_CASED_ODDLY = re.compile("[\u03a3\u0130]")  # lower case depends on what is around, or is two letters
+
+
 class WordEncoder:
-    """Ids of whole texts from a tokenizer that never joins text across white space.
+    """Ids of whole texts from a tokenizer that lowers case and never joins text across white space.
 
-    Each distinct word goes to the library once while it is kept.
+    Its word pattern also ends words between ASCII letters, digits and other signs, so texts are cut
+    there and each distinct word, in lower case, goes to the library once while it is kept. Texts that
+    hold one of the tokenizer's own control strings go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -55,32 +61,102 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        split = [_WORD.findall(t) for t in texts]
-        known = self.known
-        new = list(set(chain.from_iterable(split)).difference(known))
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            known.update((w, tuple(e.ids)) for w, e in zip(part, encoded))
-        get = known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, words)), np.int32) for words in split]
+        controls = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.control = re.compile("|".join(map(re.escape, controls)).encode() or b"(?!)")
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.rows = Known(), Rows()
+        self.second = np.zeros(0, np.uint64)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, np.int32) for e in encoded]
+
+    def words(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of words whose ASCII letters are lower case.
+
+        A word of letters alone is one piece for the merges, which take it byte by byte; anything else
+        goes through the library's normaliser and word pattern as well.
+        """
+        out: list[np.ndarray | None] = []
+        merge = self.tokenizer.model.tokenize
+        for w in words:
+            letters = None
+            if w.isalpha():  # ASCII letters
+                letters = w.decode()
+            elif w[0] >= 128 or w[-1] >= 128 or w[0] >= 97:
+                text = w.decode()
+                lower = text.lower()
+                if text.isalpha() and not _CASED_ODDLY.search(text) and is_normalized("NFC", text) and is_normalized("NFC", lower):
+                    letters = lower.encode().decode("latin-1").translate(_BYTES)
+            out.append(None if letters is None else np.array([t.id for t in merge(letters)], np.int32))
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self.whole([words[i].decode() for i in rest])):
+            out[i] = ids
+        return out
+
+    def _learn(self, data: bytes, starts, sizes, first, second) -> None:
+        """Encode words not known yet; `first` and `second` are their hashes."""
+        for i in range(0, len(starts), 5000):
+            part = slice(i, i + 5000)
+            cut = zip(starts[part].tolist(), sizes[part].tolist())
+            words = [data[a : a + n] for a, n in cut]
+            ids = self.words(words)
+            self.rows.add(np.concatenate(ids), np.array([len(x) for x in ids]))
+        self.second = np.append(self.second, second)
+        self.known.add(first)
+
+    def encode(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each text has."""
+        if self.known.size > WORDS_KEPT:
+            self.clear()
+        data = lowered(np.frombuffer(raw, np.uint8))
+        starts, sizes = split_words(data, offsets)
+        short = sizes <= LONGEST
+        at = np.full(len(starts), -1, np.int32)
+        first, second = hash_words(data, starts[short], sizes[short])
+        found = self.known.find(first)
+        if (found < 0).any():
+            new = np.flatnonzero(found < 0)
+            new = new[np.unique(first[new], return_index=True)[1]]
+            s, n = starts[short][new], sizes[short][new]
+            self._learn(data.tobytes(), s, n, first[new], second[new])
+            found = self.known.find(first)
+        found[self.second[found] != second] = -1  # another word with the same first hash
+        at[short] = found
+        text = text_of(offsets, starts)
+        alone = {int(t) for t in text[at < 0]}
+        for m in self.control.finditer(raw):
+            alone.add(int(text_of(offsets, np.array([m.start()]))[0]))
+        if alone:
+            use = ~np.isin(text, list(alone))
+            at, text = at[use], text[use]
+        flat, counts = self.rows.gather(at)
+        per_text = np.bincount(text, counts, len(offsets) - 1).astype(np.int64)
+        if alone:
+            texts = [raw[offsets[t] : offsets[t + 1]].decode() for t in sorted(alone)]
+            flat, per_text = with_rows(flat, per_text, dict(zip(sorted(alone), self.whole(texts))))
+        return flat, per_text
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One per Python worker; tasks that follow in the same worker use its words again."""
+    return WordEncoder(path)
 
 
 def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int):
-    encoder, at = WordEncoder(path), 0
+    encoder, at = _encoder(path), 0
     part = TaskContext.get().partitionId()
     for batch in batches:
         n = batch.num_rows
-        ids = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
-        ids = [np.append(x, np.int32(end_id)) for x in ids]
-        sizes = np.fromiter(map(len, ids), np.int64, n)
+        if not n:
+            continue
+        flat, sizes = encoder.encode(*text_bytes(batch.column("text")))
+        flat = np.insert(flat, np.cumsum(sizes), np.int32(end_id))
+        sizes = sizes + 1
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
@@ -134,17 +210,18 @@ def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None
     return rows.select(*columns) if columns else rows
 
 
-def starts(meta: DataFrame) -> DataFrame:
-    """Position of each document's first id in the whole run of ids.
+def starts(rows: DataFrame, meta: DataFrame) -> DataFrame:
+    """`rows` of the token files with the place of each document's first id in the whole run of ids.
 
-    Totals per file (as many rows as files) are summed up first, then rows inside each file.
+    Totals per file (as many rows as files) come from `meta`, a read of metadata pages alone; rows
+    inside a file are summed up after them.
     """
     totals = meta.groupBy("part").agg(F.sum("n_tokens").alias("_total"))
     before = totals.select(
         "part", (F.sum("_total").over(W.orderBy("part")) - F.col("_total")).alias("_before")
     )
     inside = W.partitionBy("part").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    local = meta.withColumn("_upto", F.sum("n_tokens").over(inside))
+    local = rows.withColumn("_upto", F.sum("n_tokens").over(inside))
     out = local.join(F.broadcast(before), "part")  # one row per file
     return out.withColumn("start", F.col("_before") + F.col("_upto") - F.col("n_tokens")).drop(
         "_before", "_upto"
@@ -176,5 +253,5 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's place, length and checksum, from the token files read back."""
     path = scratch_path(spark, "tokens")
     write_token_files(table(spark, folder, "documents"), path)
-    rows = starts(checksums(read_tokens(spark, path)))
+    rows = starts(checksums(read_tokens(spark, path)), read_tokens(spark, path, ["part", "n_tokens"]))
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
