@@ -5,7 +5,11 @@ from __future__ import annotations
 from panelwake.llm import (  # noqa: F401
     bpe,
     chat_format,
+    decontaminate,
     language,
+    line_dedup,
+    near_dup,
+    repeats,
     secrets,
     token_files,
     vector_search,
