@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwake.llm.common import TOKENIZERS, only, query, sha, table
+from panelwake.llm.interning import Known, Rows, hash_words, split_spaced, text_bytes, text_of, with_rows
 
-#: Distinct chunks of text kept with their ids by one task.
-CHUNKS_KEPT = 300_000
+#: Distinct words kept with their ids by one Python worker.
+WORDS_KEPT = 1_000_000
 
-# White space of Unicode; a chunk is a run without it, with one space in front if there is one.
-_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+# white space beyond ASCII, as UTF-8; texts that hold any are cut by the full pattern
+_RARE_BYTES = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 # fixed values: the word pattern of the public vocabulary file
 _PIECE = regex.compile(
@@ -67,10 +67,8 @@ class Vocabulary:
             self.ranks[key] = rank
             self.merged[key] = self.ids[left + right]
         self.longest = max(map(len, self.ids))
-        names = sorted(self.special, key=len, reverse=True)
-        self.cut = re.compile("|".join(map(re.escape, names))) if names else None
         self._spines: dict[int, tuple[list, list] | None] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
 
     def _history(self, token: int):
@@ -105,7 +103,7 @@ class Vocabulary:
         That holds if no merge across the border comes up before one of its two pieces is merged
         away from it. Of equal ranks the leftmost is merged first.
         """
-        key = (first, second)
+        key = first << 24 | second
         known = self._pairs.get(key)
         if known is None:
             known = self._pairs[key] = self._meet(first, second)
@@ -153,71 +151,112 @@ class Vocabulary:
                 end -= len(self.bytes[found[-1]])
             out[word] = tuple(reversed(found))
             before = word
-        if len(self._pairs) > 2_000_000:
+        if len(self._pairs) > 400_000:
             self._pairs.clear()
         return out
 
 
-@lru_cache(maxsize=2)
-def _loaded(path: str) -> tuple[Vocabulary, dict[str, tuple[int, ...]]]:
-    """A worker's vocabulary and kept chunks; tasks that follow in the same worker use them again."""
-    return Vocabulary(path), {}
-
-
-def encode_texts(texts: list[str], path: str) -> list[list[int]]:
-    vocabulary, known = _loaded(path)
-    if len(known) > CHUNKS_KEPT:
-        known.clear()
-    cut = vocabulary.cut
-    plain: list[list[list[str] | int]] = []  # per text, lists of chunks and ids of special tokens
-    for text in texts:
-        parts, at = [], 0
-        for m in cut.finditer(text) if cut else ():
-            parts += [_CHUNK.findall(text[at : m.start()]), vocabulary.special[m[0]]]
+class Encoder:
+    """A worker's vocabulary and the words it has met; tasks that follow use them again."""
+
+    def __init__(self, path: str):
+        self.vocabulary = Vocabulary(path)
+        names = sorted(self.vocabulary.special, key=len, reverse=True)
+        self.cut = re.compile("|".join(map(re.escape, names)) or "(?!)")
+        self.cut_bytes = re.compile(self.cut.pattern.encode())
+        sizes = np.array([len(b) for b in self.vocabulary.bytes])
+        self.spelled = Rows(np.uint8)
+        self.spelled.add(np.frombuffer(b"".join(self.vocabulary.bytes), np.uint8), sizes)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.rows, self.second = Known(), Rows(), np.zeros(0, np.uint64)
+
+    def _words(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of chunks of text that the word pattern may cut further."""
+        pieces = []
+        for w in words:
+            plain = w[1:] if w[:1] == b" " else w
+            pieces.append([w] if plain.isalpha() else [p.encode() for p in _PIECE.findall(w.decode())])
+        ids = self.vocabulary.encode_words(set(chain.from_iterable(pieces)))
+        return [ids[ps[0]] if len(ps) == 1 else tuple(chain.from_iterable(map(ids.get, ps))) for ps in pieces]
+
+    def whole(self, text: str) -> np.ndarray:
+        """Ids of a text, control strings and rare white space included."""
+        out, at = [], 0
+        for m in self.cut.finditer(text):
+            out += [*self._plain(text[at : m.start()]), self.vocabulary.special[m[0]]]
             at = m.end()
-        parts.append(_CHUNK.findall(text[at:] if at else text))
-        plain.append(parts)
-    new = set().union(*(c for parts in plain for c in parts if isinstance(c, list)))
-    new.difference_update(known)
-    pieces = {c: [p.encode() for p in _PIECE.findall(c)] for c in new}
-    words = vocabulary.encode_words(set(chain.from_iterable(pieces.values())))
-    for c, ps in pieces.items():
-        known[c] = words[ps[0]] if len(ps) == 1 else tuple(chain.from_iterable(words[p] for p in ps))
-    get = known.__getitem__
-    out = []
-    for parts in plain:
-        if len(parts) == 1:
-            out.append(list(chain.from_iterable(map(get, parts[0]))))
-        else:
-            out.append([])
-            for c in parts:
-                out[-1].extend([c] if isinstance(c, int) else chain.from_iterable(map(get, c)))
-    return out
+        return np.array([*out, *self._plain(text[at:])], np.int32)
+
+    def _plain(self, text: str) -> list[int]:
+        pieces = [p.encode() for p in _PIECE.findall(text)]
+        ids = self.vocabulary.encode_words(set(pieces))
+        return list(chain.from_iterable(map(ids.get, pieces)))
+
+    def encode(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each text has."""
+        if self.known.size > WORDS_KEPT:
+            self.clear()
+        starts, sizes = split_spaced(np.frombuffer(raw, np.uint8), offsets)
+        first, second = hash_words(np.frombuffer(raw, np.uint8), starts, sizes)
+        at = self.known.find(first)
+        if (at < 0).any():
+            new = np.flatnonzero(at < 0)
+            new = new[np.unique(first[new], return_index=True)[1]]
+            cut = zip(starts[new].tolist(), sizes[new].tolist())
+            ids = self._words([raw[a : a + n] for a, n in cut])
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.rows.add(np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths)
+            self.known.add(first[new])
+            self.second = np.append(self.second, second[new])
+            at = self.known.find(first)
+        text = text_of(offsets, starts)
+        # words that share a first hash with another, control strings, rare white space
+        alone = set(text[self.second[at] != second].tolist())
+        for m in chain(self.cut_bytes.finditer(raw), _RARE_BYTES.finditer(raw)):
+            alone.add(int(text_of(offsets, np.array([m.start()]))[0]))
+        if alone:
+            use = ~np.isin(text, list(alone))
+            at, text = at[use], text[use]
+        flat, counts = self.rows.gather(at)
+        per_text = np.bincount(text, counts, len(offsets) - 1).astype(np.int64)
+        if alone:
+            texts = {t: self.whole(raw[offsets[t] : offsets[t + 1]].decode()) for t in sorted(alone)}
+            flat, per_text = with_rows(flat, per_text, texts)
+        return flat, per_text
+
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """Texts of ids that stand in a row, `sizes` of them each."""
+        data, lengths = self.spelled.gather(ids)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(sizes)])]
+        raw = data.tobytes()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        return pa.array(texts, pa.string())
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def _encode_batches(batches: Iterator[pa.RecordBatch], path: str):
+    encoder = _encoder(path)
     for batch in batches:
-        at = batch.schema.get_field_index("text")
-        ids = encode_texts([t or "" for t in batch.column(at).to_pylist()], path)
-        offsets = np.zeros(len(ids) + 1, np.int32)
-        np.cumsum([len(x) for x in ids], out=offsets[1:])
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
+        flat, sizes = encoder.encode(*text_bytes(batch.column(1)))
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
         yield pa.RecordBatch.from_arrays([batch.column(0), column], names=["doc_id", "ids"])
 
 
 def _decode_batches(batches: Iterator[pa.RecordBatch], path: str):
+    encoder = _encoder(path)
     for batch in batches:
-        get = _loaded(path)[0].bytes.__getitem__
         ids = batch.column("ids")
-        flat, offsets = ids.values.to_pylist(), ids.offsets.to_pylist()
-        texts = [
-            b"".join(map(get, flat[a:b])).decode("utf-8", "replace")
-            for a, b in zip(offsets, offsets[1:])
-        ]
+        sizes = np.diff(ids.offsets.to_numpy())
+        decoded = encoder.decode(ids.flatten().to_numpy(), sizes)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), ids, pa.array(texts, pa.string())],
-            names=["doc_id", "ids", "decoded"],
+            [batch.column("doc_id"), ids, decoded], names=["doc_id", "ids", "decoded"]
         )
 
 
