@@ -49,15 +49,17 @@ def _matrix(column, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _distances(v: np.ndarray, plan: Plan, dim: int) -> np.ndarray:
-    """From each vector, with its length brought up, to each pivot."""
+def _distances(v: np.ndarray, plan: Plan, dim: int, query: bool = False) -> np.ndarray:
+    """From each vector to each pivot. The further coordinate brings vectors and pivots to the longest
+    length and is 0 for queries, so that only the inner product tells a query's distances apart."""
     pivots = plan.pivots[dim].astype(float)
     top = float(plan.longest[dim])
     v = v.astype(float)
-    own, other = (v * v).sum(axis=1), (pivots * pivots).sum(axis=1)
-    extra = np.sqrt(np.maximum(top - own, 0))[:, None] * np.sqrt(np.maximum(top - other, 0))[None, :]
-    square = own[:, None] + other[None, :] - 2 * (v @ pivots.T)
-    square += np.maximum(top - own, 0)[:, None] + np.maximum(top - other, 0)[None, :] - 2 * extra
+    rest = top - (pivots * pivots).sum(axis=1)
+    own = (v * v).sum(axis=1)
+    lift = np.zeros(len(v)) if query else np.sqrt(np.maximum(top - own, 0))
+    square = own[:, None] + top - 2 * (v @ pivots.T) + (lift * lift)[:, None]
+    square -= 2 * lift[:, None] * np.sqrt(np.maximum(rest, 0))[None, :]
     return np.sqrt(np.maximum(square, 0))
 
 
@@ -69,8 +71,6 @@ def _key_batches(batches: Iterator[pa.RecordBatch], sent):
         dist = np.zeros(len(dims))
         for dim in np.unique(dims).tolist():
             at = np.flatnonzero(dims == dim)
-            if dim == 0:
-                continue
             d = _distances(_matrix(batch.column("v").take(pa.array(at)), dim), plan, dim)
             pivot[at] = d.argmin(axis=1)
             dist[at] = d.min(axis=1)
@@ -94,14 +94,14 @@ def build(
     Pivots are picked one after another from a hashed sample of `sample` vectors, each as far as it can
     be from those before it; the sample only places pivots, all vectors are indexed. Vectors of
     different lengths do not meet. Crowded cells are cut into blocks by a hash of the id, so equal
-    vectors spread as well. Vectors that are null or hold null or non-finite components, and rows
-    without id, take no part.
+    vectors spread as well. Vectors that are null, empty or hold null or non-finite components, and
+    rows without id, take no part.
     """
     spark = vectors.sparkSession
     rows = only(vectors, vec_id=vec_id, v=vector).select(
         F.col("vec_id").cast("long").alias("vec_id"), scaled(F.col("v")).alias("v")
     )
-    rows = rows.where("vec_id is not null and v is not null").withColumn("dim", F.size("v"))
+    rows = rows.where("vec_id is not null and size(v) > 0").withColumn("dim", F.size("v"))
     square = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x)
     longest = {r["dim"]: r["top"] for r in rows.groupBy("dim").agg(F.max(square).alias("top")).collect()}
     drawn: dict[int, list] = {}
@@ -150,7 +150,7 @@ def _visit_batches(batches: Iterator[pa.RecordBatch], sent, k: int, wave: int):
             at = np.flatnonzero(dims == dim)
             there = plan.cells[dim]
             v = _matrix(batch.column("v").take(pa.array(at)), dim)
-            to = _distances(v, plan, dim)[:, there[:, 1].astype(int)] if dim else np.zeros((len(at), len(there)))
+            to = _distances(v, plan, dim, query=True)[:, there[:, 1].astype(int)]
             least = np.maximum(np.maximum(to - there[:, 3], there[:, 2] - to), 0)
             own = (v.astype(float) ** 2).sum(axis=1)
             for i, row in enumerate(at.tolist()):
