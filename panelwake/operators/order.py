@@ -3,13 +3,30 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwake.session import durable
 
-HEAVY = 64  # a key is heavy when it holds more than 1/64 of all rows
+LEAST_SALTS = 64
+
+
+def salts(spark: SparkSession) -> int:
+    """Parts a heavy key is spread over; a key is heavy when it holds more than one such part of all
+    rows. There are as many as shuffle tasks, so no key makes a task much longer than the others."""
+    return max(LEAST_SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which NULL is a value like any other; the left side's keys stay."""
+    if not keys:
+        return left.crossJoin(right)  # one group: `right` is its single row
+    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def split_points(df: DataFrame, value: str, slices: int | None = None) -> list[float]:
@@ -18,7 +35,7 @@ def split_points(df: DataFrame, value: str, slices: int | None = None) -> list[f
     Only the balance of the work depends on them; results do not.
     """
     if slices is None:
-        slices = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4096)
+        slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     probs = [i / slices for i in range(1, slices)]
     return sorted(set(df.approxQuantile(value, probs, 1.0 / (4 * slices))))
 
@@ -43,11 +60,14 @@ def prefix_sums(
 ) -> DataFrame:
     """Running totals per group in value order, this value included; totals as all_<name>.
 
+    Rows without a value have no place in the order: they are left out of running and whole totals,
+    however many slices there are. NULL is a group like any other.
+
     `df` has one row per (group, value). Rows are cut into slices by value; running sums inside a
     slice are shifted by the totals of the slices before it. A task sees one slice of one group. The
     slice totals have at most groups x slices rows.
     """
-    sliced = with_slice(df, value, splits)
+    sliced = with_slice(df.where(F.col(value).isNotNull()), value, splits)
     order = F.desc if descending else F.asc
     totals = sliced.groupBy(*groups, "_slice").agg(*[F.sum(s).alias(s) for s in sums])
     in_order = W.partitionBy(*groups).orderBy(order("_slice"))
@@ -66,7 +86,7 @@ def prefix_sums(
         W.unboundedPreceding, 0
     )
     local = sliced.withColumns({f"_cum_{s}": F.sum(s).over(inside) for s in sums})
-    joined = local.join(before, [*groups, "_slice"])
+    joined = join_groups(local, before, [*groups, "_slice"])
     out = joined.withColumns({f"cum_{s}": F.col(f"_cum_{s}") + F.col(f"_before_{s}") for s in sums})
     return out.drop("_slice", *[f"_cum_{s}" for s in sums], *[f"_before_{s}" for s in sums])
 
@@ -136,24 +156,26 @@ def quantiles(
 
 
 def lookup_skewed(
-    left: DataFrame, right: DataFrame, keys: list[str], heavy: Column, spread_on: Column
+    left: DataFrame, right: DataFrame, keys: list[str], weight: Column, rows: int, spread_on: Column
 ) -> DataFrame:
     """Left lookup in a table with one row per key, with busy keys spread over salts.
 
-    `heavy` marks keys of `right` that hold more than 1/HEAVY of the left rows. By counting there are
-    at most HEAVY of them per total, which is what makes their broadcast safe. Rows of a heavy key,
-    and rows without a key, get a salt from `spread_on`; the heavy rows of `right` are copied once per
-    salt.
+    `weight` is the number of left rows with a key of `right`, `rows` that of all of them. Keys that hold
+    more than one salt's share are heavy; by counting there are at most as many heavy keys as salts,
+    which is what makes their broadcast safe. Rows of a heavy key, and rows without a key, get a salt
+    from `spread_on`; the heavy rows of `right` are copied once per salt.
     """
+    parts = salts(left.sparkSession)
+    heavy = F.coalesce(weight * parts > rows, F.lit(False))
     hot = right.where(heavy).select(*keys, F.lit(True).alias("_hot"))
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()
-    salt = F.pmod(F.xxhash64(spread_on), F.lit(HEAVY)).cast("int")
+    salt = F.pmod(F.xxhash64(spread_on), F.lit(parts)).cast("int")
     tagged = left.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.when(F.col("_hot") | no_key, salt).otherwise(0)
     )
-    copies = F.when(heavy, F.sequence(F.lit(0), F.lit(HEAVY - 1))).otherwise(F.array(F.lit(0)))
+    copies = F.when(heavy, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
     spread = right.withColumn("_salt", F.explode(copies))
     return tagged.drop("_hot").join(spread, [*keys, "_salt"], "left").drop("_salt")
 
@@ -162,6 +184,8 @@ BROADCAST_ROWS = 100_000
 
 
 def join_small(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join with a durable side that is broadcast if it is counted to be small, else shuffled."""
+    """Inner join with a durable side that is broadcast if it is counted to be small, else shuffled.
+
+    NULL is a key like any other."""
     small = right.count() <= BROADCAST_ROWS
-    return left.join(F.broadcast(right) if small else right, keys)
+    return join_groups(left, F.broadcast(right) if small else right, keys)

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwake.functions import calendar, numeric
-from panelwake.operators.order import HEAVY, lookup_skewed
+from panelwake.operators.order import lookup_skewed
 from panelwake.session import durable
 
 
@@ -136,10 +136,9 @@ def with_owner(
     The history has one row per (owner, period) and is kept, as three places read it.
     """
     history = durable(history)
-    total = history.agg(F.sum("_owner_n")).scalar()
-    heavy = F.col("_owner_n") * HEAVY > total
+    total = history.agg(F.coalesce(F.sum("_owner_n"), F.lit(0))).first()[0]
     linked = rows.join(owners.select(entity, owner), entity, "left")
-    return lookup_skewed(linked, history, [owner, period], heavy, F.col(entity))
+    return lookup_skewed(linked, history, [owner, period], F.col("_owner_n"), total, F.col(entity))
 
 
 def loo_rate() -> Column:

@@ -9,12 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwake.functions.numeric import log_choose
-from panelwake.operators.order import join_small, prefix_sums, quantiles, split_points
+from panelwake.operators.order import join_groups, join_small, prefix_sums, quantiles, split_points
 from panelwake.session import durable
 
 # Cut-offs of the report.
 TOP_K = [100, 250, 500, 1000, 2500]
 SALTS = 64
+TERMS = 1024  # of a binomial tail, summed as one piece
 
 
 def tie_key(seed: int, *keys: str) -> Column:
@@ -106,9 +107,21 @@ def report(
     ks: list[int] = TOP_K,
     splits: list[float] | None = None,
 ) -> DataFrame:
-    """One row per group with all ranking metrics."""
+    """One row per group with all ranking metrics.
+
+    NULL is a group like any other. Rows without a score are in no rank and in no metric;
+    `without_score` counts them.
+    """
+    scored = scored.where(F.col(score).isNotNull())
     whole = durable(areas(curve(scored, groups, score, label, splits), groups, max(ks)))
-    return whole.join(top_k(scored, groups, score, label, tie, whole, ks), groups).drop("_edge")
+    return join_groups(whole, top_k(scored, groups, score, label, tie, whole, ks), groups).drop("_edge")
+
+
+def without_score(scored: DataFrame, groups: list[str], score: str) -> DataFrame:
+    """Rows per group, and those of them that no ranking can place."""
+    return scored.groupBy(*groups).agg(
+        F.count("*").alias("rows"), F.count_if(F.col(score).isNull()).alias("unscored")
+    )
 
 
 def by_stratum(scored: DataFrame, zero_flag: str, stratum: str = "stratum") -> DataFrame:
@@ -139,7 +152,7 @@ def rank_percentiles(
 def sign_test(deltas: DataFrame, groups: list[str], delta: str, alpha: float = 0.05) -> DataFrame:
     """One-sided exact sign test of 'median delta <= 0' per group; zero deltas are dropped and counted.
 
-    The binomial tail is summed over its terms as rows, the median comes from prefix sums.
+    The binomial tail is summed in pieces of its terms that count, the median comes from prefix sums.
     """
     d = F.col(delta)
     facts = deltas.groupBy(*groups).agg(
@@ -150,11 +163,23 @@ def sign_test(deltas: DataFrame, groups: list[str], delta: str, alpha: float = 0
     )
     median = quantiles(deltas, groups, delta, [0.5]).select(*groups, F.col("q0").alias("median_delta"))
     n, k = F.col("n_signtest"), F.col("n_positive")
-    # past the centre the short tail is summed, before it the complement
+    # past the centre the short tail is summed, before it the complement; terms further than 20
+    # standard deviations from the centre add less than 1e-85
     upper = k * 2 > n
-    first, last = F.when(upper, k).otherwise(F.lit(0)), F.when(upper, n).otherwise(k - 1)
-    terms = facts.where((n > 0) & (last >= first)).select(
-        *groups, "n_signtest", F.explode(F.sequence(first, last)).alias("i")
+    reach = F.ceil(10 * F.sqrt(n.cast("double"))).cast("long") + TERMS
+    middle = F.floor(n / 2).cast("long")
+    first = F.when(upper, k).otherwise(F.greatest(middle - reach, F.lit(0)))
+    last = F.when(upper, F.least(n, F.greatest(middle, k) + reach)).otherwise(k - 1)
+    parts = facts.where((n > 0) & (last >= first)).select(
+        *groups,
+        "n_signtest",
+        last.alias("_last"),
+        F.explode(F.sequence(first, last, F.lit(TERMS).cast("long"))).alias("_from"),
+    )
+    terms = parts.select(
+        *groups,
+        "n_signtest",
+        F.explode(F.sequence("_from", F.least(F.col("_from") + TERMS - 1, F.col("_last")))).alias("i"),
     )
     log_p = log_choose(F.col("n_signtest").cast("double"), F.col("i").cast("double")) - F.col(
         "n_signtest"
@@ -163,8 +188,7 @@ def sign_test(deltas: DataFrame, groups: list[str], delta: str, alpha: float = 0
     t = F.coalesce("_tail", F.lit(0.0))
     p = F.when(n > 0, F.when(upper, t).otherwise(1.0 - t))
     return (
-        facts.join(median, groups, "left")
-        .join(tail, groups, "left")
+        join_groups(join_groups(facts, median, groups, "left"), tail, groups, "left")
         .withColumn("p_one_sided", p)
         .withColumn("reject", F.col("p_one_sided") < alpha)
         .drop("_tail")

@@ -70,8 +70,7 @@ def rank_percentile(spark, folder):
     """Average rank and rank percentile of every order inside its year."""
     scored = priced_orders(spark, folder).select("o_orderkey", "year", "score")
     pct = ranking.rank_percentiles(scored, ["year"], "score")
-    heavy = F.col("n") * order.HEAVY > F.col("all_n")
-    out = order.lookup_skewed(scored, pct, ["year", "score"], heavy, F.col("o_orderkey"))
+    out = order.lookup_skewed(scored, pct, ["year", "score"], F.col("n"), scored.count(), F.col("o_orderkey"))
     return st.rounded(out.select("o_orderkey", "year", "score", "avg_rank", "pct"))
 
 
@@ -177,14 +176,14 @@ def silent_entities(spark, folder) -> DataFrame:
 def rank_improvement(spark, folder, wide: DataFrame) -> DataFrame:
     """Percentile under one model minus percentile under the other, on the screened entities."""
     wide = wide.select("key", "season", "persistence", "trailing3")
+    rows = wide.count()  # the screen holds a part of them
     screen = silent_entities(spark, folder)
     out = screen.join(wide, ["key", "season"], "left")
     for model in ("persistence", "trailing3"):
         pct = ranking.rank_percentiles(wide.select("season", model), ["season"], model).withColumnRenamed(
             "pct", f"pct_{model}"
         ).drop("avg_rank")
-        heavy = F.col("n") * order.HEAVY > F.col("all_n")
-        out = order.lookup_skewed(out, pct, ["season", model], heavy, F.col("key")).drop("n", "all_n")
+        out = order.lookup_skewed(out, pct, ["season", model], F.col("n"), rows, F.col("key")).drop("n", "all_n")
     return durable(
         out.select("key", "season", (F.col("pct_trailing3") - F.col("pct_persistence")).alias("delta"))
     )

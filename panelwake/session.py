@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -47,12 +50,16 @@ def _checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a scratch folder only where none is named."""
+    """The shared folder named by the session; on one machine a scratch folder that goes at its end."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if _checkpoint_dir(spark) is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelwake-"))
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        scratch = tempfile.mkdtemp(prefix="panelwake-")
+        atexit.register(shutil.rmtree, scratch, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(scratch)
     return _checkpoint_dir(spark)
 
 

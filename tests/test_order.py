@@ -61,13 +61,29 @@ def test_terciles(spark, n):
 
 def test_lookup_of_hot_keys(spark, scores):
     df = spark.createDataFrame(scores)
-    facts = df.groupBy("g", "s").agg(F.count("*").alias("n")).withColumn("total", F.lit(800)).withColumn("v", F.col("s") * 2)
+    facts = df.groupBy("g", "s").agg(F.count("*").alias("n")).withColumn("v", F.col("s") * 2)
     left = df.unionByName(spark.createDataFrame([("c", 1, 0.5)], "g string, k int, s double"))
     left = left.unionByName(spark.createDataFrame([(None, 7, 0.5)], "g string, k int, s double"))
-    heavy = F.col("n") * order.HEAVY > F.col("total")
-    got = order.lookup_skewed(left, facts, ["g", "s"], heavy, F.col("k")).toPandas()
+    got = order.lookup_skewed(left, facts, ["g", "s"], F.col("n"), 800, F.col("k")).toPandas()
     assert len(got) == 802 and got[got.g.isna()].v.isna().all()
     got = got[got.g.notna()]
     assert got[got.g == "c"].v.isna().all()
     rest = got[got.g != "c"]
     assert (rest.v == rest.s * 2).all()
+
+
+@pytest.mark.parametrize("slices", [0, 1, 8, 200])
+def test_null_values_and_null_groups_do_not_depend_on_slices(spark, slices):
+    rows = [(g, i, None if i % 5 == 0 else float(i % 7)) for g in ("a", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, k int, s double")
+    splits = [7.0 * i / slices for i in range(1, slices)]
+    counts = df.groupBy("g", "s").agg(F.count("*").alias("n"))
+    got = order.prefix_sums(counts, ["g"], "s", ["n"], splits).collect()
+    assert {r["g"] for r in got} == {"a", None} and {r["all_n"] for r in got} == {32}
+    assert all(r["s"] is not None for r in got)
+    assert {(r["g"], r["s"]): r["cum_n"] for r in got} == {
+        (g, float(v)): sum(1 for h, _, s in rows if h == g and s is not None and s <= v) for g in ("a", None) for v in range(7)
+    }
+    q = {r["g"]: r["q0"] for r in order.quantiles(df, ["g"], "s", [0.5], splits).collect()}
+    want = np.median([s for g, _, s in rows if g == "a" and s is not None])
+    assert q == {"a": want, None: want}
