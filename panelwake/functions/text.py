@@ -81,6 +81,12 @@ def normalize_text(c: Column | str) -> Column:
     return collapse_spaces(F.upper(F.coalesce(_col(c), F.lit(""))))
 
 
+def is_apartment(unit_type: Column | str, apartment: Column | str) -> Column:
+    """A row about one apartment: of that unit type, with a value that is neither blank nor 'BLDG'."""
+    value = normalize_text(apartment)
+    return (normalize_text(unit_type) == "APARTMENT") & ~value.isin("", "BLDG")
+
+
 def normalize_street(c: Column | str) -> Column:
     """'E. 136th St' -> 'EAST 136 STREET'."""
     flat = collapse_spaces(F.replace(F.upper(_col(c)), F.lit("."), F.lit(" ")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from panelwake.plans import (  # noqa: F401
     association_queries,
+    contract_queries,
     ingest_queries,
     model_queries,
     panel_queries,

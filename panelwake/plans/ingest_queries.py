@@ -7,9 +7,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from panelwake.functions import calendar, keys, numeric, text
-from panelwake.operators import dedupe, stats
+from panelwake.operators import dedupe, stats, waterfall
 from panelwake.plans import standins as st
 from panelwake.plans.registry import query
+from panelwake.session import durable, scratch_path
 from panelwake.sources import contracts, landing
 
 OVERLAP_LO, OVERLAP_HI = dt.datetime(1998, 1, 1), dt.datetime(1998, 2, 1)
@@ -401,13 +402,6 @@ def set_operations(spark, folder):
     return one.unpivot([], ["minus", "intersect", "union", "symmetric"], "op", "keys")
 
 
-@query("table_fingerprint")
-def table_fingerprint(spark, folder):
-    """Order-free fingerprints of the star schema."""
-    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
-    return contracts.fingerprints({n: landing.read_table(spark, folder, n) for n in names})
-
-
 @query(
     "guard_rollup",
     st.with_base(
@@ -417,18 +411,19 @@ SELECT CAST(count(*) AS BIGINT) AS passes, CAST(count(DISTINCT site) AS BIGINT)
     ),
 )
 def guard_rollup(spark, folder):
-    """Seasons each source touches, rolled up like an audit log."""
-    per_site = (
-        st.lineitem(spark, folder)
-        .select(
-            F.concat("l_returnflag", "l_linestatus").alias("site"),
-            calendar.season_of(F.to_date("l_shipdate")).alias("season"),
-        )
-        .where(F.col("season").isNotNull())
-        .distinct()
-        .groupBy("site")
-        .agg(F.collect_set("season").alias("touched"))  # one entry per season
+    """Seasons each source touches, guarded, logged, and rolled up from the log."""
+    log = scratch_path(spark, "audit")
+    li = st.lineitem(spark, folder).select(
+        F.concat("l_returnflag", "l_linestatus").alias("site"),
+        calendar.season_of(F.to_date("l_shipdate")).alias("season"),
     )
+    per_site = durable(li.where(F.col("season").isNotNull()).distinct())
+    allowed = list(range(1990, 2010))
+    for r in per_site.select("site").distinct().orderBy("site").collect():  # a handful of streams
+        own = per_site.where(F.col("site") == r["site"])
+        touched = waterfall.guard_periods(own, "season", r["site"], allowed, allowed[-1] + 1)
+        landing.append_audit(spark, log, r["site"], touched, allowed)
+    per_site = spark.read.schema("site string, touched array<int>, allowed array<int>").json(log)
     last = F.array_max("touched")
     return per_site.agg(
         F.count("*").alias("passes"),

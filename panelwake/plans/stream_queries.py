@@ -11,20 +11,23 @@ from panelwake.streaming import feeds
 
 
 def ship_stream(spark, folder) -> DataFrame:
+    """The table as a stream, whole in one batch: its files are not in order of time, so several batches
+    would refuse rows as late."""
     schema = st.lineitem(spark, folder).schema
-    raw = feeds.file_stream(spark, folder, schema, "lineitem.parquet")
+    raw = feeds.file_stream(spark, f"{folder.rstrip('/')}/lineitem.parquet", schema)
     return raw.withColumn("ts", feeds.event_time(F.col("l_shipdate")))
 
 
 @query(
     "stream_dedupe",
-    """SELECT l_returnflag, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(count(*) AS BIGINT) AS rows FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_returnflag FROM lineitem) GROUP BY ALL""",
+    """SELECT l_returnflag, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS late_rows FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_returnflag FROM lineitem) GROUP BY ALL""",
 )
 def stream_dedupe(spark, folder):
-    """Incremental ingest with one row per key, counted by source and year."""
+    """Incremental ingest with one row per key, counted by source and year; rows the stream refused."""
     rows = ship_stream(spark, folder).select(*st.ROW_ID, "l_returnflag", "ts")
-    landed, _ = feeds.drain(feeds.dedupe(rows, "ts", [*st.ROW_ID, "l_returnflag"]), "dedupe")
-    return landed.groupBy("l_returnflag", F.year("l_shipdate").alias("year")).agg(F.count("*").alias("rows"))
+    landed, run = feeds.drain(feeds.dedupe(rows, "ts", [*st.ROW_ID, "l_returnflag"]), "dedupe")
+    late = F.lit(feeds.dropped_late(run)).cast("long").alias("late_rows")
+    return landed.groupBy("l_returnflag", F.year("l_shipdate").alias("year")).agg(F.count("*").alias("rows"), late)
 
 
 SETTLED = 7  # days before the end of the stream after which results may still change
@@ -36,14 +39,15 @@ SETTLED = 7  # days before the end of the stream after which results may still c
         """,
 z AS (SELECT max(d) - 7 AS settled FROM li),
 c AS (SELECT i.rid, i.d, count(e.rid) AS n FROM inc i LEFT JOIN evt e ON e.key = i.key AND e.d BETWEEN i.d - 30 AND i.d, z WHERE i.d <= settled GROUP BY i.rid, i.d)
-SELECT CAST(year(d) AS INTEGER) AS year, CAST(count(*) AS BIGINT) AS incidents, CAST(sum(n) AS BIGINT) AS pairs, CAST(count(*) FILTER (n = 0) AS BIGINT) AS silent FROM c GROUP BY 1"""
+SELECT CAST(year(d) AS INTEGER) AS year, CAST(count(*) AS BIGINT) AS incidents, CAST(sum(n) AS BIGINT) AS pairs, CAST(count(*) FILTER (n = 0) AS BIGINT) AS silent, CAST(0 AS BIGINT) AS late_rows FROM c GROUP BY 1"""
     ),
 )
 def stream_assoc(spark, folder):
     """Association of incidents with the events of the 30 days before, as a stream-stream join."""
     rows = ship_stream(spark, folder).withColumnRenamed("l_partkey", "key")
     side = lambda flag: rows.where(F.col("l_returnflag") == flag).select("key", "ts")
-    landed, _ = feeds.drain(feeds.associate(side("R"), side("N"), "key", "ts", 30), "assoc")
+    landed, run = feeds.drain(feeds.associate(side("R"), side("N"), "key", "ts", 30), "assoc")
+    late = F.lit(feeds.dropped_late(run)).cast("long").alias("late_rows")
     last = st.lineitem(spark, folder).agg(F.date_sub(F.to_date(F.max("l_shipdate")), SETTLED).alias("d"))
     per_day = (
         landed.where(F.col("day") <= last.scalar())
@@ -55,4 +59,5 @@ def stream_assoc(spark, folder):
         F.sum(n).alias("incidents"),
         F.sum(n * F.col("events")).alias("pairs"),
         F.sum(F.when(F.col("events") == 0, n).otherwise(0)).alias("silent"),
+        late,
     )

@@ -101,12 +101,19 @@ def require_invariants(
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free content fingerprint of a table; one row."""
-    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
-    return df.agg(
+    """Order-free content fingerprint of a table; one row.
+
+    A row's text lists its columns in name order, each value marked as present or NULL, so NULLs and
+    values that move between columns are seen. Its hash is the first 60 bits of an MD5; sums cannot
+    overflow below 10^20 rows.
+    """
+    marked = [F.coalesce(F.concat(F.lit("v"), F.col(f"`{c}`").cast("string")), F.lit("n")) for c in sorted(df.columns)]
+    row = F.md5(F.concat_ws("\x1f", *marked).cast("binary"))
+    h = F.conv(F.substring(row, 1, 15), 16, 10).cast("long")
+    return df.select(h.alias("h")).agg(
         F.count("*").alias("rows"),
-        F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor_hash"),
-        F.coalesce(F.sum(F.pmod(h, F.lit(2147483647))), F.lit(0)).alias("sum_hash"),
+        F.coalesce(F.bit_xor("h"), F.lit(0)).alias("xor_hash"),
+        F.coalesce(F.sum(F.col("h").cast("decimal(28,0)")), F.lit(0)).cast("string").alias("sum_hash"),
     )
 
 

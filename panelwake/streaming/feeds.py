@@ -11,14 +11,17 @@ from panelwake.functions.calendar import epoch_micros
 from panelwake.session import scratch_path
 
 
-def file_stream(
-    spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet", per_batch: int | None = None
-) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def file_stream(spark: SparkSession, path: str, schema: T.StructType, per_batch: int | None = None) -> DataFrame:
+    """A parquet table, one file or a folder of part files, as a stream; `per_batch` files a batch."""
+    reader = spark.readStream.schema(schema)
     if per_batch:
         reader = reader.option("maxFilesPerTrigger", per_batch)
-    return reader.parquet(folder)
+    # a stream takes a plain path for a folder; as a pattern that fits itself alone it may be a file too
+    path = path.rstrip("/")
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def event_time(ts: Column) -> Column:
@@ -71,8 +74,12 @@ def associate(
 
 
 def drain(stream: DataFrame, label: str) -> tuple[DataFrame, StreamingQuery]:
-    """Process everything that is there now and return what was written."""
+    """Process everything that is there now; what was written, and the query for its late rows.
+
+    State is kept outside the heap, so it may outgrow an executor's memory.
+    """
     spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     out, state = scratch_path(spark, f"{label}-out"), scratch_path(spark, f"{label}-state")
     query = (
         stream.writeStream.format("parquet")

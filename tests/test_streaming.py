@@ -51,6 +51,28 @@ def test_stream_association_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def test_a_folder_of_parts_gives_the_rows_of_one_file(spark, folder, tmp_path):
+    from panelwake.plans import stream_queries
+
+    li = spark.read.parquet(f"{folder}/lineitem.parquet")
+    li.repartition(4).write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = lambda q, at: sorted(map(tuple, q(spark, at).collect()))
+    for q in (stream_queries.stream_dedupe, stream_queries.stream_assoc):
+        one, many = rows(q, folder), rows(q, str(tmp_path))
+        assert one and one == many and all(r[-1] == 0 for r in one)
+
+
+def test_late_rows_of_several_batches_are_counted(spark, tmp_path):
+    t = lambda d: dt.datetime(2024, 1, d)
+    for i, rows in enumerate([[(1, t(1))], [(2, t(20))], [(3, t(2)), (4, t(21))], [(5, t(3))]]):
+        spark.createDataFrame(rows, "k int, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = feeds.file_stream(spark, str(tmp_path / "in"), schema, per_batch=1)
+    out, query = feeds.drain(feeds.dedupe(stream, "ts", ["k"], "2 days"), "t")
+    assert len({p["batchId"] for p in query.recentProgress}) >= 4
+    assert out.count() + feeds.dropped_late(query) == 5 and feeds.dropped_late(query) >= 1
+
+
 def test_keep_first_limits_rows_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
     out = dedupe.keep_first(df, ["k"], [F.desc("id")])
