@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from panelwake.functions import numeric
 from panelwake.operators import ranking
+from panelwake.operators.order import quantiles
+from panelwake.session import durable
 
 # The search space of the propensity and the risk model.
 PROPENSITY_DIMS = [
@@ -43,6 +46,8 @@ TWO_HEAD_DIMS = [
     ("mu2", [0.0, 0.1, 1.0]),
 ]
 SAMPLED_CONFIGS = 60
+FITS_AT_A_TIME = 4
+MOST_LEVELS = 1000
 
 
 def train_rows(df: DataFrame, fold: int, first: int, period: str = "season") -> DataFrame:
@@ -196,13 +201,17 @@ def class_ratio(df: DataFrame, label: str) -> DataFrame:
 def logistic_facts(train: DataFrame, numbers: list[str], category: str) -> dict:
     """Training medians, category levels, means and deviations; all are small results.
 
-    Ages and unit counts have few distinct values, which keeps the exact median cheap.
+    Medians come from prefix sums over distinct values, so no task holds a column. A category has at
+    most MOST_LEVELS levels; more are refused before they are collected.
     """
-    row = train.agg(
-        *[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in numbers]
-    ).first()
-    levels = train.select(F.coalesce(category, F.lit("MISSING")).alias("v")).distinct().collect()
-    return {"medians": row.asDict(), "levels": sorted(r["v"] for r in levels)}
+    medians = {
+        c: quantiles(train.select(F.col(c).cast("double").alias(c)), [], c, [0.5]).first() for c in numbers
+    }
+    levels = train.select(F.coalesce(category, F.lit("MISSING")).alias("v")).distinct()
+    found = [r["v"] for r in levels.limit(MOST_LEVELS + 1).collect()]
+    if len(found) > MOST_LEVELS:
+        raise ValueError(f"{category} has more than {MOST_LEVELS} levels")
+    return {"medians": {c: r["q0"] if r else None for c, r in medians.items()}, "levels": sorted(found)}
 
 
 def logistic_inputs(df: DataFrame, lag: str, category: str, facts: dict) -> DataFrame:
@@ -276,16 +285,28 @@ def probability(df: DataFrame, name: str) -> DataFrame:
 # -- boosted trees -------------------------------------------------------------------------------
 
 
+def nominal(name: str, levels: list[str]) -> dict:
+    """Column metadata that tells trees a number is a category; level 0 is any other value or none."""
+    return {"ml_attr": {"type": "nominal", "name": name, "vals": ["(other)", *levels]}}
+
+
+def tree_columns(features: list[str], categories: dict[str, list[str]]) -> list[str]:
+    """Inputs of the trees: a number and a flag for NULL per number, one category per category."""
+    return [t for c in features for t in ([f"t_{c}"] if c in categories else [f"t_{c}", f"t_{c}_null"])]
+
+
 def tree_inputs(df: DataFrame, features: list[str], categories: dict[str, list[str]]) -> DataFrame:
-    """Numbers with -1 for NULL plus flags, category positions in a fixed vocabulary."""
+    """Numbers with -1 for NULL and a flag for it; categories as unordered levels."""
     cols = {}
     for c in features:
         if c in categories:
             vocab = F.array(*[F.lit(v) for v in categories[c]])
-            cols[f"t_{c}"] = F.coalesce(F.array_position(vocab, F.col(c)), F.lit(0)).cast("double")
+            level = F.coalesce(F.array_position(vocab, F.col(c)), F.lit(0)).cast("double")
+            cols[f"t_{c}"] = level.alias(f"t_{c}", metadata=nominal(c, categories[c]))
         else:
             cols[f"t_{c}"] = F.coalesce(F.col(c).cast("double"), F.lit(-1.0))
-    return df.withColumns(cols)
+            cols[f"t_{c}_null"] = F.col(c).isNull().cast("double")
+    return df.select("*", *[v if k in [f"t_{c}" for c in categories] else v.alias(k) for k, v in cols.items()])
 
 
 def fit_trees(
@@ -317,6 +338,7 @@ def fit_trees(
         subsamplingRate=subsample,
         minInstancesPerNode=min_rows,
         featureSubsetStrategy=columns,
+        maxBins=max([32, *[len(v) + 1 for v in categories.values()]]),
         seed=seed,
     )
     trees = trees.setProbabilityCol("_prob").setRawPredictionCol("_raw")
@@ -325,7 +347,7 @@ def fit_trees(
     if stop_on:
         trees = trees.setValidationIndicatorCol(stop_on)
     pipeline = Pipeline(
-        stages=[VectorAssembler(inputCols=[f"t_{c}" for c in features], outputCol="_t"), trees]
+        stages=[VectorAssembler(inputCols=tree_columns(features, categories), outputCol="_t"), trees]
     )
     return pipeline.fit(tree_inputs(train, features, categories))
 
@@ -335,7 +357,7 @@ def score_trees(
 ) -> DataFrame:
     out = model.transform(tree_inputs(df, features, categories))
     return out.withColumn(name, vector_to_array(F.col("_prob"))[1]).drop(
-        "_t", "_prob", "_raw", "_pred", *[f"t_{c}" for c in features]
+        "_t", "_prob", "_raw", "_pred", *tree_columns(features, categories)
     )
 
 
@@ -358,15 +380,11 @@ def reload_difference(a: DataFrame, b: DataFrame, keys: list[str], score: str) -
 # -- search --------------------------------------------------------------------------------------
 
 
-def space_size(dims: list[tuple[str, list]]) -> int:
-    return functools.reduce(lambda n, d: n * len(d[1]), dims, 1)
-
-
 def sampled_configs(spark: SparkSession, dims: list[tuple[str, list]], n: int, seed: int) -> DataFrame:
     """Seeded sample of a configuration space, decoded, in index order."""
     draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")))
     chosen = (
-        spark.range(space_size(dims)).select(F.col("id").alias("config"), draw.alias("_draw"))
+        spark.range(math.prod(len(values) for _, values in dims)).select(F.col("id").alias("config"), draw.alias("_draw"))
         .orderBy("_draw", "config")
         .limit(n)
     )
@@ -421,29 +439,54 @@ def search_trees(
 ) -> DataFrame:
     """Fit every configuration on every fold and measure it on the fold's validation rows.
 
-    `frame` is durable and has `season`, `zero_history` and `_tie`. Each fit and each measurement is a
-    distributed job; the driver only walks the short list of (configuration, fold) pairs. Result:
-    config, fold, best_round, pr_auc and the precision at 250 of the zero-history stratum.
+    `frame` is durable and has `season`, `zero_history` and `_tie`, and `rhat` where configurations have
+    a `clip_floor`: positives then weigh the inverse of the clipped propensity. `scale_pos_weight`
+    weighs positives by the class ratio of the fold's training rows or its root. Fits do not depend on
+    each other, so a few run at a time; all scores are measured in one grouped report. Result: config,
+    fold, best_round, pr_auc and the precision at 250 of the zero-history stratum.
     """
-    rows = []
-    for config in configs:
+
+    def fit(job: tuple[dict, int]) -> tuple[DataFrame, int]:
+        config, fold = job
         settings = tree_settings(config) | (overrides or {})
-        for fold in folds:
-            both = frame.where((F.col("season") >= first) & (F.col("season") <= fold)).withColumn(
-                "_watch", F.col("season") == fold
-            )
-            fitted = fit_trees(both, features, categories, label, weight, stop_on="_watch", **settings)
-            valid = score_trees(fitted, validation_rows(frame, fold), features, categories, "_score")
-            strata = ranking.by_stratum(valid, "zero_history")
-            found = {
-                r["stratum"]: r
-                for r in ranking.report(strata, ["stratum"], "_score", label, F.col("_tie"), [250]).collect()
-            }
-            zero = found["zero"]["p_at_250"] if "zero" in found else None
-            rounds = fitted.stages[-1].getNumTrees
-            rows.append((config["config"], fold, rounds, found["all"]["pr_auc"], zero))
-    schema = "config long, fold int, best_round int, pr_auc double, zero_p250 double"
-    return frame.sparkSession.createDataFrame(rows, schema)
+        both = frame.where((F.col("season") >= first) & (F.col("season") <= fold)).withColumn(
+            "_watch", F.col("season") == fold
+        )
+        own = F.col(weight) if weight else F.lit(1.0)
+        if "clip_floor" in config:
+            own = own * propensity_weight(F.col(label), F.col("rhat"), config["clip_floor"])
+        if "scale_pos_weight" in config:
+            ratio = class_ratio(both.where(~F.col("_watch")), label).first()["full"]
+            positive = F.lit(positive_weight(config["scale_pos_weight"], ratio))
+            own = own * F.when(F.col(label) == 1, positive).otherwise(1.0)
+        both = both.withColumn("_weight", own)
+        fitted = fit_trees(both, features, categories, label, "_weight", stop_on="_watch", **settings)
+        valid = score_trees(fitted, validation_rows(frame, fold), features, categories, "_score")
+        named = valid.select(
+            F.lit(config["config"]).cast("long").alias("config"),
+            F.lit(fold).cast("int").alias("fold"),
+            label,
+            "zero_history",
+            "_tie",
+            "_score",
+        )
+        return named, fitted.stages[-1].getNumTrees
+
+    jobs = [(config, fold) for config in configs for fold in folds]
+    with ThreadPoolExecutor(FITS_AT_A_TIME) as pool:
+        done = list(pool.map(fit, jobs))
+    scored = durable(functools.reduce(DataFrame.unionByName, [rows for rows, _ in done]))
+    groups = ["config", "fold", "stratum"]
+    strata = ranking.by_stratum(scored, "zero_history")
+    found = ranking.report(strata, groups, "_score", label, F.col("_tie"), [250])
+    pick = lambda stratum, c: F.max(F.when(F.col("stratum") == stratum, F.col(c)))
+    metrics = found.groupBy("config", "fold").agg(
+        pick("all", "pr_auc").alias("pr_auc"), pick("zero", "p_at_250").alias("zero_p250")
+    )
+    rounds = frame.sparkSession.createDataFrame(
+        [(c["config"], fold, n) for (c, fold), (_, n) in zip(jobs, done)], "config long, fold int, best_round int"
+    )
+    return rounds.join(metrics, ["config", "fold"], "left").select("config", "fold", "best_round", "pr_auc", "zero_p250")
 
 
 def search_winner(metrics: DataFrame) -> DataFrame:

@@ -133,7 +133,7 @@ def test_design_columns(spark):
 
 
 def test_search_tables(spark):
-    assert models.space_size(models.PROPENSITY_DIMS) == 6561 and models.space_size(models.RISK_DIMS) == 59049
+    assert models.sampled_configs(spark, models.PROPENSITY_DIMS, 10**6, 1).count() == 6561
     a = models.sampled_configs(spark, models.RISK_DIMS, 60, 42).collect()
     b = models.sampled_configs(spark, models.RISK_DIMS, 60, 42).collect()
     assert a == b and len({r["config"] for r in a}) == 60
@@ -182,3 +182,23 @@ def test_tree_settings():
     got = models.tree_settings(config)
     assert got["depth"] == 6 and got["columns"] == "0.6" and got["rounds"] == 400
     assert models.tree_settings(config | {"max_depth": 4})["depth"] == 4
+
+
+def test_positive_weight_and_clip_floor_change_the_fit(spark):
+    frame = panel(spark).withColumns({"zero_history": F.col("k") == 0, "_tie": F.col("key"), "rhat": F.lit(0.05)}).cache()
+    base = models.sampled_configs(spark, models.RISK_DIMS, 1, 42).first().asDict()
+    variants = [("1", 0.1), ("full", 0.1), ("1", 0.02)]
+    configs = [base | {"config": i, "scale_pos_weight": w, "clip_floor": c} for i, (w, c) in enumerate(variants)]
+    got = models.search_trees(
+        frame, configs, [2000], 1995, ["a", "b", "c"], {"c": ["A", "B", "C"]}, "y", overrides={"rounds": 2, "depth": 2}
+    )
+    assert got.count() == 3 and got.where("pr_auc is null").count() == 0
+
+
+def test_trees_part_categories_without_order(spark):
+    """Levels A and C against B cannot be parted by one cut of an ordered number."""
+    rows = [(i, "ABC"[i % 3], int(i % 3 == 1)) for i in range(600)]
+    df = spark.createDataFrame(rows, "key int, c string, y int")
+    fitted = models.fit_trees(df, ["c"], {"c": ["A", "B", "C"]}, "y", rounds=1, depth=1)
+    scores = {r["c"]: r["s"] for r in models.score_trees(fitted, df, ["c"], {"c": ["A", "B", "C"]}, "s").select("c", "s").distinct().collect()}
+    assert scores["A"] == scores["C"] < scores["B"]
