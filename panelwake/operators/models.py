@@ -276,6 +276,26 @@ def score_logistic(
     )
 
 
+def logistic_gradient(
+    model: PipelineModel, train: DataFrame, lag: str, category: str, facts: dict, label: str
+) -> DataFrame:
+    """One row: rows, positives, and the largest slope of the penalised loss per row at the fit.
+
+    The summed loss plus half the squared weights is flat at its minimum; the intercept is not penalised.
+    """
+    inputs, fitted = model.stages[0].getInputCols(), model.stages[-1]
+    ready = model.transform(standardised(logistic_inputs(train, lag, category, facts), facts))
+    error = vector_to_array(F.col("_prob"))[1] - F.col(label)
+    slopes = [
+        F.abs(F.sum(error * F.col(c)) + F.lit(float(w))) for c, w in zip(inputs, fitted.coefficients.toArray())
+    ]
+    return ready.agg(
+        F.count("*").alias("rows"),
+        F.sum(F.col(label).cast("long")).alias("positives"),
+        (F.greatest(*slopes, F.abs(F.sum(error))) / F.count("*")).alias("slope"),
+    )
+
+
 def probability(df: DataFrame, name: str) -> DataFrame:
     """Positive-class probability as a plain column."""
     helper = [c for c in df.columns if c.startswith(("_", "x_", "h_"))]

@@ -318,22 +318,47 @@ def model_frame(spark, folder) -> DataFrame:
     return durable(flagged.drop("first_ts"))
 
 
-@query("logistic_baseline")
+FLAT = 1e-3  # largest slope of the loss per row that counts as a minimum
+
+
+@query(
+    "logistic_baseline",
+    st.with_base(
+        f""",{LABELLED_SQL}
+SELECT CAST(fold AS INTEGER) AS fold, CAST(count(*) FILTER (season < fold) AS BIGINT) AS train_rows, CAST(sum(y) FILTER (season < fold) AS BIGINT) AS train_positives, true AS settled,
+  CAST(count(*) FILTER (season = fold) AS BIGINT) AS scored_rows, CAST(0 AS BIGINT) AS outside FROM lab, folds WHERE season <= fold GROUP BY fold"""
+    ),
+)
 def logistic_baseline(spark, folder):
-    """Logistic baseline fitted per fold on earlier seasons, scored on the fold."""
-    frame = model_frame(spark, folder)
+    """Logistic baseline per fold: what it was fitted on, whether the fit is a minimum, what it scored."""
     out = None
-    for fold in FOLDS:
-        train = models.train_rows(frame, fold, FIRST)
-        fitted, facts = models.fit_logistic(train, "viol_lag1", ["building_age", "unitstotal"], "borough", "y")
-        valid = models.validation_rows(frame, fold)
-        scored = models.score_logistic(fitted, valid, "viol_lag1", "borough", facts, "score").select(
-            "key", "season", "y", "zero_history", "score"
+    for fold, train, valid, (fitted, facts) in logistic_fits(spark, folder):
+        at = models.logistic_gradient(fitted, train, "viol_lag1", "borough", facts, "y")
+        score = F.col("score")
+        scored = models.score_logistic(fitted, valid, "viol_lag1", "borough", facts, "score").agg(
+            F.count("*").alias("scored_rows"), F.count_if(~((score > 0) & (score < 1))).alias("outside")
+        )
+        row = at.crossJoin(scored).select(  # one row each
+            F.lit(fold).alias("fold"),
+            F.col("rows").alias("train_rows"),
+            F.col("positives").alias("train_positives"),
+            (F.col("slope") <= FLAT).alias("settled"),
+            "scored_rows",
+            "outside",
         )
-        out = scored if out is None else out.unionByName(scored)
+        out = row if out is None else out.unionByName(row)
     return out
 
 
+def logistic_fits(spark, folder):
+    """Per fold: its number, training rows, validation rows, and the fitted baseline."""
+    frame = model_frame(spark, folder)
+    for fold in FOLDS:
+        train = models.train_rows(frame, fold, FIRST)
+        fitted = models.fit_logistic(train, "viol_lag1", ["building_age", "unitstotal"], "borough", "y")
+        yield fold, train, models.validation_rows(frame, fold), fitted
+
+
 TREE_FEATURES = [
     "viol_lag1", "viol_lag2", "viol_recency", "viol_chronicity", "viol_cnt_prior1", "viol_cnt_prior_cum",
     "ctx_total_prior1", "ctx_total_cum", "c311_prior1", "c311_prior_cum", "unitstotal", "borough", "bldgclass_1",
