@@ -15,17 +15,24 @@ from pyspark.sql import functions as F
 
 
 def timeline(
-    df: DataFrame, key: str, day: Column, streams: dict[str, Column], tags: Iterable[str] = ()
+    df: DataFrame,
+    key: str,
+    day: Column,
+    streams: dict[str, Column],
+    tags: Iterable[str] = (),
+    weight: Column | None = None,
 ) -> DataFrame:
     """Counts per (entity, day, tags) for every stream, from one pass over one table.
 
-    `streams` maps an output name to the predicate that says which rows belong to it.
+    `streams` maps an output name to the predicate that says which rows belong to it; `weight` is the
+    number of events a row stands for.
     """
+    n = F.lit(1) if weight is None else weight
     wanted = functools.reduce(lambda a, b: a | b, streams.values())
     return (
         df.where(wanted & F.col(key).isNotNull() & day.isNotNull())
         .groupBy(F.col(key).alias("key"), day.alias("day"), *tags)
-        .agg(*[F.count_if(cond).alias(name) for name, cond in streams.items()])
+        .agg(*[F.sum(F.when(cond, n).otherwise(0)).alias(name) for name, cond in streams.items()])
     )
 
 

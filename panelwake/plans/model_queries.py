@@ -17,7 +17,7 @@ from panelwake.plans.panel_queries import (
     first_events,
 )
 from panelwake.plans.registry import query
-from panelwake.session import durable
+from panelwake.session import durable, scratch_path
 
 FOLDS = [1998, 1999, 2000]
 FIRST = 1995
@@ -29,12 +29,10 @@ LETTERS = list("BCHLNORS")
 def in_season(spark, folder) -> DataFrame:
     """Complaints inside the season per (entity, season)."""
     return (
-        st.lineitem(spark, folder)
+        st.events(spark, folder)
         .where(F.col("l_returnflag") == "N")
-        .groupBy(
-            F.col("l_partkey").alias("key"), calendar.season_of(F.to_date("l_shipdate")).alias("season")
-        )
-        .agg(F.count("*").alias("k_raw"))
+        .groupBy("key", st.season_of_day("day").alias("season"))
+        .agg(F.sum("n").alias("k_raw"))
         .where(F.col("season").isNotNull())
     )
 
@@ -310,12 +308,21 @@ def hinge_term(spark, folder):
 
 def model_frame(spark, folder) -> DataFrame:
     """Durable training frame: history features, lot attributes, labels, complaints."""
-    rows = labelled(spark, folder).drop("label_c", "label_bc")
-    f = base_features(spark, folder).drop("label_c", "label_bc", "_own_n", "_own_p")
+    with st.one_pass(spark, folder):
+        rows = labelled(spark, folder).drop("label_c", "label_bc")
+        f = base_features(spark, folder).drop("label_c", "label_bc", "_own_n", "_own_p")
+        firsts = first_events(spark, folder)
     age = F.col("season") - F.col("yearbuilt")
     out = f.join(rows, ["key", "season"]).withColumn("building_age", age)
-    flagged = ranking.zero_history(out, first_events(spark, folder), "key", calendar.cutoff("season"))
-    return durable(flagged.drop("first_ts"))
+    flagged = ranking.zero_history(out, firsts, "key", calendar.cutoff("season"))
+    return by_season(flagged.drop("first_ts"))
+
+
+def by_season(df: DataFrame) -> DataFrame:
+    """Keep a table by season, so that folds open their own seasons only."""
+    path = scratch_path(df.sparkSession, "frame")
+    df.write.partitionBy("season").parquet(path)
+    return df.sparkSession.read.parquet(path).withColumn("season", F.col("season").cast("int"))
 
 
 FLAT = 1e-3  # largest slope of the loss per row that counts as a minimum

@@ -275,10 +275,12 @@ FROM fam_label a {joins} JOIN part ON p_partkey = a.key JOIN spine s ON s.key =
 
 
 def frame(spark, folder) -> DataFrame:
+    with st.one_pass(spark, folder):
+        spine, seasons, years = (f(spark, folder) for f in (st.spine, st.season_counts, st.year_counts))
     return panel.feature_frame(
-        st.spine(spark, folder),
-        st.season_counts(spark, folder),
-        st.year_counts(spark, folder),
+        spine,
+        seasons,
+        years,
         complaint_events(spark, folder),
         problem_events(spark, folder),
         st.lots(spark, folder),
@@ -360,7 +362,8 @@ def zero_group_flag(spark, folder):
 
 
 def first_events(spark, folder) -> DataFrame:
-    return complaint_events(spark, folder).groupBy("key").agg(F.to_date(F.min("ts")).alias("first_ts"))
+    complaints = st.events(spark, folder).where(F.col("l_returnflag") == "N")
+    return complaints.groupBy("key").agg(st.date_of(F.min("day")).alias("first_ts"))
 
 
 @query(

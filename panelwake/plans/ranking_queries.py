@@ -89,14 +89,16 @@ def panel_scores(spark, folder) -> DataFrame:
 
     Kept durable: split points and metrics read it several times.
     """
-    flags = ranking.zero_history(
-        st.spine(spark, folder).select("key", "season", F.col("label_c").alias("y")),
-        first_events(spark, folder),
-        "key",
-        calendar.cutoff("season"),
-    ).select("key", "season", "y", "zero_history")
+    with st.one_pass(spark, folder):
+        flags = ranking.zero_history(
+            st.spine(spark, folder).select("key", "season", F.col("label_c").alias("y")),
+            first_events(spark, folder),
+            "key",
+            calendar.cutoff("season"),
+        ).select("key", "season", "y", "zero_history")
+        scores = baseline_scores(spark, folder)
     listed = F.col("season").between(st.FIRST_SEASON, st.LAST_SEASON)
-    return durable(baseline_scores(spark, folder).where(listed).join(flags, ["key", "season"]))
+    return durable(scores.where(listed).join(flags, ["key", "season"]))
 
 
 def by_model(wide: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from panelwake.functions import calendar, numeric
 from panelwake.operators import association
 from panelwake.operators.panel import PanelSpec
+from panelwake.session import scratch_path
 from panelwake.sources.landing import read_table
 
 LOOK_BACKS = [90, 180]
@@ -46,8 +48,45 @@ def lineitem(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "lineitem")
 
 
-def day_timeline(spark: SparkSession, folder: str, *names: str, tags: tuple[str, ...] = ()) -> DataFrame:
-    return association.timeline(lineitem(spark, folder), "l_partkey", ship_day(), streams(*names), tags)
+_KEPT: dict[str, DataFrame] = {}
+
+
+@contextlib.contextmanager
+def one_pass(spark: SparkSession, folder: str):
+    """While a query is put together, count its events per entity and day once and keep the counts.
+
+    Everything made from `events` inside reads them instead of scanning the raw table again.
+    """
+    if folder in _KEPT:
+        yield
+        return
+    counts = events(spark, folder).groupBy("key", "day", "l_returnflag", "l_linestatus").agg(F.sum("n").alias("n"))
+    path = scratch_path(spark, "days")
+    counts.write.parquet(path)
+    _KEPT[folder] = spark.read.schema(counts.schema).parquet(path)
+    try:
+        yield
+    finally:
+        del _KEPT[folder]
+
+
+def events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as (key, day, l_returnflag, l_linestatus, n): counted if they are kept, else one by one."""
+    if folder in _KEPT:
+        return _KEPT[folder]
+    return lineitem(spark, folder).select(
+        F.col("l_partkey").alias("key"),
+        ship_day().alias("day"),
+        "l_returnflag",
+        "l_linestatus",
+        F.lit(1).cast("long").alias("n"),
+    )
+
+
+def day_timeline(spark: SparkSession, folder: str, *names: str) -> DataFrame:
+    return association.timeline(
+        events(spark, folder), "key", F.col("day"), streams(*names), weight=F.col("n")
+    )
 
 
 def spans(spark: SparkSession, folder: str, *names: str) -> DataFrame:
@@ -97,17 +136,15 @@ def spine(spark: SparkSession, folder: str) -> DataFrame:
 
     A part without shipments in a season has no row, which leaves natural gaps.
     """
-    day = F.to_date("l_shipdate")
+    back = F.col("l_returnflag") == "R"
     return (
-        lineitem(spark, folder)
-        .select(F.col("l_partkey").alias("key"), calendar.season_of(day).alias("season"), "l_returnflag", "l_linestatus")
+        events(spark, folder)
+        .withColumn("season", season_of_day("day"))
         .where(F.col("season").isNotNull())
         .groupBy("key", "season")
         .agg(
-            F.max(
-                F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), 1).otherwise(0)
-            ).alias("label_c"),
-            F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("label_bc"),
+            F.max(F.when(back & (F.col("l_linestatus") == "O"), 1).otherwise(0)).alias("label_c"),
+            F.max(F.when(back, 1).otherwise(0)).alias("label_bc"),
         )
     )
 
@@ -116,27 +153,26 @@ def season_counts(spark: SparkSession, folder: str) -> DataFrame:
     """In-season incidents of the counted class per (entity, season)."""
     back = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")
     return (
-        lineitem(spark, folder)
+        events(spark, folder)
         .where(back)
-        .groupBy(
-            F.col("l_partkey").alias("key"), calendar.season_of(F.to_date("l_shipdate")).alias("season")
-        )
-        .agg(F.count("*").alias("inc"))
+        .groupBy("key", season_of_day("day").alias("season"))
+        .agg(F.sum("n").alias("inc"))
         .where(F.col("season").isNotNull())
     )
 
 
 def year_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Events per (entity, calendar year), by class and as complaints; the year sits in `season`."""
-    year = F.year("l_shipdate")
+    year = F.year(date_of("day"))
     flag = F.col("l_returnflag")
+    count = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
     return (
-        lineitem(spark, folder)
+        events(spark, folder)
         .where(year >= SPEC.context_first_year)
-        .groupBy(F.col("l_partkey").alias("key"), year.alias("season"))
+        .groupBy("key", year.alias("season"))
         .agg(
-            *[F.count_if(flag == c).alias(f"ctx_{c.lower()}") for c in SPEC.classes],
-            F.count_if((flag == "N") & (year >= SPEC.complaint_first_year)).alias("cmp"),
+            *[count(flag == c).alias(f"ctx_{c.lower()}") for c in SPEC.classes],
+            count((flag == "N") & (year >= SPEC.complaint_first_year)).alias("cmp"),
         )
     )
 
