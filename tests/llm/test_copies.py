@@ -104,7 +104,8 @@ def brute_repeats(docs):
     return out
 
 
-def test_repeats_equal_brute_force(make):
+@pytest.mark.parametrize("together", [2000, 3, 0])
+def test_repeats_equal_brute_force(make, together):
     r = random.Random(4)
     passages = [words(n, 50 + n) for n in (9, 12, 20, 40, 80)]
     docs = []
@@ -113,7 +114,7 @@ def test_repeats_equal_brute_force(make):
         docs.append((i * 3, "\n".join(parts)))
     docs += [(500, docs[7][1]), (501, docs[7][1][1:-1]), (502, None), (503, "x" * 5000), (504, "x" * 49), (505, "x" * 50)]
     r.shuffle(docs)
-    got = {x["doc_id"]: (x["n_bytes"], bytes(x["kept"]), len(x["spans"])) for x in repeats.remove_repeats(make(docs)).collect()}
+    got = {x["doc_id"]: (x["n_bytes"], bytes(x["kept"]), len(x["spans"])) for x in repeats.remove_repeats(make(docs), together=together).collect()}
     assert got == brute_repeats(docs)
 
 
