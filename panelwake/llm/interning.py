@@ -126,6 +126,29 @@ def _hash_piece(data, starts, sizes):
     return out
 
 
+def hash_runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes, eight bytes at a time; for runs longer than words."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    steps = -(-sizes // 8)
+    ends = np.cumsum(steps)
+    out = np.zeros(len(starts), np.uint64)
+    begin = 0
+    while begin < len(starts):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PIECE // 8)))
+        n, size, start = steps[begin:end], sizes[begin:end], starts[begin:end]
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(first, n)
+        w = words[np.repeat(start, n) + 8 * place]
+        rest = ((8 - (size - 8 * (n - 1))) * 8).astype(np.uint64)  # bits of the last word beyond the run
+        last = first + n - 1
+        w[last] = (w[last] << rest) >> rest
+        w = mixed(w + _PLACE[0, place % LONGEST]) * (_PLACE[1, place % LONGEST] + (2 * (place // LONGEST)).astype(np.uint64))
+        out[begin:end] = mixed(np.add.reduceat(w, first) + size.astype(np.uint64) * _BYTE[1])
+        begin = end
+    return out
+
+
 class Known:
     """Hash of a word to its number, as an open table in two arrays."""
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from panelwake.llm import packed
 from panelwake.llm.common import only, partitions, query, stored, table
 from panelwake.llm.components import components
-from panelwake.llm.interning import hash_words, mixed, split_at, text_bytes, text_of
+from panelwake.llm.interning import hash_runs, mixed, split_at, text_bytes, text_of
 
 SHINGLE = 8
 BINS, ROWS = 36, 3
@@ -46,8 +47,7 @@ class Lines:
         self.text = text_of(offsets, self.starts)
         breaks = np.concatenate([[0], np.cumsum(data == 10)])
         self.number = breaks[self.starts] - breaks[offsets[self.text]]
-        first, second = hash_words(data, self.starts, self.sizes)
-        self.hash = mixed(first ^ (second * _WEIGHTS[0]))
+        self.hash = hash_runs(data, self.starts, self.sizes)
 
 
 def shingle_values(codes: np.ndarray) -> np.ndarray:
@@ -167,16 +167,30 @@ def _candidates(group: pa.Table) -> pa.Table:
 
 
 def _line_texts(batches: Iterator[pa.RecordBatch]):
+    """The wanted lines of each text."""
     for batch in batches:
-        texts = [(t or "").split("\n")[n] for t, n in zip(batch.column("text").to_pylist(), batch.column("number").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("line"), pa.array(texts, pa.string())], names=["line", "said"])
+        names, texts = [], []
+        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
+            lines = text.split("\n")
+            names += [w["line"] for w in wanted]
+            texts += [lines[w["number"]] for w in wanted]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.int64()), pa.array(texts, pa.string())], names=["line", "said"]
+        )
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int):
     for batch in batches:
+        sets: dict[int, np.ndarray] = {}  # of this batch's lines; heads of groups come again and again
+
+        def of(name: int, said: str) -> np.ndarray:
+            if name not in sets:
+                sets[name] = line_shingles(said)
+            return sets[name]
+
         fine = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-            p, q = line_shingles(x), line_shingles(y)
+        for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
+            p, q = of(a, x), of(b, y)
             if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
                 fine.append(False)
                 continue
@@ -186,23 +200,18 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int):
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]):
-    """Texts without the named lines, and how many lines they had."""
+    """Texts without the named lines, and how many lines they had. Texts that lose none pass as they are."""
     for batch in batches:
-        texts, counts = [], []
-        for text, gone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if text is None:
-                texts.append(None)
-                counts.append(0)
-                continue
-            lines = text.split("\n")
-            counts.append(len(lines))
-            if gone:
-                drop = set(gone)
-                text = "\n".join(x for i, x in enumerate(lines) if i not in drop)
-            texts.append(text)
+        text, gone = batch.column(0), batch.column(1)
+        cut = pc.is_valid(gone)
+        short = []
+        for said, numbers in zip(text.filter(cut).to_pylist(), gone.filter(cut).to_pylist()):
+            drop = set(numbers)
+            short.append("\n".join(x for i, x in enumerate(said.split("\n")) if i not in drop))
+        count = pc.fill_null(pc.add(pc.count_substring(text, "\n"), 1), 0).cast(pa.int64())
+        left = pc.replace_with_mask(text, cut, pa.array(short, text.type))
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[1:], pa.array(texts, pa.string()), pa.array(counts, pa.int64())],
-            names=[*batch.schema.names[1:], "_cut", "_lines"],
+            [*batch.columns[1:], left, count], names=[*batch.schema.names[1:], "_cut", "_lines"]
         )
 
 
@@ -220,10 +229,12 @@ def removed_lines(rows: DataFrame, percent: int) -> DataFrame:
     pairs = bands.groupBy("bucket").applyInArrow(_candidates, "a long, b long").distinct()
     pairs = stored(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
-    wanted = stored(wanted.join(firsts, "line").select("line", "first.*"), "wanted")
+    wanted = wanted.join(firsts, "line").select("line", "first.*")
+    wanted = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line", "number")).alias("wanted"))
+    wanted = stored(wanted, "wanted")
     small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = rows.join(small, ["doc_id", "h"]).select("line", "text", "number")
-    texts = stored(texts.dropDuplicates(["line"]).mapInArrow(_line_texts, "line long, said string"), "said")
+    texts = rows.join(small, ["doc_id", "h"]).select("text", "wanted")
+    texts = stored(texts.mapInArrow(_line_texts, "line long, said string").dropDuplicates(["line"]), "said")
     left = texts.select(F.col("line").alias("a"), F.col("said").alias("x"))
     right = texts.select(F.col("line").alias("b"), F.col("said").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from panelwake.llm import bpe, language, token_files
 from panelwake.llm.common import TOKENIZERS
-from panelwake.llm.interning import Known, Rows, hash_words, split_at, text_bytes
+from panelwake.llm.interning import Known, Rows, hash_runs, hash_words, split_at, text_bytes
 from panelwake.session import scratch_path
 
 ATOMS = [
@@ -80,6 +80,18 @@ def test_word_hashes_depend_on_the_word_alone():
     assert h[0] == h[2] != h[1] and h[3] == h[4] != h[5]
 
 
+def test_run_hashes_depend_on_the_run_alone():
+    r = np.random.default_rng(5)
+    runs = [r.integers(97, 100, n).astype(np.uint8).tobytes() for n in [*range(1, 40), 2048, 2049, 5000] for _ in range(3)]
+    runs += [runs[50], runs[-1], runs[-1][:-1], runs[-1] + b"a"]
+    data = np.frombuffer(b"\n".join(runs), np.uint8)
+    sizes = np.array([len(x) for x in runs])
+    h = hash_runs(data, np.cumsum(sizes + 1) - sizes - 1, sizes)
+    assert len(set(zip(runs, h.tolist()))) == len(set(runs)) == len(set(h.tolist()))
+    alone = hash_runs(np.frombuffer(runs[50], np.uint8), np.array([0]), np.array([len(runs[50])]))
+    assert alone[0] == h[50]
+
+
 def test_token_files_read_back(lake, make):
     texts = [(5, "later words"), (None, "no id"), (2, None), (2, ""), (7, "The END <|endoftext|>"), (7, "The END <|endoftext|>")]
     path = scratch_path(lake, "t")
