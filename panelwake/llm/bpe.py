@@ -24,7 +24,9 @@ from panelwake.llm.common import TOKENIZERS, only, query, sha, table
 from panelwake.llm.interning import Known, Rows, hash_words, split_spaced, text_bytes, text_of, with_rows
 
 #: Distinct words kept with their ids by one Python worker.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 300_000
+#: Pairs of tokens whose verdict is kept.
+PAIRS_KEPT = 150_000
 
 # white space beyond ASCII, as UTF-8; texts that hold any are cut by the full pattern
 _RARE_BYTES = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -151,7 +153,7 @@ class Vocabulary:
                 end -= len(self.bytes[found[-1]])
             out[word] = tuple(reversed(found))
             before = word
-        if len(self._pairs) > 400_000:
+        if len(self._pairs) > PAIRS_KEPT:
             self._pairs.clear()
         return out
 
@@ -170,7 +172,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.rows, self.second = Known(), Rows(), np.zeros(0, np.uint64)
+        self.known, self.rows, self.second = Known(bits=20), Rows(), np.zeros(0, np.uint64)
 
     def _words(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of chunks of text that the word pattern may cut further."""

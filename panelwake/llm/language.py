@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from panelwake.llm.common import TOKENIZERS, only, query, stored, table
 
 #: Words kept with their scores by one task.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _MARK = "▁"  # opens each word in the vocabulary
