@@ -1,7 +1,8 @@
 """Fuzzy line deduplication: MinHash bands find candidates, exact Jaccard confirms, one line stays.
 
 A line's signature is a one-permutation MinHash of its character shingles. Lines that agree in all bins
-of a band are candidates with the first of them and with their neighbour in order. Candidates are
+of a band share a node, and every pair of a node is compared: small nodes in one go, larger ones in pairs
+of parts; very large ones branch by further minwise values first. Pairs that short sketches allow are
 confirmed on their full shingle sets, links are closed by distributed union-find, and of each component
 the first line in order of (doc_id, line number) stays.
 """
@@ -21,16 +22,30 @@ from panelwake.llm import packed
 from panelwake.llm.common import only, partitions, query, stored, table
 from panelwake.llm.components import components
 from panelwake.llm.interning import hash_runs, mixed, split_at, text_bytes, text_of
+from panelwake.llm.near_dup import intersections, star
 
 SHINGLE = 8
 BINS, ROWS = 36, 3
 FEW = 90
 PIECE = 1 << 20  # characters hashed at a time
+SKETCH = 32  # minwise values of a sketch, a byte of each
+LEAST = 15  # a pair at the threshold has 25.6 +- 2.3 of them in common
+NODE = 256  # nodes up to this size are compared in one go
+PART = 512  # larger ones are compared in pairs of parts of about this size
+BLOCKS = 16_384  # nodes above this size branch first
+BRANCHES = 2
+DENSE = 0.7  # a branch that keeps this share of its node has not parted it
+TRIES = 3  # nodes that so many branches in a row have not parted do not branch again
+LONG = 10_000  # longer lines (in characters) are confirmed pair by pair
+PAIRS = 4  # pairs per line above which intersections are counted together
 BROADCAST_ROWS = 500_000
 SALTS = 16
 _EMPTY = np.uint64(2**64 - 1)
 _random = np.random.default_rng(1010)
 _WEIGHTS = _random.integers(1, 2**63, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_other = np.random.default_rng(1011)
+_XOR = _other.integers(0, 2**32, SKETCH, dtype=np.uint32)
+_TIMES = _other.integers(0, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _NOT_NEWLINE = np.arange(256) != 10
 _BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
@@ -149,36 +164,133 @@ def _band_batches(batches: Iterator[pa.RecordBatch], buckets: int):
         yield from packed.pack(keys.ravel(), [keys.ravel(), line], buckets)
 
 
-def _candidates(group: pa.Table) -> pa.Table:
-    """In each band bucket, every line with the first one and with the next one."""
+def _crowds(group: pa.Table, node: int) -> pa.Table:
+    """Band buckets with at least two lines: the whole list of up to `node` lines, or pieces of it."""
     key, line = packed.unpack(group["blob"], [np.uint64, np.uint64])
     order = np.lexsort((line, key))
     key, line = key[order], line[order]
-    same = (key[1:] == key[:-1]) & (line[1:] != line[:-1])
-    opens = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-    head = line[np.maximum.accumulate(np.where(opens, np.arange(len(key)), 0))] if len(key) else line
-    a = np.concatenate([line[:-1][same], head[1:][same]])
-    b = np.concatenate([line[1:][same], line[1:][same]])
-    pairs = np.unique(np.stack([a, b], axis=1)[a != b], axis=0) if len(a) else np.zeros((0, 2), np.uint64)
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+    key, line = key[fresh], line[fresh]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(key)))
+    crowd = np.repeat(sizes, sizes) > 1
+    starts, sizes = starts[sizes > 1], sizes[sizes > 1]
+    pieces = -(-sizes // node)
+    nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begins = np.repeat(np.cumsum(sizes) - sizes, pieces) + nth * node
+    names = pa.ListArray.from_arrays(
+        pa.array(np.append(begins, int(sizes.sum())).astype(np.int32)), pa.array(line[crowd].view(np.int64))
+    )
     return pa.Table.from_arrays(
-        [pa.array(pairs[:, 0].astype(np.uint64).view(np.int64)), pa.array(pairs[:, 1].astype(np.uint64).view(np.int64))],
-        names=["a", "b"],
+        [pa.array(np.repeat(key[starts], pieces).view(np.int64)), pa.array(np.repeat(sizes, pieces)), names],
+        names=["node", "n", "names"],
     )
 
 
+def sketches(lines: list[str]) -> np.ndarray:
+    """A byte per line and hash function: of the smallest value of the line's shingles."""
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    values = (shingle_values(codes) >> np.uint64(32)).astype(np.uint32)
+    runs = np.maximum(sizes - SHINGLE + 1, 0)
+    some = np.flatnonzero(runs)
+    first = (np.cumsum(sizes) - sizes)[some]
+    out = np.zeros((len(lines), SKETCH), np.uint8)
+    if len(some):
+        begin = np.cumsum(runs[some]) - runs[some]
+        values = values[np.arange(int(runs.sum())) + np.repeat(first - begin, runs[some])]
+        for i in range(SKETCH):
+            out[some, i] = np.minimum.reduceat((values ^ _XOR[i]) * _TIMES[i], begin) & np.uint32(255)
+    return out
+
+
 def _line_texts(batches: Iterator[pa.RecordBatch]):
-    """The wanted lines of each text."""
+    """The wanted lines of each text, and their sketches."""
     for batch in batches:
         names, texts = [], []
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
             lines = text.split("\n")
             names += [w["line"] for w in wanted]
             texts += [lines[w["number"]] for w in wanted]
+        drawn: list[bytes] = []
+        total = np.cumsum([len(x) for x in texts])
+        while (begin := len(drawn)) < len(texts):
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + PIECE)))
+            drawn += [r.tobytes() for r in sketches(texts[begin:end])]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.int64()), pa.array(texts, pa.string())], names=["line", "said"]
+            [pa.array(names, pa.int64()), pa.array(texts, pa.string()), pa.array(drawn, pa.binary())],
+            names=["line", "said", "sketch"],
         )
 
 
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many values each sketch of x agrees with each of y."""
+    if len(x) * len(y) <= 1024:
+        return (x[:, None, :] == y[None, :, :]).sum(axis=2)
+    out = np.zeros((len(x), len(y)), np.uint8)
+    for i in range(SKETCH):
+        out += x[:, i, None] == y[None, :, i]
+    return out
+
+
+def _alike(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs (i, j) of sets reach the Jaccard index."""
+    sizes = np.array([len(x) for x in sets])
+    small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+    fine = 100 * small >= percent * large
+    i, j = i[fine], j[fine]
+    if len(i) > PAIRS * len(sets):
+        both = intersections(sets)[i, j]
+    else:
+        both = np.array(
+            [len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist())], np.int64
+        )
+    fine[fine] = 100 * both >= percent * (sizes[i] + sizes[j] - both)
+    return fine
+
+
+def _node_links(group: pa.Table, percent: int) -> pa.Table:
+    """Links inside each node (or between two parts of one), as stars; pairs with a long line are not sure."""
+    node, side, line = (group[c].to_numpy() for c in ("node", "side", "line"))
+    said = group["said"].to_pylist()
+    drawn = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+    order = np.lexsort((line, side, node))
+    node = node[order]
+    cuts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))
+    sets: dict[int, np.ndarray] = {}
+    out: list[tuple[np.ndarray, np.ndarray, bool]] = []
+    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        at = order[s:e]
+        left = int(np.count_nonzero(side[at] == 0))
+        if left == len(at):  # one part
+            i, j = np.nonzero(np.triu(agreement(drawn[at], drawn[at]) >= LEAST, 1))
+        else:
+            i, j = np.nonzero(agreement(drawn[at[:left]], drawn[at[left:]]) >= LEAST)
+            j = j + left
+        if not len(i):
+            continue
+        long = np.array([said[k] is None for k in at.tolist()])
+        unsure = long[i] | long[j]
+        out.append((line[at[i[unsure]]], line[at[j[unsure]]], False))
+        i, j = i[~unsure], j[~unsure]
+        some, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+        for k in at[some].tolist():
+            if line[k] not in sets:
+                sets[line[k]] = line_shingles(said[k])
+        own = [sets[x] for x in line[at[some]]]
+        i, j = back[: len(i)], back[len(i) :]
+        fine = _alike(own, i, j, percent)
+        to = star(len(some), i[fine], j[fine])
+        moved = to != np.arange(len(some))
+        out.append((line[at[some[to[moved]]]], line[at[some[moved]]], True))
+    flat = lambda k: np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64)
+    sure = np.repeat([o[2] for o in out], [len(o[0]) for o in out]) if out else np.zeros(0, bool)
+    return pa.Table.from_arrays(
+        [pa.array(flat(0)), pa.array(flat(1)), pa.array(sure, pa.bool_())], names=["a", "b", "sure"]
+    )
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int):
     for batch in batches:
         sets: dict[int, np.ndarray] = {}  # of this batch's lines; heads of groups come again and again
@@ -215,6 +327,75 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]):
         )
 
 
+def _parted(crowds: DataFrame, drawn: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes to compare in one go as (names), and larger ones to compare in parts as (node, n, line).
+
+    A node above BLOCKS hands each line to two branches, each by a minwise value that its path has not
+    used before. A pair at a Jaccard of 0.8 stays together in a branch with a probability of 0.9375 at
+    any depth.
+    """
+    leaves = [crowds.where(F.col("n") <= NODE).select("names")]
+    start = F.col("node").alias("root")
+    level = crowds.where(F.col("n") > NODE).select("node", start, "n", F.lit(0).alias("tries"), F.explode("names").alias("line"))
+    level = stored(level, "level")
+    blocks = []
+    for depth in range(SKETCH // BRANCHES + 1):
+        ends = (F.col("n") <= BLOCKS) | (F.col("tries") >= TRIES) | F.lit(depth == SKETCH // BRANCHES)
+        blocks.append(level.where((F.col("n") > NODE) & ends).select("node", "n", "line"))
+        over = level.where(~ends)
+        if over.isEmpty():
+            break
+        branch = F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1))).alias("branch")
+        here = over.join(drawn, "line").select("*", branch)
+        place = F.pmod(F.xxhash64("root") + BRANCHES * depth + F.col("branch"), F.lit(SKETCH)).cast("int") + 1
+        rows = here.select(
+            F.xxhash64("node", "branch", F.substring("sketch", place, F.lit(1))).alias("node"),
+            "root",
+            F.col("n").alias("parent_n"),
+            "tries",
+            "line",
+        )
+        sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        failed = F.col("n") >= DENSE * F.col("parent_n")
+        tries = F.when(failed, F.col("tries") + 1).otherwise(0).alias("tries")
+        level = stored(rows.join(sizes, "node").select("node", "root", "n", tries, "line"), "level")
+        few = level.where(F.col("n") <= NODE)
+        leaves.append(few.groupBy("node").agg(F.sort_array(F.collect_list("line")).alias("names")).select("names"))
+    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
+    return union(leaves), union(blocks)
+
+
+def _links(crowds: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of lines that reach the Jaccard index, as far as their nodes need to be one component."""
+    leaves, blocks = _parted(crowds, texts.select("line", "sketch"))
+    # equal member lists, as those of most small nodes, are compared once
+    alone = leaves.dropDuplicates(["names"]).select(F.xxhash64("names").alias("node"), F.explode("names").alias("line"))
+    group = F.pmod(F.xxhash64("node"), F.lit(max(partitions(texts.sparkSession), texts.count() // 1000)))
+    zero = F.lit(0)
+    alone = alone.select(group.alias("g"), zero.alias("i"), zero.alias("j"), "node", zero.alias("side"), "line")
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    part = F.pmod(F.xxhash64("line"), parts).cast("int")
+    paired = blocks.select("*", part.alias("p"), F.explode(F.sequence(zero, parts - 1)).alias("q")).select(
+        F.col("node").alias("g"),
+        F.least("p", "q").alias("i"),
+        F.greatest("p", "q").alias("j"),
+        "node",
+        F.when(F.col("p") > F.col("q"), 1).otherwise(0).alias("side"),
+        "line",
+    )
+    short = F.when(F.length("said") <= LONG, F.col("said")).alias("said")
+    nodes = alone.unionByName(paired).join(texts.select("line", short, "sketch"), "line")
+    found = nodes.groupBy("g", "i", "j").applyInArrow(
+        lambda t: _node_links(t, percent), "a long, b long, sure boolean"
+    )
+    found = stored(found.distinct(), "found")
+    left = texts.select(F.col("line").alias("a"), F.col("said").alias("x"))
+    right = texts.select(F.col("line").alias("b"), F.col("said").alias("y"))
+    both = found.where(~F.col("sure")).join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    sure = found.where("sure").select("a", "b")
+    return sure.unionByName(both.mapInArrow(lambda b: _confirm(b, percent), "a long, b long"))
+
+
 def removed_lines(rows: DataFrame, percent: int) -> DataFrame:
     """(doc_id, h, gone): numbers of the lines that go, per document that loses any."""
     spark = rows.sparkSession
@@ -226,19 +407,18 @@ def removed_lines(rows: DataFrame, percent: int) -> DataFrame:
     firsts = lines.groupBy("line").agg(F.min(place).alias("first"), F.sum(F.size("numbers")).alias("n"))
     firsts = stored(firsts, "firsts")
     bands = rows.select("text").mapInArrow(lambda b: _band_batches(b, buckets), packed.SCHEMA)
-    pairs = bands.groupBy("bucket").applyInArrow(_candidates, "a long, b long").distinct()
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
+    size = NODE
+    crowds = bands.groupBy("bucket").applyInArrow(lambda t: _crowds(t, size), "node long, n long, names array<long>")
+    crowds = stored(crowds, "crowds")
+    wanted = crowds.select(F.explode("names").alias("line")).distinct()
     wanted = wanted.join(firsts, "line").select("line", "first.*")
     wanted = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line", "number")).alias("wanted"))
     wanted = stored(wanted, "wanted")
     small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = rows.join(small, ["doc_id", "h"]).select("text", "wanted")
-    texts = stored(texts.mapInArrow(_line_texts, "line long, said string").dropDuplicates(["line"]), "said")
-    left = texts.select(F.col("line").alias("a"), F.col("said").alias("x"))
-    right = texts.select(F.col("line").alias("b"), F.col("said").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    links = both.mapInArrow(lambda b: _confirm(b, percent), "a long, b long")
+    schema = "line long, said string, sketch binary"
+    texts = stored(texts.mapInArrow(_line_texts, schema).dropDuplicates(["line"]), "said")
+    links = _links(crowds, texts, percent)
     groups = components(links).withColumnRenamed("node", "line")
     in_group = groups.join(firsts, "line")
     kept = in_group.groupBy("component").agg(F.min("first").alias("kept"))
@@ -269,7 +449,8 @@ def dedup_lines(
 
     Null text stays null. Rows without doc_id stay as they are and are not compared. Rows that repeat in
     full are cut alike. Empty tables give no rows. Input columns named lines or lines_removed give way.
-    A pair at the threshold is a candidate with a probability above 0.999; what is linked is exact.
+    A pair at the threshold is compared with a probability above 0.999, as every pair of a node is (a
+    branching node keeps 0.94 of them per shared band); what is linked is exact.
     """
     spark = docs.sparkSession
     rest = [c for c in docs.columns if c not in (text, "lines", "lines_removed")]

@@ -182,6 +182,36 @@ def test_line_dedup_edges(make):
     assert line_dedup.dedup_lines(make([])).collect() == []
 
 
+def templated(n: int, seed: int) -> list[str]:
+    """Lines that share most of their text and are alike in pairs hidden among unlike ones."""
+    r = random.Random(seed)
+    frame = "the quick terms of this licence text are as they have been laid down in part and as are to be seen by all who read it "
+    lines = []
+    for i in range(n // 2):
+        own = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(r.randint(14, 20)))
+        lines += [frame + own, f"{frame}{own}{r.randint(1000, 9999)}"]
+    return lines
+
+
+@pytest.mark.parametrize("limits", [{}, {"NODE": 16, "PART": 32}, {"NODE": 16, "PART": 32, "BLOCKS": 64}])
+def test_line_dedup_compares_all_lines_of_crowded_buckets(make, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(line_dedup, name, value)
+    lines = templated(500, 3)
+    random.Random(4).shuffle(lines)
+    docs = [(i, "\n".join(lines[i * 5 : i * 5 + 5])) for i in range(100)]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(make(docs)).collect()}
+    assert got == brute_lines(docs)
+
+
+def test_long_lines_are_confirmed_pair_by_pair(make, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LONG", 50)
+    lines = templated(60, 5) + [words(5, i) for i in range(20)]
+    docs = [(i, x) for i, x in enumerate(lines)]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(make(docs)).collect()}
+    assert got == brute_lines(docs)
+
+
 def test_line_signatures_meet_as_often_as_sets_overlap():
     agree, real = [], []
     for i in range(150):
