@@ -1,7 +1,7 @@
 """Fuzzy line deduplication: MinHash bands find candidates, exact Jaccard confirms, one line stays.
 
-A line's signature is a one-permutation MinHash of its character shingles. Lines that agree in all bins
-of a band share a node, and every pair of a node is compared: small nodes in one go, larger ones in pairs
+A line's signature is a one-permutation MinHash of its character shingles, or has one hash function per
+value if there are few; lines near the border have both. Lines that agree in all bins of a band share a node, and every pair of a node is compared: small nodes in one go, larger ones in pairs
 of parts; very large ones branch by further minwise values first. Pairs that short sketches allow are
 confirmed on their full shingle sets, links are closed by distributed union-find, and of each component
 the first line in order of (doc_id, line number) stays.
@@ -26,7 +26,9 @@ from panelwake.llm.near_dup import intersections, star
 
 SHINGLE = 8
 BINS, ROWS = 36, 3
-FEW = 90
+FEW = 90  # different shingles from which a line's shingles may be dealt out to the bins
+WIDE = 256  # different shingles from which they are not counted further
+SPOTS = 1024
 PIECE = 1 << 20  # characters hashed at a time
 SKETCH = 32  # minwise values of a sketch, a byte of each
 LEAST = 15  # a pair at the threshold has 25.6 +- 2.3 of them in common
@@ -81,11 +83,10 @@ def line_shingles(line: str) -> np.ndarray:
     return np.unique(shingle_values(codes))
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """A minwise value per bin and line.
+def _places(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle values of all lines one after another, how many each has, and how many differ.
 
-    Long lines deal their shingles out to the bins and keep the smallest value of each; an empty bin
-    borrows from the next full one. Lines with few shingles have one hash function per bin instead.
+    Counts of WIDE and more different values are only said to be that many.
     """
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -94,37 +95,87 @@ def signatures(lines: list[str]) -> np.ndarray:
     runs = np.maximum(sizes - SHINGLE + 1, 0)
     begin = np.cumsum(runs) - runs
     values = values[np.arange(int(runs.sum())) + np.repeat(first - begin, runs)]
-    out = np.full((len(lines), BINS), _EMPTY, np.uint64)
-    long = runs >= FEW
-    mine = np.repeat(long, runs)
-    owner = np.repeat(np.arange(len(lines)), runs)
-    v, o = values[mine], owner[mine]
-    at = o * BINS + ((v >> np.uint64(40)) % np.uint64(BINS)).astype(np.int64)
-    np.minimum.at(out.reshape(-1), at, v >> np.uint64(1))
-    rest = out[long]
-    while (empty := rest == _EMPTY).any():
-        near = np.roll(rest, -1, axis=1)
-        rest = np.where(empty & (near != _EMPTY), near + _WEIGHTS[1], rest)
-    out[long] = rest
-    some = np.flatnonzero(~long & (runs > 0))
-    if len(some):
-        v = values[~mine]
-        cuts = np.cumsum(runs[some]) - runs[some]
-        for i in range(BINS):
-            out[some, i] = np.minimum.reduceat((v ^ _WEIGHTS[64 + i]) * _WEIGHTS[i], cuts)
+    distinct = runs.copy()  # lines with few places have few different values
+    large = np.flatnonzero(runs >= FEW)
+    if len(large):
+        v = values[np.repeat(runs >= FEW, runs)]
+        owner = np.repeat(np.arange(len(large)), runs[large])
+        spots = np.zeros((len(large), SPOTS), bool)  # no more spots than different values
+        spots[owner, (v & np.uint64(SPOTS - 1)).astype(np.int64)] = True
+        found = spots.sum(axis=1)
+        close = found < WIDE
+        mine = np.repeat(close, runs[large])
+        v, owner = v[mine], owner[mine]
+        order = np.lexsort((v, owner))
+        v, owner = v[order], owner[order]
+        new = np.ones(len(v), bool)
+        new[1:] = (v[1:] != v[:-1]) | (owner[1:] != owner[:-1])
+        exact = np.bincount(owner[new], minlength=len(large))
+        distinct[large] = np.where(close, np.minimum(exact, WIDE), WIDE)
+    return values, runs, distinct
+
+
+def _hashed(values: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """The smallest value of each line by one hash function per bin."""
+    begin = np.cumsum(runs) - runs
+    out = np.zeros((len(runs), BINS), np.uint64)
+    for i in range(BINS):
+        out[:, i] = np.minimum.reduceat((values ^ _WEIGHTS[64 + i]) * _WEIGHTS[i], begin)
+    return out
+
+
+def _dealt(values: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """The smallest value of each line in each bin its shingles are dealt to; empty bins borrow."""
+    out = np.full((len(runs), BINS), _EMPTY, np.uint64)
+    owner = np.repeat(np.arange(len(runs)), runs)
+    at = owner * BINS + ((values >> np.uint64(40)) % np.uint64(BINS)).astype(np.int64)
+    np.minimum.at(out.reshape(-1), at, values >> np.uint64(1))
+    while (empty := out == _EMPTY).any():
+        near = np.roll(out, -1, axis=1)
+        out = np.where(empty & (near != _EMPTY), near + _WEIGHTS[1], out)
+    return out
+
+
+def schemes(lines: list[str], percent: int = 80) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minwise values per bin under two schemes: numbers of lines and values of each.
+
+    Lines with few different shingles have one hash function per bin. Lines with many deal their shingles
+    out to the bins, keep the smallest value of each, and let an empty bin borrow from the next full one.
+    Lines from FEW to FEW * 100 / percent different shingles have both, so any two lines whose sets
+    differ in size by no more than the threshold allows have one in common.
+    """
+    values, runs, distinct = _places(lines)
+    high = max(FEW + 1, -(-FEW * 100 // percent)) if percent > 0 else WIDE
+    few = distinct < min(high, WIDE)
+    many = distinct >= FEW
+    some = few & (runs > 0)
+    of_few = np.zeros((len(lines), BINS), np.uint64)
+    if some.any():
+        of_few[some] = _hashed(values[np.repeat(some, runs)], runs[some])
     for i in np.flatnonzero(runs == 0):
-        out[i] = line_shingles(lines[i])[0] ^ _WEIGHTS[:BINS]
+        of_few[i] = line_shingles(lines[i])[0] ^ _WEIGHTS[:BINS]
+    of_many = _dealt(values[np.repeat(many, runs)], runs[many])
+    return np.flatnonzero(few), of_few[few], np.flatnonzero(many), of_many
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """A minwise value per bin and line, by hash functions if the line has them."""
+    few, of_few, many, of_many = schemes(lines)
+    out = np.zeros((len(lines), BINS), np.uint64)
+    out[many] = of_many
+    out[few] = of_few
     return out
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """A hash per line (row) and band (column)."""
-    sig = signatures(lines)
+def band_keys(lines: list[str], percent: int = 80) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of lines, once per scheme they have, and a hash per row of these and band (column)."""
+    few, of_few, many, of_many = schemes(lines, percent)
+    sig = np.concatenate([of_few, of_many])
     bands = [
         mixed(sum(sig[:, b * ROWS + r] * _WEIGHTS[2 + r] for r in range(ROWS)) + np.uint64(b))
         for b in range(BINS // ROWS)
     ]
-    return np.stack(bands, axis=1)
+    return np.concatenate([few, many]), np.stack(bands, axis=1)
 
 
 def _line_batches(batches: Iterator[pa.RecordBatch]):
@@ -143,7 +194,7 @@ def _line_batches(batches: Iterator[pa.RecordBatch]):
         )
 
 
-def _band_batches(batches: Iterator[pa.RecordBatch], buckets: int):
+def _band_batches(batches: Iterator[pa.RecordBatch], buckets: int, percent: int):
     """(band hash, line hash) of the distinct lines of a task's batch, packed by bucket."""
     for batch in batches:
         raw, offsets = text_bytes(batch.column("text"))
@@ -151,17 +202,20 @@ def _band_batches(batches: Iterator[pa.RecordBatch], buckets: int):
         _, once = np.unique(lines.hash, return_index=True)
         if not len(once):
             continue
-        keys = np.zeros((len(once), BINS // ROWS), np.uint64)
+        keys, owners = [], []
         begin = 0
         total = np.cumsum(lines.sizes[once])
         while begin < len(once):
             end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + PIECE)))
             part = once[begin:end]
             spans = zip(lines.starts[part].tolist(), lines.sizes[part].tolist())
-            keys[begin:end] = band_keys([raw[a : a + n].decode() for a, n in spans])
+            which, found = band_keys([raw[a : a + n].decode() for a, n in spans], percent)
+            keys.append(found)
+            owners.append(part[which])
             begin = end
-        line = np.repeat(lines.hash[once], keys.shape[1])
-        yield from packed.pack(keys.ravel(), [keys.ravel(), line], buckets)
+        key = np.concatenate(keys)
+        line = np.repeat(lines.hash[np.concatenate(owners)], key.shape[1])
+        yield from packed.pack(key.ravel(), [key.ravel(), line], buckets)
 
 
 def _crowds(group: pa.Table, node: int) -> pa.Table:
@@ -406,7 +460,7 @@ def removed_lines(rows: DataFrame, percent: int) -> DataFrame:
     place = F.struct("doc_id", "h", F.col("numbers")[0].alias("number"))
     firsts = lines.groupBy("line").agg(F.min(place).alias("first"), F.sum(F.size("numbers")).alias("n"))
     firsts = stored(firsts, "firsts")
-    bands = rows.select("text").mapInArrow(lambda b: _band_batches(b, buckets), packed.SCHEMA)
+    bands = rows.select("text").mapInArrow(lambda b: _band_batches(b, buckets, percent), packed.SCHEMA)
     size = NODE
     crowds = bands.groupBy("bucket").applyInArrow(lambda t: _crowds(t, size), "node long, n long, names array<long>")
     crowds = stored(crowds, "crowds")

@@ -182,6 +182,24 @@ def test_line_dedup_edges(make):
     assert line_dedup.dedup_lines(make([])).collect() == []
 
 
+def test_lines_on_both_sides_of_the_border_meet(make):
+    r = random.Random(6)
+    lines = ["-" * 50, "-" * 120, "-" * 5000, "=-" * 40, "=-" * 90]
+    for n in (*range(88, 125, 3), 96, 96, 96):
+        said = "".join(r.choice("abcdefghij klmnop") for _ in range(n)).replace(" ", "x", 1)
+        lines += [said, said + "q", said + "".join(r.choice("rstuv") for _ in range((n - 7) // 5))]
+    docs = [(i, x) for i, x in enumerate(lines)]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(make(docs)).collect()}
+    assert got == brute_lines(docs)
+    for percent in (80, 50, 100):
+        few, _, many, _ = line_dedup.schemes(lines, percent)
+        few, many = set(few.tolist()), set(many.tolist())
+        sets = [len(line_dedup.line_shingles(x)) for x in lines]
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                assert 100 * a < percent * b or 100 * b < percent * a or {i, j} <= few or {i, j} <= many
+
+
 def templated(n: int, seed: int) -> list[str]:
     """Lines that share most of their text and are alike in pairs hidden among unlike ones."""
     r = random.Random(seed)
