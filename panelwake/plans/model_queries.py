@@ -367,23 +367,37 @@ def logistic_fits(spark, folder):
 
 
 TREE_FEATURES = [
-    "viol_lag1", "viol_lag2", "viol_recency", "viol_chronicity", "viol_cnt_prior1", "viol_cnt_prior_cum",
-    "ctx_total_prior1", "ctx_total_cum", "c311_prior1", "c311_prior_cum", "unitstotal", "borough", "bldgclass_1",
+    "viol_lag1", "viol_lag2", "viol_lag3", "hist_horizon", "viol_recency", "viol_chronicity",
+    "viol_cnt_prior1", "viol_cnt_prior_cum", "ctx_a_prior1", "ctx_a_cum", "ctx_n_prior1", "ctx_n_cum",
+    "ctx_r_prior1", "ctx_r_cum", "ctx_total_prior1", "ctx_total_cum", "c311_available", "c311_prior1",
+    "c311_prior_cum", "building_age", "unitstotal", "borough", "bldgclass_1",
 ]
 CATEGORIES = {"borough": BOROUGHS, "bldgclass_1": LETTERS}
 
 
 @query("gbt_ipw_twin")
-def gbt_ipw_twin(spark, folder):
-    """Reporting propensity on confirmed rows, then weighted and unweighted risk trees."""
+def gbt_ipw_twin(spark, folder, rounds: int = 5, depth: int = 3):
+    """Reporting propensity on confirmed rows, then weighted and unweighted risk trees, for every fold.
+
+    `rounds` and `depth` hold for all three fits; the reference searches 400 to 1,500 rounds.
+    """
     frame = model_frame(spark, folder).withColumn("dup", models.duplicate_target(F.col("k_raw")).cast("double"))
-    fold = FOLDS[-1]
+    out = None
+    for fold in FOLDS:
+        scored = twin_scores(frame, fold, rounds, depth)
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def twin_scores(frame: DataFrame, fold: int, rounds: int, depth: int) -> DataFrame:
+    """Validation rows of one fold with the scores of both risk models fitted before it."""
+    settings = {"rounds": rounds, "depth": depth}
     train = models.train_rows(frame, fold, FIRST)
-    prop = models.fit_trees(train.where(F.col("y") == 1), TREE_FEATURES, CATEGORIES, "dup", rounds=5, depth=3)
+    prop = models.fit_trees(train.where(F.col("y") == 1), TREE_FEATURES, CATEGORIES, "dup", **settings)
     rhat = models.score_trees(prop, train, TREE_FEATURES, CATEGORIES, "rhat")
     weighted = durable(rhat.withColumn("w", models.propensity_weight(F.col("y"), F.col("rhat"), 0.05)))
-    b4 = models.fit_trees(weighted, TREE_FEATURES, CATEGORIES, "y", "w", rounds=5, depth=3)
-    b5 = models.fit_trees(weighted, TREE_FEATURES, CATEGORIES, "y", None, rounds=5, depth=3)
+    b4 = models.fit_trees(weighted, TREE_FEATURES, CATEGORIES, "y", "w", **settings)
+    b5 = models.fit_trees(weighted, TREE_FEATURES, CATEGORIES, "y", None, **settings)
     valid = models.validation_rows(frame, fold)
     scored = models.score_trees(b4, valid, TREE_FEATURES, CATEGORIES, "score_weighted")
     scored = models.score_trees(b5, scored, TREE_FEATURES, CATEGORIES, "score_plain")
@@ -391,22 +405,29 @@ def gbt_ipw_twin(spark, folder):
 
 
 @query("two_head_scores")
-def two_head_scores(spark, folder):
-    """Two-head model fitted on earlier seasons by summed gradients, scored on the last fold."""
+def two_head_scores(spark, folder, width: int = 8, epochs: int = 10):
+    """Two-head model fitted on earlier seasons by summed gradients, scored on every fold.
+
+    The reference searches widths of 64 to 256, with two or three hidden layers.
+    """
     frame = model_frame(spark, folder)
-    fold = FOLDS[-1]
-    cols = design(frame, moments_of(frame, fold))
     u, k = numeric.cap_units(F.col("u_raw"), F.col("k_raw").cast("double"), 25.0)
-    ready = durable(
-        frame.select(
-            "key", "season", F.array(*cols.values()).alias("x"), F.col("y").cast("double").alias("y"),
-            u.alias("u"), k.alias("k"), "eligible",
-        )
-    )
-    rates = models.pooled_rates(frame, "k_raw", "u_raw", F.col("eligible"), [fold], [25.0]).first()
-    settings = twohead.Settings(
-        width=8, epochs=10, patience=4, rate=0.1, pbar=rates["pooled_rate"], shift_index=list(cols).index("viol_cnt_prior_cum")
-    )
-    train, valid = models.train_rows(ready, fold, FIRST), models.validation_rows(ready, fold)
-    theta, _ = twohead.fit(train, valid, len(cols), settings)
-    return twohead.score(valid, theta, settings)
+    pooled = models.pooled_rates(frame, "k_raw", "u_raw", F.col("eligible"), FOLDS, [25.0])
+    rates = {r["fold"]: r["pooled_rate"] for r in pooled.collect()}  # one row per fold
+    out = None
+    for fold in FOLDS:
+        cols = design(frame, moments_of(frame, fold))
+        ready = durable(
+            frame.where(F.col("season") <= fold).select(
+                "key", "season", F.array(*cols.values()).alias("x"), F.col("y").cast("double").alias("y"),
+                u.alias("u"), k.alias("k"), "eligible",
+            )
+        )
+        settings = twohead.Settings(
+            width=width, epochs=epochs, patience=4, rate=0.1, pbar=rates[fold], shift_index=list(cols).index("viol_cnt_prior_cum")
+        )
+        train, valid = models.train_rows(ready, fold, FIRST), models.validation_rows(ready, fold)
+        theta, _ = twohead.fit(train, valid, len(cols), settings)
+        scored = twohead.score(valid, theta, settings)
+        out = scored if out is None else out.unionByName(scored)
+    return out

@@ -165,6 +165,15 @@ def test_twin_models_rank_better_than_chance(spark):
     assert scored.where("score_weighted < 0 or score_plain > 1").count() == 0
 
 
+@pytest.mark.parametrize("run", [mq.gbt_ipw_twin, mq.two_head_scores])
+def test_every_fold_is_scored(spark, run):
+    frame = mq.labelled(spark, "/root/testdata/sf0.001").where(F.col("season").isin(mq.FOLDS))
+    want = {r["season"]: r["count"] for r in frame.groupBy("season").count().collect()}
+    scored = run(spark, "/root/testdata/sf0.001")
+    assert {r["season"]: r["count"] for r in scored.groupBy("season").count().collect()} == want
+    assert set(want) == set(mq.FOLDS)
+
+
 def test_search_picks_a_winner_with_rounds(spark):
     frame = panel(spark).withColumns({"zero_history": F.col("k") == 0, "_tie": F.col("key")}).cache()
     configs = [r.asDict() for r in models.sampled_configs(spark, models.PROPENSITY_DIMS, 2, 42).collect()]
