@@ -11,6 +11,7 @@ from panelwake.llm import (  # noqa: F401
     near_dup,
     repeats,
     secrets,
+    simhash,
     token_files,
     vector_search,
 )
