@@ -5,6 +5,7 @@ from __future__ import annotations
 from panelwake.llm import (  # noqa: F401
     bpe,
     chat_format,
+    collocations,
     decontaminate,
     language,
     line_dedup,
