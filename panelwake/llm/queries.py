@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from panelwake.llm import (  # noqa: F401
+    alignment,
     bpe,
     chat_format,
     collocations,
