@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -54,6 +55,14 @@ def _spelled(tokens: list[bytes]) -> tuple[Rows, np.ndarray, np.ndarray]:
     return rows, sizes, np.array([t[:1] == b" " for t in tokens])
 
 
+class _Numbers(dict):
+    """Keys numbered in the order in which they are first asked for."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Aligner:
     """Two tokenisers and the windows a worker has met."""
 
@@ -74,7 +83,7 @@ class Aligner:
         self.clear()
 
     def clear(self) -> None:
-        self.numbers: dict[tuple[bytes, bytes], int] = {}
+        self.numbers = _Numbers()
         self.strings: list[bytes] = []
         self.pairs = Rows(np.int64)
         self.groups: list[int] = []
@@ -89,7 +98,7 @@ class Aligner:
         a, n_a = self.a.encode(raw, offsets)
         found = self.b.encode(column.to_pylist(), num_threads=1)
         n_b = np.fromiter(map(len, found), np.int64, len(found))
-        b = np.fromiter((i for ids in found for i in ids), np.int64, int(n_b.sum()))
+        b = np.fromiter(chain.from_iterable(found), np.int64, int(n_b.sum()))
         a, n_a = a.astype(np.int64), n_a.astype(np.int64)
         text = np.arange(len(column))
         size = np.diff(offsets)
@@ -151,7 +160,7 @@ class Aligner:
         cut = lambda raw, x, y: [raw[i:j] for i, j in zip((4 * x).tolist(), (4 * y).tolist())]
         numbers, before = self.numbers, len(self.numbers)
         keys = zip(cut(raw_a, begins_a, ends_a), cut(raw_b, begins_b, ends_b))
-        at = np.fromiter((numbers.setdefault(k, len(numbers)) for k in keys), np.int64, len(ends_a))
+        at = np.fromiter(map(numbers.__getitem__, keys), np.int64, len(ends_a))
         new = np.flatnonzero(at >= before)
         new = new[np.unique(at[new], return_index=True)[1]]
         if len(new):

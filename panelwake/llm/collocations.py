@@ -6,9 +6,11 @@ which both its subphrases (without its last and without its first word) have rea
 one full cycle. So a phrase meets every shard once, whenever it starts, and its count is exact; a phrase
 with a subphrase below the threshold is below it too and never has to be counted.
 
-What has reached the threshold goes to the tasks as a Bloom filter of bounded size. Filters only grow
-and decide alike in every task, so a phrase that one lets in by mistake is counted for one full cycle like
-any other, and its exact count is below the threshold.
+The scans count hashes of phrases, packed into one value per task and bucket of hashes. What has reached
+the threshold goes to the tasks as a Bloom filter of bounded size. Filters only grow and decide alike in
+every task, so a phrase that one lets in by mistake is counted for one full cycle like any other. Hashes
+that meet, and counts cut off at the threshold, can only let more phrases through; a last scan counts
+the phrases that are left by their words.
 """
 
 from __future__ import annotations
@@ -21,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelwake.llm.common import only, query, scratch_path, stored, table
+from panelwake.llm.common import only, partitions, query, scratch_path, stored, table
 from panelwake.llm.interning import hash_words, mixed, split_at, text_bytes, text_of
+from panelwake.llm.packed import unpack
 
 SHARDS = 3
 #: Bytes of text counted at a time in a task; one longer text is counted at once.
-FLUSH = 8 << 20
+FLUSH = 4 << 20
+#: Documents per bucket of hashes.
+BUCKET_ROWS = 5000
 #: Bits of a filter per phrase, and their logarithm at least and at most (128 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 32, 16, 30
 #: Logarithm of the bits in one part of a filter.
@@ -59,34 +64,28 @@ def _keys(words: np.ndarray, labels: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
-class Filter:
-    """A Bloom filter of phrases of one length."""
+def _spots(keys: np.ndarray, log_bits: int) -> np.ndarray:
+    return ((mixed(keys)[None, :] * _SPOTS[:, None]) >> np.uint64(64 - log_bits)).astype(np.int64)
+
 
-    def __init__(self, log_bits: int, bits: np.ndarray | None = None):
-        self.log_bits = log_bits
-        self.bits = np.zeros(1 << log_bits - 3, np.uint8) if bits is None else bits
+class Filter:
+    """A Bloom filter of the keys of phrases of one length."""
 
-    def spots(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys[None, :] * _SPOTS[:, None]) >> np.uint64(64 - self.log_bits)).astype(np.int64)
+    def __init__(self, log_bits: int):
+        self.log_bits, self.bits = log_bits, np.zeros(1 << log_bits - 3, np.uint8)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)
-        for spot in self.spots(keys):
-            out &= (self.bits[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
+        for i in range(0, len(keys), 1 << 17):
+            for spot in _spots(keys[i : i + (1 << 17)], self.log_bits):
+                out[i : i + (1 << 17)] &= (self.bits[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
         return out
 
 
-def _filter_spots(batches: Iterator[pa.RecordBatch], n: int, log_bits: int):
-    """(part, bit) of every phrase in the filter."""
-    empty = Filter(LEAST_BITS)
-    empty.log_bits = log_bits
+def _filter_spots(batches: Iterator[pa.RecordBatch], log_bits: int):
+    """(part, bit) of every key in the filter."""
     for batch in batches:
-        labels = batch.column(0).dictionary_encode()
-        hashes = _label_hashes(labels.dictionary.to_pylist())[labels.indices.to_numpy()]
-        raw, offsets = text_bytes(batch.column(1))
-        data = np.frombuffer(raw, np.uint8)
-        words = hash_words(data, *split_at(data, offsets, _INSIDE))[0]
-        spots = empty.spots(_keys(words, np.repeat(hashes, n), n)[::n]).ravel()
+        spots = _spots(batch.column(0).to_numpy().view(np.uint64), log_bits).ravel()
         yield pa.RecordBatch.from_arrays(
             [pa.array((spots >> PART).astype(np.int32)), pa.array((spots & (1 << PART) - 1).astype(np.int32))],
             names=["part", "bit"],
@@ -100,19 +99,98 @@ def _filter_part(group: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([group["part"].slice(0, 1), pa.array([packed], pa.binary())], names=["part", "bits"])
 
 
-def _filter(reached: DataFrame, n: int, log_bits: int) -> Filter:
-    """The filter of all phrases of a table; its parts are set in tasks."""
-    spots = reached.select("lang", "phrase").mapInArrow(
-        lambda b: _filter_spots(b, n, log_bits), "part int, bit int"
-    )
+def _grown(before: Filter | None, reached: DataFrame, shards: int) -> Filter | None:
+    """The filter with the keys of a table; its parts are set in tasks."""
+    n = reached.count()
+    if not n:
+        return before
+    log_bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * shards * n).bit_length()))
+    out = Filter(before.log_bits if before else log_bits)
+    if before:
+        out.bits[:] = before.bits
+    spots = reached.mapInArrow(lambda b: _filter_spots(b, out.log_bits), "part int, bit int")
     parts = spots.distinct().groupBy("part").applyInArrow(_filter_part, "part int, bits binary")
-    out = Filter(log_bits)
     for row in parts.toLocalIterator():  # the filter's own size, whatever the table's
         at = row["part"] << PART - 3
-        out.bits[at : at + (1 << PART - 3)] = np.frombuffer(row["bits"], np.uint8)
+        out.bits[at : at + (1 << PART - 3)] |= np.frombuffer(row["bits"], np.uint8)
     return out
 
 
+class _Words:
+    """The words of some texts: their places, pieces, hashes, and the keys of phrases of them."""
+
+    def __init__(self, column: pa.Array, langs: pa.Array, buckets: int):
+        self.buckets = np.uint64(buckets)
+        labels = langs.dictionary_encode()
+        self.names, code = labels.dictionary, labels.indices.to_numpy()
+        raw, offsets = text_bytes(column)
+        self.raw = raw.translate(_TABLE)
+        data = np.frombuffer(self.raw, np.uint8)
+        self.starts, self.sizes = split_at(data, offsets, _INSIDE)
+        text = text_of(offsets, self.starts)
+        self.lang = code[text]
+        lines = np.cumsum(data == 10, dtype=np.int32)[self.starts]
+        self.follows = (text[1:] == text[:-1]) & (lines[1:] == lines[:-1])
+        self.hashes = hash_words(data, self.starts, self.sizes)
+        self.labels = _label_hashes(self.names.to_pylist())[self.lang]
+
+    def keys(self, n: int) -> np.ndarray:
+        """A key of the n words from each word on: a bucket and four bytes inside it."""
+        h = _keys(self.hashes[0], self.labels, n)
+        return (h >> np.uint64(32)) % self.buckets << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+
+    def whole(self, n: int) -> np.ndarray:
+        """Whether the n words from each word on are in one piece."""
+        out = np.ones(max(0, len(self.starts) - n + 1), bool)
+        for i in range(n - 1):
+            out &= self.follows[i : i + len(out)]
+        return out
+
+    def phrases(self, places: np.ndarray, n: int) -> list[bytes]:
+        last = places + n - 1
+        a, b = self.starts[places], self.starts[last] + self.sizes[last]
+        out = [self.raw[x:y] for x, y in zip(a.tolist(), b.tolist())]
+        ends = np.cumsum(self.sizes)
+        tight = b - a == ends[last] - ends[places] + self.sizes[places] + n - 1
+        for i in np.flatnonzero(~tight).tolist():
+            out[i] = b" ".join(out[i].split())
+        return out
+
+
+def _scan(w: _Words, longest: int, words_active: bool, now: list, done: list, counts: str, most: int):
+    """Packed counts of the active phrases of some texts; `now` and `done` are filters by length."""
+    for n in range(1, longest + 1):
+        if n == 1:
+            keys = w.keys(1) if words_active else w.labels[:0]
+        elif now[n - 2] is None:
+            continue
+        else:
+            shorter = w.keys(n - 1)
+            there = now[n - 2].value.has(shorter)
+            active = w.whole(n) & there[:-1] & there[1:]
+            if done[n - 2] is not None:
+                there = done[n - 2].value.has(shorter)
+                active &= ~(there[:-1] & there[1:])
+            keys = w.keys(n)[active]
+        if not len(keys):
+            continue
+        keys = np.sort(keys)
+        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        times = np.minimum(np.diff(np.append(begin, len(keys))), most).astype(counts)
+        bucket, low = (keys[begin] >> np.uint64(32)).astype(np.int64), keys[begin].astype("<u4")
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        cuts = [*first.tolist(), len(bucket)]
+        blobs = [low[i:j].tobytes() + times[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(first), n, np.int32)),
+                pa.array(bucket[first].astype(np.int32)),
+                pa.array(blobs, pa.binary()),
+            ],
+            names=["words", "bucket", "blob"],
+        )
+
+
 def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the distinct (first, second) pairs, and how often each occurs."""
     order = np.argsort(first, kind="stable")
@@ -120,80 +198,68 @@ def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.nda
     if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():  # one hash agrees by chance
         order = np.lexsort((second, first))
         a, b = first[order], second[order]
-    begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)])
+    begin = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
     return order[begin], np.diff(np.append(begin, len(a)))
 
 
-def _count_texts(column: pa.Array, langs: pa.Array, longest: int, words_active: bool, now: list, done: list):
-    """Counts of the active phrases of some texts."""
-    labels = langs.dictionary_encode()
-    names = labels.dictionary
-    code = labels.indices.to_numpy().astype(np.int64)
-    raw, offsets = text_bytes(column)
-    raw = raw.translate(_TABLE)
-    data = np.frombuffer(raw, np.uint8)
-    starts, sizes = split_at(data, offsets, _INSIDE)
-    if not len(starts):
-        return
-    text = text_of(offsets, starts)
-    lines = np.cumsum(data == 10, dtype=np.int64)[starts]
-    follows = (text[1:] == text[:-1]) & (lines[1:] == lines[:-1])
-    first, second = hash_words(data, starts, sizes)
-    hashes = _label_hashes(names.to_pylist())[code[text]]
-    ends = np.cumsum(sizes)
-    whole = np.ones(len(starts), bool)  # this many words from here on are in one piece
-    active = np.full(len(starts), words_active)
-    for n in range(1, longest + 1):
-        if n > 1:
-            whole = whole[:-1] & follows[n - 2 :]
-            active = np.zeros(len(whole), bool)
-            if now[n - 2] is not None and len(whole):
-                keys = _keys(first, hashes, n - 1)
-                shorter = now[n - 2].value.has(keys)
-                active = whole & shorter[:-1] & shorter[1:]
-                if done[n - 2] is not None:
-                    shorter = done[n - 2].value.has(keys)
-                    active &= ~(shorter[:-1] & shorter[1:])
-        at = np.flatnonzero(active)
-        if not len(at):
+def _recount(w: _Words, wanted: list):
+    """Phrases let through by the filters, with their words, and the number of words as those of none."""
+    lang, words, phrases, counts = [], [], [], []
+    for code, n in enumerate(np.bincount(w.lang, minlength=len(w.names)).tolist()):
+        lang.append(np.array([code]))
+        words.append(np.zeros(1, np.int32))
+        phrases.append(b"")
+        counts.append(np.array([n]))
+    for n, known in enumerate(wanted, 1):
+        if known is None or len(w.starts) < n:
             continue
-        places, counts = _distinct(_keys(first, hashes, n)[at], _keys(second, hashes, n)[at])
+        at = np.flatnonzero(w.whole(n) & known.value.has(w.keys(n)))
+        first, second = (_keys(h, w.labels, n)[at] for h in w.hashes)
+        places, times = _distinct(first, second)
         places = at[places]
-        last = places + n - 1
-        a, b = starts[places], starts[last] + sizes[last]
-        tight = b - a == ends[last] - ends[places] + sizes[places] + n - 1
-        phrases = [raw[x:y] for x, y in zip(a.tolist(), b.tolist())]
-        for i in np.flatnonzero(~tight).tolist():
-            phrases[i] = b" ".join(phrases[i].split())
-        yield pa.RecordBatch.from_arrays(
-            [
-                names.take(pa.array(code[text[places]])),
-                pa.array(np.full(len(places), n, np.int32)),
-                pa.array(phrases, pa.binary()).cast(pa.string()),
-                pa.array(counts.astype(np.int64)),
-            ],
-            names=["lang", "words", "phrase", "a"],
-        )
+        lang.append(w.lang[places])
+        words.append(np.full(len(places), n, np.int32))
+        phrases += w.phrases(places, n)
+        counts.append(times)
+    yield pa.RecordBatch.from_arrays(
+        [
+            w.names.take(pa.array(np.concatenate(lang))),
+            pa.array(np.concatenate(words)),
+            pa.array(phrases, pa.binary()).cast(pa.string()),
+            pa.array(np.concatenate(counts).astype(np.int64)),
+        ],
+        names=["lang", "words", "phrase", "a"],
+    )
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch], *how):
+def _texts(batches: Iterator[pa.RecordBatch], buckets: int, each, *how):
+    """Apply a function to the words of some megabytes of text at a time."""
     held, size = [], 0
+
+    def out():
+        both = pa.Table.from_batches(held).combine_chunks()
+        w = _Words(both["text"].chunk(0), both["lang"].chunk(0), buckets)
+        return each(w, *how) if len(w.starts) else ()
+
     for batch in batches:
         held.append(batch)
         size += batch.column(1).nbytes
         if size >= FLUSH:
-            both = pa.Table.from_batches(held).combine_chunks()
-            yield from _count_texts(both["text"].chunk(0), both["lang"].chunk(0), *how)
+            yield from out()
             held, size = [], 0
     if sum(b.num_rows for b in held):
-        both = pa.Table.from_batches(held).combine_chunks()
-        yield from _count_texts(both["text"].chunk(0), both["lang"].chunk(0), *how)
+        yield from out()
 
 
-def _total(scans: list[DataFrame], least: int) -> DataFrame:
-    """Phrases that have reached the threshold in the scans so far."""
-    counts = reduce(DataFrame.unionByName, scans).groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
-    return stored(counts.where(F.col("a") >= least), "reached")
+def _merged(group: pa.Table, counts: str, least: int) -> pa.Table:
+    """Keys of a bucket whose counts reach the threshold."""
+    keys, times = unpack(group["blob"], ["<u4", counts])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    reached = keys[begin[np.add.reduceat(times[order].astype(np.int64), begin) >= least]]
+    out = reached.astype(np.int64) | group["bucket"][0].as_py() << 32
+    return pa.Table.from_arrays([pa.array(out)], names=["key"])
 
 
 def phrase_counts(
@@ -203,9 +269,9 @@ def phrase_counts(
     shards: int = SHARDS,
     text: str = "text",
     lang: str = "lang",
-) -> tuple[list[DataFrame], DataFrame]:
-    """Tables (lang, phrase, a) of the phrases of 1, 2, ... words that occur at least `least` times, and
-    (lang, n) of all word occurrences.
+) -> tuple[DataFrame, DataFrame]:
+    """(lang, words, phrase, a) of the phrases of up to `longest` words that occur at least `least` times,
+    and (lang, n) of all word occurrences.
 
     Null texts are empty and null languages 'und'. Empty tables and texts give no rows. Each scan and stop
     ends on tables in the shared folder.
@@ -219,47 +285,44 @@ def phrase_counts(
     dealt = scratch_path(spark, "shards")
     rows.write.partitionBy("shard").parquet(dealt)
     source = spark.read.schema("lang string, text string, shard int").parquet(dealt)
+    buckets = max(partitions(spark), source.count() // BUCKET_ROWS)
+    counts = "u1" if least < 256 else "<u4"
 
-    scans: list[list[DataFrame]] = [[] for _ in range(longest)]
-    tables: list[DataFrame | None] = [None] * longest
-    filters: list[list] = [[None] for _ in range(longest - 1)]  # by length and stop, broadcast
+    scans: list[list[DataFrame | None]] = [[] for _ in range(longest)]
+    filters: list[list] = [[None] for _ in range(longest)]  # by length and stop, broadcast
     stop = 0
     while True:
         back = max(0, stop - shards)
-        now, done = [f[stop] for f in filters], [f[back] for f in filters]
+        now, done = [f[stop] for f in filters[:-1]], [f[back] for f in filters[:-1]]
         counted = [stop < shards] + [a is not None and a is not b for a, b in zip(now, done)]
         if not any(counted):
             break
         shard = source.where(F.col("shard") == stop % shards).select("lang", "text")
         use = [a if c else None for a, c in zip(now, counted[1:])]
         path = scratch_path(spark, "scan")
-        how = (longest, counted[0], use, done)
-        shard.mapInArrow(lambda b, how=how: _count_batches(b, *how), COUNTS).write.partitionBy("words").parquet(path)
-        found = spark.read.schema("lang string, phrase string, a long, words int").parquet(path)
+        how = (buckets, _scan, longest, counted[0], use, done, counts, least)
+        found = shard.mapInArrow(lambda b, how=how: _texts(b, *how), "words int, bucket int, blob binary")
+        found.write.partitionBy("words").parquet(path)
+        found = spark.read.schema("bucket int, blob binary, words int").parquet(path)
         stop += 1
         for i in range(longest):
-            if counted[i]:
-                scans[i].append(found.where(F.col("words") == i + 1).select("lang", "phrase", "a"))
-            if i == longest - 1:
-                continue
+            scans[i].append(found.where(F.col("words") == i + 1).select("bucket", "blob") if counted[i] else None)
             latest = filters[i][-1]
             if counted[i]:
-                tables[i] = _total(scans[i], least)
-                n = tables[i].count()
-                if n and latest is None:
-                    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * shards * n).bit_length()))
-                elif n:
-                    bits = latest.value.log_bits
-                if n:
-                    grown = _filter(tables[i], i + 1, bits)
-                    if latest is None or (grown.bits != latest.value.bits).any():
-                        latest = spark.sparkContext.broadcast(grown)
+                # a phrase that is still being counted started in one of these scans
+                cycle = reduce(DataFrame.unionByName, [x for x in scans[i][-shards:] if x is not None])
+                merged = cycle.groupBy("bucket").applyInArrow(lambda g: _merged(g, counts, least), "key long")
+                grown = _grown(latest and latest.value, stored(merged, "reached"), shards)
+                if grown and (latest is None or (grown.bits != latest.value.bits).any()):
+                    latest = spark.sparkContext.broadcast(grown)
             filters[i].append(latest)
-    nothing = spark.createDataFrame([], "lang string, phrase string, a long")
-    if scans[-1]:
-        tables[-1] = _total(scans[-1], least)
-    n_words = reduce(DataFrame.unionByName, scans[0]).groupBy("lang").agg(F.sum("a").alias("n"))
-    return [nothing if t is None else t for t in tables], n_words
+
+    how = (buckets, _recount, [f[-1] for f in filters])
+    exact = source.select("lang", "text").mapInArrow(lambda b: _texts(b, *how), COUNTS)
+    exact = exact.groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
+    exact = stored(exact.where((F.col("words") == 0) | (F.col("a") >= least)), "phrases")
+    n_words = exact.where("words = 0").select("lang", F.col("a").alias("n"))
+    return exact.where("words > 0"), n_words
 
 
 #: floor(1000000 a a / (l r)) in decimals: exact for counts of up to fifteen digits.
@@ -297,10 +360,8 @@ def collocations(
     Null texts are empty, null languages 'und'; rows repeated in the input count as often as they are
     there. Empty tables give no rows. Columns of the input other than the two named are not looked at.
     """
-    tables, n_words = phrase_counts(docs, longest, least, shards, text, lang)
-    counts = reduce(DataFrame.unionByName, tables)
-    pairs = [t.withColumn("words", F.lit(i + 2)) for i, t in enumerate(tables[1:])]
-    phrases = reduce(DataFrame.unionByName, pairs)
+    counts, n_words = phrase_counts(docs, longest, least, shards, text, lang)
+    phrases = counts.where("words > 1")
     words, cut = F.split("phrase", " "), F.explode(F.sequence(F.lit(1), F.col("words") - 1))
     cuts = phrases.select("lang", "phrase", "a", cut.alias("k"), words.alias("w")).select(
         "lang",

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwake.llm.common import only, query, stored, table
+from panelwake.llm.common import only, partitions, query, stored, table
 from panelwake.llm.components import components
 from panelwake.llm.interning import text_bytes
 from panelwake.llm.near_dup import star
@@ -114,6 +114,8 @@ def _postings(prints: DataFrame, masks: list[int]) -> DataFrame:
     """(print, mask, list) of every fingerprint under every mask."""
     entry = lambda m: F.struct(m.alias("mask"), _key(m, F.col("print")).alias("list"))
     entries = F.array(*[entry(F.lit(_signed(m)).cast("long")) for m in masks])
+    # a small table, but each row becomes many
+    prints = prints.repartition(partitions(prints.sparkSession), "print")
     return prints.select("print", F.inline(entries))
 
 

@@ -57,6 +57,10 @@ def got(df):
     return sorted(tuple(r) for r in df.collect())
 
 
+def exact(found):
+    return {(r["lang"], r["phrase"]): r["a"] for r in found.collect()}
+
+
 def rows_of(seed, n=400):
     r = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(30)] + ["Ab", "aB", "é", "ß", "it's", "x" * 300]
@@ -83,9 +87,8 @@ def test_equal_to_brute_force(make, longest, shards):
 def test_every_phrase_meets_every_shard_once(make):
     """Words that only reach the threshold late start their phrases late; counts are whole all the same."""
     rows = rows_of(9, 600)
-    tables, n_words = phrase_counts(make(rows), shards=7)
-    for table, counts in zip(tables, plain_counts(rows)):
-        assert {(r["lang"], r["phrase"]): r["a"] for r in table.collect()} == {k: v for k, v in counts.items() if v >= 10}
+    found, n_words = phrase_counts(make(rows), shards=7)
+    assert exact(found) == {k: v for c in plain_counts(rows) for k, v in c.items() if v >= 10}
     assert sum(r["n"] for r in n_words.collect()) == sum(plain_counts(rows)[0].values())
 
 
@@ -93,9 +96,14 @@ def test_filters_that_let_all_in(make, monkeypatch):
     """A filter far too small lets phrases in by mistake; no result changes."""
     monkeypatch.setattr(collocations, "MOST_BITS", 16)
     rows = rows_of(5) + [(i, f"u{i} v{i} w{i}", "en") for i in range(20_000)]
-    tables, _ = phrase_counts(make(rows), least=1)
-    for table, counts in zip(tables, plain_counts(rows)):
-        assert {(r["lang"], r["phrase"]): r["a"] for r in table.collect()} == dict(counts)
+    found, _ = phrase_counts(make(rows), least=1)
+    assert exact(found) == {k: v for c in plain_counts(rows) for k, v in c.items()}
+
+
+def test_threshold_above_a_byte(make):
+    rows = [(i, "a b c. b c", "en") for i in range(300)] + [(i, "a b", "en") for i in range(99)]
+    found, _ = phrase_counts(make(rows), least=600)
+    assert exact(found) == {("en", "b c"): 600, ("en", "b"): 699, ("en", "c"): 600}
 
 
 def test_ties_and_top(make):
