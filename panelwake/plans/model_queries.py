@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwake.functions import calendar, numeric
-from panelwake.operators import models, ranking, twohead
+from panelwake.operators import models, ranking, stacked, twohead
 from panelwake.plans import standins as st
 from panelwake.plans.panel_queries import (
     COUNT_SQL,
@@ -431,3 +431,88 @@ def two_head_scores(spark, folder, width: int = 8, epochs: int = 10):
         scored = twohead.score(valid, theta, settings)
         out = scored if out is None else out.unionByName(scored)
     return out
+
+
+def two_head_rows(frame: DataFrame, fold: int) -> tuple[DataFrame, list[str]]:
+    """Durable rows of a fold for stacked fits: training seasons, and the fold's own to watch."""
+    cols = design(frame, moments_of(frame, fold))
+    rows = frame.where(F.col("season") <= fold).select(
+        "key", "season", "zero_history", F.array(*cols.values()).alias("x"), F.col("y").cast("double").alias("y"),
+        F.col("u_raw").cast("double").alias("u_raw"), F.col("k_raw").cast("double").alias("k_raw"), "eligible",
+        (F.col("season") == fold).alias("watch"), F.xxhash64("key", "season").alias("tag"),
+    )
+    return durable(rows), list(cols)
+
+
+def stack_metrics(spark, folder, members_of, epochs: int, patience: int, halve_at=()) -> DataFrame:
+    """(member, fold, best_round, pr_auc, zero_p250) of stacked fits on every fold; one pass per epoch and fold.
+
+    `members_of(pbar, shift)` gives the members of a fold, in the same order for each.
+    """
+    frame = model_frame(spark, folder)
+    pooled = models.pooled_rates(frame, "k_raw", "u_raw", F.col("eligible"), FOLDS, [25.0])
+    rates = {r["fold"]: r["pooled_rate"] for r in pooled.collect()}  # one row per fold
+    scored, rounds = None, []
+    for fold in FOLDS:
+        rows, names = two_head_rows(frame, fold)
+        members = members_of(rates[fold], names.index("viol_cnt_prior_cum"))
+        fits = stacked.fit_stack(rows, len(names), members, epochs, patience, halve_at)
+        rounds += [(i, fold, f.best_epoch + 1) for i, f in enumerate(fits)]
+        q = stacked.score_stack(rows.where("watch"), fits, ["key", "y", "zero_history"])
+        q = q.withColumn("fold", F.lit(fold))
+        scored = q if scored is None else scored.unionByName(q)
+    scored = durable(scored)
+    groups = ["member", "fold", "stratum"]
+    strata = ranking.by_stratum(scored, "zero_history")
+    found = ranking.report(strata, groups, "q", "y", F.md5(F.col("key").cast("string")), [250])
+    pick = lambda stratum, c: F.max(F.when(F.col("stratum") == stratum, F.col(c)))
+    metrics = found.groupBy("member", "fold").agg(
+        pick("all", "pr_auc").alias("pr_auc"), pick("zero", "p_at_250").alias("zero_p250")
+    )
+    best = spark.createDataFrame(rounds, "member int, fold int, best_round int")
+    return best.join(metrics, ["member", "fold"], "left")
+
+
+def two_head_configs(spark, n: int, seed: int) -> list[dict]:
+    """Decoded draws from the search space of the two-head model; n rows."""
+    return [r.asDict() for r in models.sampled_configs(spark, models.TWO_HEAD_DIMS, n, seed).collect()]
+
+
+def member_of(config: dict, pbar: float, shift: int, seed: int) -> stacked.Member:
+    return stacked.Member(
+        width=int(config["width"]), depth=int(config["depth"]), dropout=float(config["dropout"]),
+        lam=float(config["lam"]), ustar=float(config["ustar"]), rate=float(config["lr"]), mu1=float(config["mu1"]),
+        mu2=float(config["mu2"]), seed=seed, pbar=pbar, shift_index=shift,
+    )
+
+
+@query("two_head_search")
+def two_head_search(spark, folder, n: int = 8, epochs: int = 8, seed: int = 42):
+    """Every drawn two-head configuration on every fold, and the winner by mean precision.
+
+    After half of the epochs the half of the configurations with the higher validation cross-entropy stops.
+    """
+    configs = two_head_configs(spark, n, seed)
+    halve = (epochs // 2 - 1,)
+    metrics = stack_metrics(
+        spark, folder, lambda pbar, shift: [member_of(c, pbar, shift, seed) for c in configs], epochs, epochs, halve
+    )
+    numbers = spark.createDataFrame([(i, c["config"]) for i, c in enumerate(configs)], "member int, config long")
+    metrics = durable(metrics.join(F.broadcast(numbers), "member").drop("member"))
+    winner = models.search_winner(metrics).where("place = 1").select("config", F.col("rounds").alias("refit_rounds"))
+    out = metrics.join(F.broadcast(winner), "config", "left")
+    return out.select(
+        "config", "fold", "best_round", F.round("pr_auc", 6).alias("pr_auc"), F.round("zero_p250", 6).alias("zero_p250"),
+        F.col("refit_rounds").isNotNull().alias("winner"), "refit_rounds",
+    )
+
+
+@query("two_head_seed_spread")
+def two_head_seed_spread(spark, folder, epochs: int = 8, seeds: tuple[int, ...] = (42, 43, 44, 45, 46)):
+    """Spread of precision over fits that differ in their seed alone, per fold."""
+    config = two_head_configs(spark, 1, 42)[0]
+    metrics = stack_metrics(
+        spark, folder, lambda pbar, shift: [member_of(config, pbar, shift, s) for s in seeds], epochs, epochs
+    )
+    found = ranking.spread(metrics, ["fold"], "pr_auc")
+    return found.select("fold", "runs", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi", "std", "range")])
