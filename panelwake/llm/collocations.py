@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwake.llm.common import only, partitions, query, scratch_path, stored, table
-from panelwake.llm.interning import hash_words, mixed, split_at, text_bytes, text_of
+from panelwake.llm.interning import hash_runs, hash_words, mixed, split_at, text_bytes, text_of
 from panelwake.llm.packed import unpack
 
 SHARDS = 3
@@ -131,12 +131,12 @@ class _Words:
         self.lang = code[text]
         lines = np.cumsum(data == 10, dtype=np.int32)[self.starts]
         self.follows = (text[1:] == text[:-1]) & (lines[1:] == lines[:-1])
-        self.hashes = hash_words(data, self.starts, self.sizes)
+        self.data, self.hashes = data, hash_runs(data, self.starts, self.sizes)
         self.labels = _label_hashes(self.names.to_pylist())[self.lang]
 
     def keys(self, n: int) -> np.ndarray:
         """A key of the n words from each word on: a bucket and four bytes inside it."""
-        h = _keys(self.hashes[0], self.labels, n)
+        h = _keys(self.hashes, self.labels, n)
         return (h >> np.uint64(32)) % self.buckets << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
 
     def whole(self, n: int) -> np.ndarray:
@@ -205,6 +205,7 @@ def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.nda
 def _recount(w: _Words, wanted: list):
     """Phrases let through by the filters, with their words, and the number of words as those of none."""
     lang, words, phrases, counts = [], [], [], []
+    second = hash_words(w.data, w.starts, w.sizes)[0]
     for code, n in enumerate(np.bincount(w.lang, minlength=len(w.names)).tolist()):
         lang.append(np.array([code]))
         words.append(np.zeros(1, np.int32))
@@ -214,8 +215,7 @@ def _recount(w: _Words, wanted: list):
         if known is None or len(w.starts) < n:
             continue
         at = np.flatnonzero(w.whole(n) & known.value.has(w.keys(n)))
-        first, second = (_keys(h, w.labels, n)[at] for h in w.hashes)
-        places, times = _distinct(first, second)
+        places, times = _distinct(*(_keys(h, w.labels, n)[at] for h in (w.hashes, second)))
         places = at[places]
         lang.append(w.lang[places])
         words.append(np.full(len(places), n, np.int32))
@@ -254,10 +254,10 @@ def _texts(batches: Iterator[pa.RecordBatch], buckets: int, each, *how):
 def _merged(group: pa.Table, counts: str, least: int) -> pa.Table:
     """Keys of a bucket whose counts reach the threshold."""
     keys, times = unpack(group["blob"], ["<u4", counts])
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+    both = np.sort(keys.astype(np.uint64) << np.uint64(32) | times)
+    keys, times = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
     begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-    reached = keys[begin[np.add.reduceat(times[order].astype(np.int64), begin) >= least]]
+    reached = keys[begin[np.add.reduceat(times, begin) >= least]]
     out = reached.astype(np.int64) | group["bucket"][0].as_py() << 32
     return pa.Table.from_arrays([pa.array(out)], names=["key"])
 
