@@ -400,14 +400,35 @@ def reload_difference(a: DataFrame, b: DataFrame, keys: list[str], score: str) -
 # -- search --------------------------------------------------------------------------------------
 
 
+ROUNDS = 4
+
+
+def permuted(index: Column, sizes: list[int], seed: int) -> Column:
+    """The place of an index in a keyed permutation of [0, product of the sizes).
+
+    The index is split in two digits; each round adds a hash of one digit to the other, which can be
+    undone, so every index has its own place and the n-th draw needs no sort of the space.
+    """
+    cut = max(1, len(sizes) // 2)
+    high, low = math.prod(sizes[:cut]), math.prod(sizes[cut:])
+
+    def mixed(digit: Column, turn: int) -> Column:
+        text = F.concat_ws("|", F.lit(str(seed)), F.lit(str(turn)), digit.cast("string"))
+        return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+    a, b = F.floor(index.cast("long") / F.lit(low)), index.cast("long") % low
+    for turn in range(ROUNDS):
+        if turn % 2 == 0:
+            a = (a + mixed(b, turn)) % high
+        else:
+            b = (b + mixed(a, turn)) % low
+    return a * F.lit(low) + b
+
+
 def sampled_configs(spark: SparkSession, dims: list[tuple[str, list]], n: int, seed: int) -> DataFrame:
-    """Seeded sample of a configuration space, decoded, in index order."""
-    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")))
-    chosen = (
-        spark.range(math.prod(len(values) for _, values in dims)).select(F.col("id").alias("config"), draw.alias("_draw"))
-        .orderBy("_draw", "config")
-        .limit(n)
-    )
+    """Seeded sample of a configuration space without repeats, decoded, in index order."""
+    sizes = [len(values) for _, values in dims]
+    chosen = spark.range(min(n, math.prod(sizes))).select(permuted(F.col("id"), sizes, seed).alias("config"))
     decoded = numeric.mixed_radix(F.col("config"), dims)
     return chosen.select("config", *[c.alias(name) for name, c in decoded.items()]).orderBy("config")
 

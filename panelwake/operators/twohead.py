@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,27 +185,46 @@ def batch_sums(theta: np.ndarray, x, y, u, k, el, s: Settings) -> np.ndarray:
     return np.concatenate([*out, [hinge_sum], *vectors])
 
 
-def _matrix(pdf: pd.DataFrame):
-    x = np.vstack(pdf["x"].to_numpy()).astype("float64")
-    col = lambda c: pdf[c].to_numpy(dtype="float64")
-    return x, col("y"), col("u"), col("k"), pdf["eligible"].to_numpy(dtype=bool)
+def _matrix(batch: pa.RecordBatch):
+    """The design matrix straight from the list column's buffer, and the other columns."""
+    lists = batch.column("x")
+    x = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(np.float64)
+    number = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64)
+    return x, number("y"), number("u"), number("k"), batch.column("eligible").to_numpy(zero_copy_only=False).astype(bool)
+
+
+SUMS = "branch int, sums binary"
+BRANCHES = 32
+
+
+def _sum_group(group: pa.Table) -> pa.Table:
+    v = sum(np.frombuffer(b, np.float64) for b in group["sums"].to_pylist())
+    return pa.table({"branch": pa.array([0], pa.int32()), "sums": pa.array([v.tobytes()], pa.binary())})
 
 
 def evaluate(data: DataFrame, theta: np.ndarray, s: Settings) -> tuple[dict, np.ndarray]:
-    """Loss and gradient over a table. Tasks return one vector each; Spark adds them by position."""
+    """Loss and gradient over a table. Tasks return one vector each; Spark adds them, by branches first
+    where there are many tasks."""
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for pdf in batches:
-            if len(pdf):
-                part = batch_sums(theta, *_matrix(pdf), s)
+        for batch in batches:
+            if batch.num_rows:
+                part = batch_sums(theta, *_matrix(batch), s)
                 total = part if total is None else total + part
         if total is not None:
-            yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
-
-    summed = data.mapInPandas(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
-    v = np.array([r["v"] for r in sorted(summed.collect(), key=lambda r: r["i"])])
+            branch = TaskContext.get().partitionId() % BRANCHES
+            yield pa.RecordBatch.from_pydict(
+                {"branch": [branch], "sums": [total.tobytes()]}, schema=pa.schema([("branch", pa.int32()), ("sums", pa.binary())])
+            )
+
+    parts = data.select("x", "y", "u", "k", "eligible").mapInArrow(partial, SUMS)
+    if data.rdd.getNumPartitions() > BRANCHES:
+        parts = parts.groupBy("branch").applyInArrow(_sum_group, SUMS)
+    vectors = [np.frombuffer(r["sums"], np.float64) for r in parts.orderBy("branch").collect()]  # at most BRANCHES
+    v = sum(vectors) if vectors else np.zeros(6 + 4 * len(theta))
     n, n_el, bce, nll, om1, om2 = v[:6]
+    n = max(n, 1.0)
     g = v[6:].reshape(4, -1)
     el = max(n_el, 1.0)
     terms = {"bce": bce / n, "nll": nll / el, "omega1": om1 / n, "omega2": om2 / n}
@@ -255,6 +276,23 @@ def score(data: DataFrame, theta: np.ndarray, s: Settings) -> DataFrame:
     return data.mapInPandas(run, ", ".join([*fields, "f double", "p double", "q double"]))
 
 
+def stated_scores(data: DataFrame, theta: np.ndarray, s: Settings) -> DataFrame:
+    """Like `score`, by array expressions of the JVM; the weights are literals of the plan."""
+    d = (len(theta) - 2) // s.width - 3 if s.width else (len(theta) - 2) // 2
+    w = unpack(theta, d, s)
+    numbers = lambda v: F.lit([float(a) for a in v])
+    dot = lambda x, v: F.aggregate(F.zip_with(x, v, lambda a, b: a * b), F.lit(0.0), lambda t, a: t + a)
+    hidden = F.col("x")
+    if s.width:
+        units = F.array(*[F.struct(numbers(w["w1"][:, j]).alias("w"), F.lit(float(w["b1"][j])).alias("b")) for j in range(s.width)])
+        hidden = F.transform(units, lambda unit: F.greatest(dot(F.col("x"), unit["w"]) + unit["b"], F.lit(0.0)))
+    head = lambda n: numeric.sigmoid(dot(F.col("_hidden"), numbers(w[f"w{n}"])) + float(w[f"b{n}"][0]))
+    rows = data.withColumn("_hidden", hidden).withColumns({"f": head("f"), "p": head("p")})
+    rows = rows.withColumn("p", numeric.clamp(F.col("p"), CLAMP_EPS, 1 - CLAMP_EPS))
+    q = numeric.clamp(F.col("f") * numeric.detection(F.col("p"), F.col("u")), CLAMP_EPS, 1 - CLAMP_EPS)
+    return rows.withColumn("q", q).drop("_hidden", "x")
+
+
 def save_weights(spark: SparkSession, theta: np.ndarray, path: str) -> None:
     rows = [(i, float(v)) for i, v in enumerate(theta)]
     spark.createDataFrame(rows, "i int, v double").write.mode("overwrite").parquet(path)

@@ -9,6 +9,7 @@ from panelwake.plans import (  # noqa: F401
     model_queries,
     panel_queries,
     ranking_queries,
+    stated_queries,
     strata_queries,
     stream_queries,
 )
