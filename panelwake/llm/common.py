@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelwake.session import scratch_path, tune
 
@@ -55,6 +57,30 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{source}`"].alias(name) for name, source in columns.items()])
 
 
+def unused(taken: Iterable[str], name: str) -> str:
+    """The name, with underscores before it until no column of the input has it, in either case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
+def quoted(names: Iterable[str]) -> list[Column]:
+    """Columns of any name, dots included."""
+    return [F.col(f"`{c}`") for c in names]
+
+
+def mapped(rows: DataFrame, function, schema: T.StructType) -> DataFrame:
+    """mapInArrow over columns of any name: they travel by position, under plain names."""
+    names = [f"c{i}" for i in range(len(schema))]
+    plain = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, schema)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (pa.RecordBatch.from_arrays(b.columns, names=names) for b in function(batches))
+
+    return rows.toDF(*[f"c{i}" for i in range(len(rows.columns))]).mapInArrow(run, plain).toDF(*schema.names)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends on durable files."""
     path = scratch_path(df.sparkSession, label)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwake.llm.common import TOKENIZERS, only, query, stored, table
+from panelwake.llm.common import TOKENIZERS, mapped, only, query, quoted, stored, table, unused
 
 #: Words kept with their scores by one task.
 WORDS_KEPT = 200_000
@@ -278,21 +278,27 @@ def _predict(batches: Iterator[pa.RecordBatch], sent):
         yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], "lang_pred", "score"])
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns of every row, with `lang_pred` and `score`.
+def predict(
+    docs: DataFrame,
+    model: Model,
+    text: str = "text",
+    keep: list[str] | None = None,
+    names: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """The kept columns of every row, with `lang_pred` and `score`, or what `names` calls them.
 
     Only the text is looked at. The score is the share of the predicted language in the probability of
     the text over all learned languages. Texts that are null, empty or without any letter get 'und' and
-    0. Rows stay where they are, repeated rows included; an input column called lang_pred or score gives
-    way. Empty tables give no rows.
+    0. Rows stay where they are, repeated rows included; an input column of either name gives
+    way, any other stays as it is. Empty tables give no rows.
     """
-    keep = [c for c in keep or docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(docs[f"`{text}`"].alias("_text"), *[docs[f"`{c}`"] for c in keep])
+    keep = [c for c in keep or docs.columns if c not in names]
+    rows = docs.select(docs[f"`{text}`"].alias(unused(keep, "_text")), *[docs[f"`{c}`"] for c in keep])
     schema = T.StructType(
-        [*rows.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+        [*rows.schema.fields[1:], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
     )
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(lambda b: _predict(b, sent), schema)
+    return mapped(rows, lambda b: _predict(b, sent), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -301,10 +307,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def confident(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows, columns unchanged, whose language is known with at least the stated score."""
-    scored = predict(docs.withColumn("_kept", F.lit(True)), model, text)
-    fine = scored.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    return fine.select(*docs.columns)
+    """The rows, columns unchanged, whose language is known with at least the stated score.
+
+    Input columns of any name stay as they are.
+    """
+    names = (unused(docs.columns, "lang_pred"), unused(docs.columns, "score"))
+    scored = predict(docs, model, text, names=names)
+    fine = scored.where((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) >= least))
+    return fine.select(*quoted(docs.columns))
 
 
 @query("op1_language")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwake.llm import packed
-from panelwake.llm.common import only, partitions, query, stored, table
+from panelwake.llm.common import mapped, only, partitions, query, stored, table, unused
 from panelwake.llm.components import components
 from panelwake.llm.interning import hash_runs, mixed, split_at, text_bytes, text_of
 from panelwake.llm.near_dup import intersections, star
@@ -492,9 +492,13 @@ def removed_lines(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def dedup_lines(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    percent: int = 80,
+    counts: tuple[str, str] = ("lines", "lines_removed"),
 ) -> DataFrame:
-    """The rows with `text` cut, and `lines` and `lines_removed` (long) added.
+    """The rows with `text` cut, and `lines` and `lines_removed` (long), or what `counts` calls them, added.
 
     Lines end at line feeds. Two lines are alike if the Jaccard index of their sets of 8-character
     shingles is at least `percent`; a line of fewer characters is one shingle. Of a component of alike
@@ -502,39 +506,41 @@ def dedup_lines(
     included. Blank lines stay and are not compared.
 
     Null text stays null. Rows without doc_id stay as they are and are not compared. Rows that repeat in
-    full are cut alike. Empty tables give no rows. Input columns named lines or lines_removed give way.
+    full are cut alike. Empty tables give no rows. Input columns with a name of `counts` give way;
+    any other stays as it is.
     A pair at the threshold is compared with a probability above 0.999, as every pair of a node is (a
     branching node keeps 0.94 of them per shared band); what is linked is exact.
     """
     spark = docs.sparkSession
-    rest = [c for c in docs.columns if c not in (text, "lines", "lines_removed")]
+    kept = [c for c in docs.columns if c not in counts]
+    rest = [c for c in kept if c != text]
+    own = lambda name: unused([*docs.columns, *counts], name)
+    gone_id, gone_h, gone_at, whole, n, short, n_lines = map(own, ("_gone_id", "_gone_h", "_gone", "_text", "_n", "_cut", "_lines"))
     rows = only(docs, doc_id=doc_id, text=text)
     rows = rows.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
     gone = stored(removed_lines(rows, percent), "gone")
-    lean = gone.select(F.col("doc_id").alias("_gone_id"), F.col("h").alias("_gone_h"), F.col("gone").alias("_gone"))
+    lean = gone.select(F.col("doc_id").alias(gone_id), F.col("h").alias(gone_h), F.col("gone").alias(gone_at))
     lean = F.broadcast(lean) if gone.count() <= BROADCAST_ROWS else lean
     key = docs[f"`{doc_id}`"].cast("long")
-    hit = (key == F.col("_gone_id")) & (F.xxhash64(docs[f"`{text}`"]) == F.col("_gone_h"))
+    hit = (key == F.col(gone_id)) & (F.xxhash64(docs[f"`{text}`"]) == F.col(gone_h))
+    count = F.coalesce(F.size(gone_at), F.lit(0)).cast("long")
     both = docs.join(lean, hit, "left").select(
-        docs[f"`{text}`"].alias("_text"), F.col("_gone"), *[docs[f"`{c}`"] for c in rest]
+        docs[f"`{text}`"].alias(whole), F.col(gone_at), *[docs[f"`{c}`"] for c in rest], count.alias(n)
     )
-    fields = [*both.schema.fields[2:]]
-    n_gone = both.select("_text", "_gone", *[f"`{c}`" for c in rest], F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n"))
     schema = T.StructType(
         [
-            T.StructField("_gone", T.ArrayType(T.IntegerType())),
-            *fields,
-            T.StructField("_n", T.LongType()),
-            T.StructField("_cut", T.StringType()),
-            T.StructField("_lines", T.LongType()),
+            T.StructField(gone_at, T.ArrayType(T.IntegerType())),
+            *both.schema.fields[2:-1],
+            T.StructField(n, T.LongType()),
+            T.StructField(short, T.StringType()),
+            T.StructField(n_lines, T.LongType()),
         ]
     )
-    cut = n_gone.mapInArrow(lambda b: _cut_batches(b), schema)
-    names = {text: F.col("_cut").alias(text)}
+    cut = mapped(both, _cut_batches, schema)
     return cut.select(
-        *[names.get(c, F.col(f"`{c}`")) for c in docs.columns if c not in ("lines", "lines_removed")],
-        F.col("_lines").alias("lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.col("_n")).cast("long").alias("lines_removed"),
+        *[F.col(short).alias(text) if c == text else F.col(f"`{c}`") for c in kept],
+        F.col(n_lines).alias(counts[0]),
+        F.when(F.col(gone_at).isNull(), 0).otherwise(F.col(n)).cast("long").alias(counts[1]),
     )
 
 

@@ -76,8 +76,8 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch], k: int):
         offsets = np.arange(len(sets) + 1, dtype=np.int32) * COORDINATES
         sketches = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), sketches],
-            names=["doc_id", "n_shingles", "name", "sketch"],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), sketches, batch.column(2)],
+            names=["doc_id", "n_shingles", "name", "sketch", "h"],
         )
 
 
@@ -151,7 +151,7 @@ def _low_bytes(batches: Iterator[pa.RecordBatch]):
         bits = (flat & 0xFF).astype(np.uint8).reshape(-1, COORDINATES)
         column = pa.array([r.tobytes() for r in bits], pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("name"), batch.column("rep"), column], names=["name", "rep", "bits"]
+            [batch.column("name"), batch.column("name"), column], names=["name", "rep", "bits"]
         )
 
 
@@ -218,7 +218,7 @@ def near_duplicates(
     percent: int = 80,
     seed: int = 0,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row.
+    """(doc_id, h, n_shingles, component_id, kept) for every row; h is xxhash64 of the text.
 
     Documents are linked if their intersection holds at least `percent` of their union; a component's id
     is its smallest doc_id, and that document is kept. Every link is confirmed on full sets. A pair at the
@@ -227,13 +227,15 @@ def near_duplicates(
 
     Texts with fewer than k words are one shingle; null, empty and blank texts have none and are linked
     with nothing. Rows without doc_id are not compared: their component is null and they are kept.
-    Rows that repeat an id have one component. Empty tables give no rows. Texts of any length are taken
+    Sets are linked, not ids: rows that repeat an id with unlike texts have a component each, told apart by
+    h, and rows that repeat in full have one. Other input columns are not read. Empty tables give no rows. Texts of any length are taken
     whole. No group is collected: nodes branch until they are small, and clusters larger than one
     comparison are compared in pairs of parts.
     """
     spark = docs.sparkSession
-    rows = only(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), "text")
-    schema = "doc_id long, n_shingles long, name long, sketch array<int>"
+    rows = only(docs, doc_id=doc_id, text=text)
+    rows = rows.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
+    schema = "doc_id long, n_shingles long, name long, sketch array<int>, h long"
     sk = stored(rows.mapInArrow(lambda b: _sketch_batches(b, k), schema), "sketches")
     usable = sk.where("name is not null and doc_id is not null")
     groups = stored(
@@ -262,21 +264,21 @@ def near_duplicates(
     share = percent / 100
     least = share - 5 * (share * (1 - share) / COORDINATES) ** 0.5
     maybe = members.mapInArrow(lambda b: _node_edges(b, least), "a long, b long")
-    dense = dense.join(sets.select("name", "rep"), "name")
-    heads = dense.groupBy("node").agg(F.min("rep").alias("a"))
-    maybe = maybe.unionByName(dense.join(heads, "node").select("a", F.col("rep").alias("b")))
+    heads = dense.groupBy("node").agg(F.min("name").alias("a"))
+    maybe = maybe.unionByName(dense.join(heads, "node").select("a", F.col("name").alias("b")))
 
     clusters = components(maybe)
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
     wanted = (
         clusters.join(sizes, "component")
-        .select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "n")
-        .join(sets.select("rep", "name"), "rep")
+        .select(F.col("node").alias("name"), F.col("component").alias("cluster"), "n")
+        .join(sets.select("name", F.col("rep").alias("id")), "name")
     )
     wanted = stored(wanted, "wanted")
     count = wanted.count()
     small = F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted
-    texts = rows.join(small, rows["doc_id"] == wanted["rep"]).select("text", "rep", "name", "cluster", "n")
+    texts = rows.join(small, rows["doc_id"] == wanted["id"])
+    texts = texts.select("text", F.col("name").alias("rep"), "name", "cluster", "n")
     full = texts.mapInArrow(lambda b: _set_batches(b, k), "rep long, cluster long, n long, shingles binary")
     parts = F.ceil(F.col("n") / (CLUSTER // 2)).cast("int")
     part = F.pmod(F.xxhash64("rep"), parts).cast("int")
@@ -301,20 +303,23 @@ def near_duplicates(
         .groupBy("g", "i", "j")
         .applyInArrow(lambda t: _exact_links(t, percent), "a long, b long")
     )
-    joined = components(links).select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
+    found = components(links).withColumnRenamed("node", "name")
+    heads = found.join(groups, "name").groupBy("component").agg(F.min("rep").alias("component_id"))
+    joined = found.join(heads, "component").select("name", "component_id")
 
     # only sets with copies or links change anything
     changed = (
-        groups.join(joined, "rep", "left")
+        groups.join(joined, "name", "left")
         .where("copies > 1 or component_id is not null")
         .select("name", F.coalesce("component_id", "rep").alias("component_id"))
     )
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     spread = changed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = sk.select("doc_id", "n_shingles", "name", salt.alias("salt")).join(spread, ["name", "salt"], "left")
+    out = sk.select("doc_id", "h", "n_shingles", "name", salt.alias("salt")).join(spread, ["name", "salt"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select(
         "doc_id",
+        "h",
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
@@ -353,4 +358,4 @@ GROUP BY d.doc_id, n.n
 @query("op5_near_duplicates", SQL)
 def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose five-word shingle sets agree to 85 percent."""
-    return near_duplicates(table(spark, folder, "documents"), percent=85)
+    return near_duplicates(table(spark, folder, "documents"), percent=85).drop("h")
