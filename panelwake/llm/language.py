@@ -21,8 +21,10 @@ from pyspark.sql import types as T
 
 from panelwake.llm.common import TOKENIZERS, mapped, only, query, quoted, stored, table, unused
 
-#: Words kept with their scores by one task.
+#: Scores of words kept by one task: this many words of eight languages, fewer words of more.
 WORDS_KEPT = 200_000
+#: Languages fitted together; their pieces do not depend on each other.
+TOGETHER = 32
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _MARK = "▁"  # opens each word in the vocabulary
@@ -165,40 +167,55 @@ def fit(
     lang: str = "lang",
     vocabulary: str = f"{TOKENIZERS}/piece_bpe_32k.model",
     docs_per_language: int = 2000,
-    max_languages: int = 64,
     rounds: int = 3,
     smoothing: float = 0.1,
 ) -> Model:
     """Piece probabilities per language by expectation maximisation.
 
-    The model is fitted on about `docs_per_language` rows per label, drawn by a hash of the text, of the
-    `max_languages` most frequent labels; both bounds are parameters. Rows without text or label take no
-    part. Counts per round are sums by Spark; only one number per piece and language reaches the driver,
-    which the vocabulary bounds. Without labelled rows the model knows no language.
+    The model is fitted on about `docs_per_language` rows of every label that occurs, drawn by a hash of
+    the text; that bound is a parameter. Rows without text or label take no part. Counts per round are
+    sums by Spark, for `TOGETHER` labels at a time; only one number per piece and label reaches the
+    driver (a quarter of a megabyte per label). Without labelled rows the model knows no language.
     """
     spark = labelled.sparkSession
     pieces = Pieces.load(vocabulary)
     rows = only(labelled, text=text, lang=lang).where("text is not null and lang is not null")
-    tops = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    tops = sorted(tops, key=lambda r: r["lang"])
+    tops = sorted(rows.groupBy("lang").count().collect(), key=lambda r: r["lang"])
     if not tops:
         return Model([], np.zeros(0), np.zeros((pieces.size, 0)), pieces)
-    languages = [r["lang"] for r in tops]
     totals = np.array([r["count"] for r in tops], float)
+    log_p = np.empty((pieces.size, len(tops)))
+    for first in range(0, len(tops), TOGETHER):
+        part = [(r["lang"], r["count"]) for r in tops[first : first + TOGETHER]]
+        log_p[:, first : first + len(part)] = _fit_part(rows, part, pieces, docs_per_language, rounds, smoothing)
+    return Model([r["lang"] for r in tops], np.log(totals / totals.sum()), log_p, pieces)
+
+
+def _fit_part(
+    rows: DataFrame,
+    labels: list[tuple[str, int]],
+    pieces: Pieces,
+    docs_per_language: int,
+    rounds: int,
+    smoothing: float,
+) -> np.ndarray:
+    """Log probability of each piece (row) in each of these labels (column)."""
+    spark = rows.sparkSession
     shares = spark.createDataFrame(
-        [(r["lang"], i, min(1.0, docs_per_language / r["count"])) for i, r in enumerate(tops)],
+        [(name, i, min(1.0, docs_per_language / n)) for i, (name, n) in enumerate(labels)],
         "lang string, language int, share double",
     )
     draw = F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 30)) / (1 << 30)
     sample = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share"))
+    count = lambda i: F.sum(F.when(F.col("language") == i, F.col("n")).otherwise(0))
     counted = (
         sample.select("language", "text")
         .mapInArrow(_count_words, "language int, word string, n long")
         .groupBy("word")
-        .agg(*[F.sum(F.when(F.col("language") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(tops))])
+        .agg(*[count(i).alias(f"n{i}") for i in range(len(labels))])
     )
     counted = stored(counted, "words")
-    log_p = np.full((pieces.size, len(tops)), -np.log(pieces.size))
+    log_p = np.full((pieces.size, len(labels)), -np.log(pieces.size))
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast((pieces, log_p))
         summed = (
@@ -212,7 +229,7 @@ def fit(
         counts += smoothing
         log_p = np.log(counts / counts.sum(axis=0))
         sent.unpersist()
-    return Model(languages, np.log(totals / totals.sum()), log_p, pieces)
+    return log_p
 
 
 def _expect(batches: Iterator[pa.RecordBatch], sent):
@@ -232,6 +249,8 @@ def _expect(batches: Iterator[pa.RecordBatch], sent):
 class _Scorer:
     def __init__(self, model: Model):
         self.model = model
+        blocks = max(1, -(-len(model.languages) // 8))
+        self.kept, self.step = max(1000, WORDS_KEPT // blocks), max(100, 5000 // blocks)
         self.clear()
 
     def clear(self) -> None:
@@ -244,14 +263,14 @@ class _Scorer:
             grown = np.zeros((2 * (at + len(words)), self.table.shape[1]))
             grown[:at] = self.table[:at]
             self.table = grown
-        for i in range(0, len(words), 5000):
-            part = words[i : i + 5000]
+        for i in range(0, len(words), self.step):
+            part = words[i : i + self.step]
             self.table[at + i : at + i + len(part)] = word_scores(part, self.model.pieces, self.model.log_p)
         self.rows.update(zip(words, range(at, at + len(words))))
 
     def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
         model = self.model
-        if len(self.rows) > WORDS_KEPT:
+        if len(self.rows) > self.kept:
             self.clear()
         split = [t.split() if _LETTER.search(t) and model.languages else [] for t in texts]
         self.add(list(set(chain.from_iterable(split)).difference(self.rows)))

@@ -22,42 +22,79 @@ KINDS = {
 ADDED = "owned"
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value), with the value worked out once however often the body looks at it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _sums(values: Column) -> Column:
+    """Running sums. Lists grow by copies, so the work grows with the square of the length."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+
+    def step(state: Column, x: Column) -> Column:
+        at = state["at"] + x
+        return F.struct(at.alias("at"), F.concat(state["all"], F.array(at)).alias("all"))
+
+    return F.aggregate(values, start, step, lambda state: state["all"])
+
+
+def running(values: Column) -> Column:
+    """Running sums of an array of int, as array<int>.
+
+    The array is cut into about as many slices as a slice has values; sums inside slices and sums of
+    slices are short lists, so n values take about n to the power of 1.5 copies.
+    """
+
+    def sliced(v: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(v))), F.lit(1)).cast("int")
+        firsts = F.sequence(F.lit(1), F.size(v), width)
+        return F.transform(firsts, lambda first: _sums(F.slice(v, first, width)))
+
+    def joined(inner: Column) -> Column:
+        lasts = _sums(F.transform(inner, lambda x: F.element_at(x, -1)))
+        before = F.concat(F.array(F.lit(0)), lasts)
+        return _bound(
+            before,
+            lambda b: F.flatten(F.transform(inner, lambda x, i: F.transform(x, lambda y: y + b[i]))),
+        )
+
+    none = F.array().cast("array<int>")
+    return _bound(values, lambda v: F.when(F.size(v) > 0, _bound(sliced(v), joined)).otherwise(none))
+
+
 def _spans(text: Column, kind: str) -> Column:
     """Array of (start, kind, end, value, value_end) of one kind.
 
-    Text between matches and the matches themselves alternate, so their lengths give all places.
-    The places are summed up inside one row: work grows with the square of the matches of one text.
+    Text between matches and the matches themselves alternate, so running sums of their lengths give
+    all places.
     """
     pattern, group, least = KINDS[kind]
     rank = list(KINDS).index(kind)
     gaps = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    parts = F.arrays_zip(gaps.alias("gap"), whole.alias("hit"), values.alias("value"))
-    empty = F.struct(
-        F.lit(0).alias("at"),
-        F.array().cast("array<struct<start:int,kind:int,end:int,value:string,value_end:int>>").alias("found"),
-    )
 
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + F.length(part["gap"])
-        end = start + F.length(part["hit"])
-        one = F.struct(
-            start.alias("start"),
-            F.lit(rank).alias("kind"),
-            end.alias("end"),
-            part["value"].alias("value"),
-            end.alias("value_end"),
+    def placed(hits: Column) -> Column:
+        # one more gap than matches: its length has no partner and goes
+        steps = F.zip_with(gaps, hits, lambda gap, hit: F.length(gap) + F.length(hit))
+        sized = F.zip_with(
+            hits, values, lambda hit, value: F.struct(F.length(hit).alias("n"), value.alias("value"))
         )
-        more = F.concat(state["found"], F.array(one))
-        return F.struct(
-            F.coalesce(end, start).alias("at"),
-            F.when(F.length(part["value"]) >= least, more).otherwise(state["found"]).alias("found"),
+        every = F.zip_with(
+            running(F.filter(steps, lambda x: x.isNotNull())),
+            sized,
+            lambda end, x: F.struct(
+                (end - x["n"]).alias("start"),
+                F.lit(rank).alias("kind"),
+                end.alias("end"),
+                x["value"].alias("value"),
+                end.alias("value_end"),
+            ),
         )
+        return F.filter(every, lambda x: F.length(x["value"]) >= least)
 
-    found = F.aggregate(parts, empty, step, lambda state: state["found"])
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string,value_end:int>>")
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    return F.when(text.rlike(pattern), _bound(whole, placed)).otherwise(none)
 
 
 def base_spans(
@@ -120,12 +157,14 @@ def scan(
     owner: str = "source",
     repository: str = "doc_id",
     max_owners: int = 1,
+    max_repositories: int = 10,
 ) -> DataFrame:
     """Per row: (doc_id, base, owned), spans as arrays of structs.
 
     `owned` repeats the value of each base span whose value looks live and is found with at most
-    `max_owners` owners in the whole corpus; values copied between owners are examples and are not
-    repeated. Offsets are code points, ends exclusive.
+    `max_owners` owners and in at most `max_repositories` repositories of the whole corpus. Values copied
+    between owners, or through many repositories of one owner, are examples and are not repeated.
+    Offsets are code points, ends exclusive.
 
     Null or empty text: no spans. A null owner is an owner of its own. Rows that repeat in full count
     once per repetition in n_spans and give equal results. An empty table gives no rows.
@@ -133,7 +172,7 @@ def scan(
     base = stored(base_spans(docs, doc_id, text, owner, repository), "secrets")
     owned = (
         ownership(base)
-        .where(F.col("live") & (F.col("n_owners") <= max_owners))
+        .where(F.col("live") & (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
         .select("value_hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
     salt = F.pmod(F.xxhash64("_id", "_h"), F.lit(SALTS)).cast("int")

@@ -24,6 +24,9 @@ from panelwake.llm.common import only, query, stored, table
 BLOCK = 2048
 QUERY_BLOCK = 4096
 SLACK = 1e-6  # relative; distances are floating point, scores are exact integers
+#: Largest square length of a vector times 1024. No inner product of two such vectors, nor a part of its
+#: sum, passes the square length of the longer one, so all scores are exact in 64 bits.
+LONGEST = 2.0**61
 
 
 @dataclass
@@ -33,15 +36,29 @@ class Plan:
     pivots: dict[int, np.ndarray]
     longest: dict[int, int]
     step: dict[int, float]
-    cells: dict[int, np.ndarray] | None = None  # rows: cell number, pivot, least and most distance, size
+    cells: dict[int, np.ndarray] | None = None  # rows: cell number, pivot, least and most distance, size, blocks
 
 
-def scaled(vector: Column) -> Column:
-    """floor(1024 x) per component, as long; null for vectors that take no part."""
-    good = F.forall(
+def _square(vector: Column) -> Column:
+    return F.aggregate(vector, F.lit(0.0), lambda s, x: s + F.pow(x.cast("double") * 1024, F.lit(2.0)))
+
+
+def _finite(vector: Column) -> Column:
+    return F.forall(
         vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
     )
-    return F.when(good, F.transform(vector, lambda x: F.floor(x.cast("double") * 1024)))
+
+
+def scaled(vector: Column) -> Column:
+    """floor(1024 x) per component, as long; null for vectors that take no part."""
+    short = F.when(_finite(vector), _square(vector) <= LONGEST)
+    return F.when(short, F.transform(vector, lambda x: F.floor(x.cast("double") * 1024)))
+
+
+def out_of_range(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(vec_id) of the finite vectors longer than about 1.48 million: their scores may not fit 64 bits."""
+    rows = only(vectors, vec_id=vec_id, v=vector)
+    return rows.where(F.when(_finite(F.col("v")), _square(F.col("v")) > LONGEST)).select("vec_id")
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -95,14 +112,15 @@ def build(
     be from those before it; the sample only places pivots, all vectors are indexed. Vectors of
     different lengths do not meet. Crowded cells are cut into blocks by a hash of the id, so equal
     vectors spread as well. Vectors that are null, empty or hold null or non-finite components, and
-    rows without id, take no part.
+    rows without id, take no part; nor do vectors too long for scores of 64 bits, which `out_of_range`
+    lists.
     """
     spark = vectors.sparkSession
     rows = only(vectors, vec_id=vec_id, v=vector).select(
         F.col("vec_id").cast("long").alias("vec_id"), scaled(F.col("v")).alias("v")
     )
     rows = rows.where("vec_id is not null and size(v) > 0").withColumn("dim", F.size("v"))
-    square = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x)
+    square = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x)  # within 2**62
     longest = {r["dim"]: r["top"] for r in rows.groupBy("dim").agg(F.max(square).alias("top")).collect()}
     drawn: dict[int, list] = {}
     for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect():
@@ -129,7 +147,8 @@ def build(
     )
     plan.cells = {}
     for i, c in enumerate(cells):
-        plan.cells.setdefault(c["dim"], []).append((i, c["pivot"], c["least"], c["most"], c["n"]))
+        row = (i, c["pivot"], c["least"], c["most"], c["n"], -(-c["n"] // BLOCK))
+        plan.cells.setdefault(c["dim"], []).append(row)
     plan.cells = {d: np.array(x, float) for d, x in plan.cells.items()}
     numbered = spark.createDataFrame(
         [(c["dim"], c["pivot"], c["ring"], i, -(-c["n"] // BLOCK)) for i, c in enumerate(cells)],
@@ -143,7 +162,7 @@ def build(
 def _visit_batches(batches: Iterator[pa.RecordBatch], sent, k: int, wave: int):
     plan = sent.value
     for batch in batches:
-        names = ["query_id", "v", "cell", "blocks"]
+        names = ["query_id", "cell", "blocks"]
         dims, picked, cells, blocks = batch.column("dim").to_numpy(), [], [], []
         known = batch.column("floor").to_numpy(zero_copy_only=False)
         for dim in np.unique(dims).tolist():
@@ -168,11 +187,11 @@ def _visit_batches(batches: Iterator[pa.RecordBatch], sent, k: int, wave: int):
                         take = take[least[i][take] <= reach + slack]
                 picked += [row] * len(take)
                 cells.append(there[take, 0].astype(np.int32))
-                blocks.append(-(-there[take, 4].astype(np.int64) // BLOCK))
-        rows = batch.select(["query_id", "v"]).take(pa.array(picked, pa.int64()))
+                blocks.append(there[take, 5].astype(np.int64))
+        asking = batch.column("query_id").take(pa.array(picked, pa.int64()))
         flat = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
         yield pa.RecordBatch.from_arrays(
-            [*rows.columns, flat(cells, pa.int32()), flat(blocks, pa.int64())], names=names
+            [asking, flat(cells, pa.int32()), flat(blocks, pa.int64())], names=names
         )
 
 
@@ -228,23 +247,23 @@ def search(
     parts = max(1, -(-queries.count() // QUERY_BLOCK))
     sent = spark.sparkContext.broadcast(plan)
     share = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
-    vectors = index.select("cell", "block", "dim", "vec_id", "v", every)
     keys = ["cell", "block", "part"]
 
     def found(asked: DataFrame, wave: int) -> DataFrame:
-        schema = "query_id long, v array<long>, cell int, blocks long"
-        asked_cells = asked.select("query_id", "v", "dim", "floor").mapInArrow(
-            lambda b: _visit_batches(b, sent, k, wave), schema
+        visits = asked.select("query_id", "v", "dim", "floor").mapInArrow(
+            lambda b: _visit_batches(b, sent, k, wave), "query_id long, cell int, blocks long"
         )
-        spread = asked_cells.join(asked.select("query_id", "floor"), "query_id").select(
+        visits = stored(visits, "visits").select(
             "query_id",
-            "v",
-            "floor",
             "cell",
             F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"),
             share.alias("part"),
         )
+        # a vector travels once per part of the queries that visits its cell, to no other
+        vectors = index.select("cell", "block", "vec_id", "v", "dim").join(
+            visits.select(*keys).distinct().toDF(*keys), ["cell", "block"]
+        )
+        spread = visits.join(asked.select("query_id", "v", "floor"), "query_id")
         return (
             vectors.groupBy(*keys)
             .cogroup(spread.groupBy(*keys))

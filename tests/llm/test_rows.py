@@ -83,6 +83,30 @@ def test_secrets_equal_python(make):
     assert secrets.scan(make([])).collect() == []
 
 
+def test_many_repositories_of_one_owner_make_an_example(make):
+    rare, copied = "Qw8Er5Ty2Ui9Op3A", "Zx9Kq2Lm8Wv4Bn6T"
+    docs = [(i, f"token={copied} and more", "en", "hot") for i in range(40)]
+    docs += [(100 + i, f"token={rare}", "en", "hot") for i in range(10)]
+    owned = {r["doc_id"]: len(r["owned"]) for r in secrets.scan(make(docs)).collect()}
+    assert all(owned[i] == 0 for i in range(40)) and all(owned[100 + i] == 1 for i in range(10))
+    wide = secrets.scan(make(docs), max_repositories=40).collect()
+    assert all(len(r["owned"]) == 1 for r in wide)
+
+
+def test_running_sums(lake):
+    lists = [[], [5], [1, 2], list(range(17)), [3] * 1000]
+    rows = lake.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<int>")
+    for r in rows.select("i", secrets.running(F.col("x")).alias("y")).collect():
+        assert r["y"] == np.cumsum(lists[r["i"]]).tolist()
+    assert rows.select(secrets.running(F.lit(None).cast("array<int>")).alias("y")).first()["y"] in (None, [])
+
+
+def test_secrets_of_a_text_with_many_matches(make):
+    text = " ".join(f"é token=Ab{i:07d}z" for i in range(20_000))
+    row = secrets.scan(make([(1, text, "en", "a")])).first()
+    assert [(s["start"], s["kind"], s["end"]) for s in row["base"]] == base_spans(text)
+
+
 def test_vector_search_equals_brute_force(lake):
     r = np.random.default_rng(1)
     vectors = [(i, (r.normal(size=8) * r.choice([0.1, 1, 5])).tolist()) for i in range(700)]
@@ -104,6 +128,44 @@ def test_vector_search_equals_brute_force(lake):
     assert none.collect() == []
 
 
+def plain_search(whole, k):
+    found = {}
+    for q in (i for i in whole if i % 100 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)
+        found[q] = [(n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
+    return found
+
+
+def test_queries_in_several_parts_and_crowded_cells(lake, monkeypatch):
+    monkeypatch.setattr(vector_search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(vector_search, "BLOCK", 16)
+    r = np.random.default_rng(3)
+    vectors = {i: (r.normal(size=4) * r.choice([1, 3])).tolist() for i in range(900)}
+    df = lake.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    index, plan = vector_search.build(df, pivots=6)
+    asked = index.where("vec_id % 100 = 0").selectExpr("vec_id as query_id", "v", "dim")
+    got = {}
+    for x in vector_search.search(index, plan, asked, 5).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
+    whole = {i: [int(np.floor(1024 * x)) for x in v] for i, v in vectors.items()}
+    assert {q: sorted(x) for q, x in got.items()} == plain_search(whole, 5)
+
+
+def test_long_vectors_have_exact_scores_or_are_listed(lake):
+    vectors = {0: [1.0e6, 1.0e6], 1: [1.0e6, 0.5], 2: [-1.0e6, 1.0e6], 3: [0.5, 0.25], 100: [1e6, -1e6]}
+    far = {4: [3e20, 0.0], 5: [1e300, 1e300], 200: [-1.5e6, 0.0]}
+    rows = [*vectors.items(), *far.items(), (6, [float("inf"), 0.0]), (7, None)]
+    df = lake.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index, plan = vector_search.build(df, pivots=3)
+    asked = index.where("vec_id % 100 = 0").selectExpr("vec_id as query_id", "v", "dim")
+    got = {}
+    for x in vector_search.search(index, plan, asked, 10).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
+    whole = {i: [int(np.floor(1024 * x)) for x in v] for i, v in vectors.items()}
+    assert {q: sorted(x) for q, x in got.items()} == plain_search(whole, 10)
+    assert {r["vec_id"] for r in vector_search.out_of_range(df).collect()} == set(far)
+
+
 def test_far_annuli_are_not_visited(lake):
     r = np.random.default_rng(2)
     rows = [(i, (np.array([100.0 * (i % 5), 300.0 - 100 * (i % 5)]) + r.normal(size=2) * 0.01).tolist()) for i in range(2000)]

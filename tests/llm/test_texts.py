@@ -172,6 +172,19 @@ def test_language_edges(make):
     assert language.predict(docs.limit(0), model).collect() == []
 
 
+def test_every_label_is_learned(make, monkeypatch):
+    monkeypatch.setattr(language, "TOGETHER", 16)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = lambda i: " ".join(3 * [f"{letters[i % 26] * 3}{letters[i // 26] * 4}q"])
+    docs = make([(i, own(i), f"l{i:02d}") for i in range(70)])
+    model = language.fit(docs, rounds=2)
+    assert model.languages == [f"l{i:02d}" for i in range(70)] and model.log_p.shape[1] == 70
+    rows = language.predict(docs, model, names=("found", "sure")).collect()
+    assert sum(r["found"] == r["lang"] for r in rows) >= 68
+    alone = language.fit(docs.where("lang = 'l20'"), rounds=2)
+    np.testing.assert_allclose(model.log_p[:, 20], alone.log_p[:, 0])
+
+
 def test_digest_of_no_text(make):
     row = bpe.digests(bpe.decode(bpe.encode(make([(1, None)])))).first()
     assert row["n_tokens"] == 0 and row["ids_sha256"] == hashlib.sha256(b"").hexdigest()
