@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwake.plans import standins as st
 from panelwake.plans.registry import query
+from panelwake.session import scratch_path
 from panelwake.streaming import feeds
 
 
@@ -61,3 +62,102 @@ def stream_assoc(spark, folder):
         F.sum(F.when(F.col("events") == 0, n).otherwise(0)).alias("silent"),
         late,
     )
+
+
+REPORT_DAYS = 60  # returned rows are reported this much later than they are shipped
+DELAY_DAYS = 30
+REPORTED = f"CASE WHEN l_returnflag = 'R' THEN l_shipdate + INTERVAL {REPORT_DAYS} DAYS ELSE l_shipdate END"
+
+
+def landings(rows: DataFrame, period: str, label: str):
+    """Lands the rows of one period after another in one folder; yields the folder after each.
+
+    Periods are calendar years, so there are as many as the table has years. The table is read once.
+    """
+    spark = rows.sparkSession
+    parted, feed = scratch_path(spark, f"{label}-parts"), scratch_path(spark, f"{label}-feed")
+    rows.write.partitionBy(period).parquet(parted)
+    whole = spark.read.schema(rows.schema).parquet(parted)
+    for p in sorted(r[period] for r in whole.select(period).distinct().collect()):
+        whole.where(F.col(period) == p).drop(period).write.mode("append").parquet(feed)
+        yield feed
+
+
+@query(
+    "stream_ingest_batches",
+    f"""WITH li AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_returnflag, {REPORTED} AS reported FROM lineitem),
+sent AS (SELECT *, year(reported) AS period FROM li UNION ALL SELECT *, year(reported) + 1 FROM li WHERE month(reported) = 12),
+top AS (SELECT period, row_number() OVER (ORDER BY period) - 1 AS batch, max(max(l_shipdate)) OVER (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM sent GROUP BY period),
+judged AS (SELECT s.*, batch, coalesce(l_shipdate <= mark - INTERVAL {DELAY_DAYS} DAYS, false) AS is_late FROM sent s JOIN top USING (period)),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_returnflag, is_late ORDER BY batch) AS nth FROM judged)
+SELECT batch, CAST(count(*) AS BIGINT) AS landed, CAST(count(*) FILTER (NOT is_late AND nth = 1) AS BIGINT) AS taken, CAST(count(*) FILTER (NOT is_late AND nth > 1) AS BIGINT) AS repeated, CAST(count(*) FILTER (is_late) AS BIGINT) AS late_rows, min(CASE WHEN is_late THEN l_shipdate END)::DATE AS oldest_late FROM firsts GROUP BY batch""",
+)
+def stream_ingest_batches(spark, folder):
+    """Yearly deliveries, each with the last month of the one before again, taken in one after another:
+    rows taken, repeated and late per batch, and the oldest late row, from the side table."""
+    key = [*st.ROW_ID, "l_returnflag"]
+    once = st.lineitem(spark, folder).select(*key).distinct().withColumn("reported", F.expr(REPORTED))
+    year = F.year("reported")
+    periods = F.when(F.month("reported") == 12, F.array(year, year + 1)).otherwise(F.array(year))
+    sent = once.withColumn("period", F.explode(periods)).drop("reported")
+    intake = feeds.Intake(scratch_path(spark, "intake"), "ts", key, DELAY_DAYS)
+    for feed in landings(sent, "period", "deliveries"):
+        rows = feeds.file_stream(spark, feed, sent.drop("period").schema)
+        rows = rows.withColumn("ts", feeds.event_time(F.col("l_shipdate")))
+        intake.run(rows)
+    late = intake.late(spark, rows.schema).groupBy("batch").agg(F.min(feeds.event_day(F.col("ts"))).alias("oldest_late"))
+    return (
+        intake.marks(spark)
+        .join(late, "batch", "left")
+        .select(
+            "batch",
+            F.col("rows").alias("landed"),
+            "taken",
+            (F.col("rows") - F.col("taken") - F.col("late")).alias("repeated"),
+            F.col("late").alias("late_rows"),
+            "oldest_late",
+        )
+    )
+
+
+@query(
+    "stream_assoc_batches",
+    st.with_base(
+        """,
+z AS (SELECT max(d) - 7 AS settled, count(DISTINCT (year(d) - 1995) // 2) AS batches FROM li WHERE l_returnflag IN ('R', 'N')),
+c AS (SELECT i.rid, i.d, count(e.rid) AS n FROM inc i LEFT JOIN evt e ON e.key = i.key AND e.d BETWEEN i.d - 30 AND i.d, z WHERE i.d <= settled GROUP BY i.rid, i.d)
+SELECT CAST(year(d) AS INTEGER) AS year, CAST(count(*) AS BIGINT) AS incidents, CAST(sum(n) AS BIGINT) AS pairs, CAST(count(*) FILTER (n = 0) AS BIGINT) AS silent, (SELECT batches FROM z) AS batches FROM c GROUP BY 1"""
+    ),
+)
+def stream_assoc_batches(spark, folder):
+    """The same association over landings of two years each, one run per landing under one state: what a
+    run keeps is bounded by the look-back and the delay, and the results equal those of one batch."""
+    rows = st.lineitem(spark, folder).where(F.col("l_returnflag").isin("R", "N"))
+    rows = rows.select("l_partkey", "l_shipdate", "l_returnflag")
+    rows = rows.withColumn("period", F.floor((F.year("l_shipdate") - 1995) / 2).cast("int"))
+    out, state = scratch_path(spark, "assoc-out"), scratch_path(spark, "assoc-state")
+    batches = 0
+    for feed in landings(rows, "period", "ships"):
+        stream = feeds.file_stream(spark, feed, rows.drop("period").schema)
+        stream = stream.withColumn("ts", feeds.event_time(F.col("l_shipdate"))).withColumnRenamed("l_partkey", "key")
+        side = lambda flag: stream.where(F.col("l_returnflag") == flag).select("key", "ts")
+        found = feeds.associate(side("R"), side("N"), "key", "ts", 30)
+        run = feeds.advance(found, out, state)
+        batches += sum(p["numInputRows"] > 0 for p in run.recentProgress)
+        if feeds.dropped_late(run):
+            raise ValueError("landings are in order of time, and still rows were late")
+    last = rows.agg(F.date_sub(F.to_date(F.max("l_shipdate")), SETTLED).alias("d"))
+    per_day = (
+        spark.read.schema(found.schema)
+        .parquet(out)
+        .where(F.col("day") <= last.scalar())
+        .groupBy("key", "day")
+        .agg(F.max("incidents").alias("incidents"), F.sum("events").alias("events"))
+    )
+    n = F.col("incidents")
+    return per_day.groupBy(F.year("day").alias("year")).agg(
+        F.sum(n).alias("incidents"),
+        F.sum(n * F.col("events")).alias("pairs"),
+        F.sum(F.when(F.col("events") == 0, n).otherwise(0)).alias("silent"),
+        F.lit(batches).cast("long").alias("batches"),
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from panelwake.functions.calendar import epoch_micros
+from panelwake.operators.dedupe import keep_first
 from panelwake.session import scratch_path
 
 
@@ -73,14 +74,12 @@ def associate(
     )
 
 
-def drain(stream: DataFrame, label: str) -> tuple[DataFrame, StreamingQuery]:
-    """Process everything that is there now; what was written, and the query for its late rows.
+def advance(stream: DataFrame, out: str, state: str) -> StreamingQuery:
+    """Process what has landed since the last run under the same state, and add the results to `out`.
 
     State is kept outside the heap, so it may outgrow an executor's memory.
     """
-    spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    out, state = scratch_path(spark, f"{label}-out"), scratch_path(spark, f"{label}-state")
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     query = (
         stream.writeStream.format("parquet")
         .option("path", out)
@@ -90,9 +89,95 @@ def drain(stream: DataFrame, label: str) -> tuple[DataFrame, StreamingQuery]:
         .start()
     )
     query.awaitTermination()
+    return query
+
+
+def drain(stream: DataFrame, label: str) -> tuple[DataFrame, StreamingQuery]:
+    """Process everything that is there now; what was written, and the query for its late rows."""
+    spark = stream.sparkSession
+    out, state = scratch_path(spark, f"{label}-out"), scratch_path(spark, f"{label}-state")
+    query = advance(stream, out, state)
     return spark.read.schema(stream.schema).parquet(out), query
 
 
+class Intake:
+    """Incremental ingest that keeps what it refuses.
+
+    Under `home`, one folder a batch: `taken` has the first row of each key, `late` the rows behind the
+    mark of the batches before (with that limit), `marks` the batch's latest event time and its counts.
+    A batch only reads what earlier batches wrote and replaces its own folders, so one that is run again
+    after a failure, even half written, leaves the same result. Repeated keys are looked for among taken
+    rows that are not yet behind the mark: what a batch reads back is bounded by the delay.
+
+    NULL event times are never late and are taken once per key; NULL keys are keys.
+    """
+
+    TAKEN, LATE, MARKS = "taken", "late", "marks"
+    MARK = "latest timestamp, rows long, taken long, late long"
+
+    def __init__(self, home: str, ts: str, key: list[str], delay_days: int):
+        self.home, self.ts, self.key, self.delay = home.rstrip("/"), ts, key, delay_days
+
+    def run(self, stream: DataFrame) -> StreamingQuery:
+        """One run over what has landed since the last one."""
+        query = (
+            stream.writeStream.foreachBatch(self.take)
+            .option("checkpointLocation", f"{self.home}/state")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+        return query
+
+    def take(self, rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        # the rows come by a source that may be read again; they are read for the split and for the mark
+        limit = F.lit(None).cast("timestamp")
+        seen = None
+        if batch > 0:
+            before = self.marks(spark).where(F.col("batch") < batch).agg(F.max("latest").alias("m")).first()["m"]
+            if before is not None:
+                limit = F.lit(before) - F.make_dt_interval(F.lit(self.delay))
+            near = F.col(self.ts).isNull() | F.coalesce(F.col(self.ts) > limit, F.lit(True))
+            seen = self.taken(spark, rows.schema).where((F.col("batch") < batch) & near)
+        behind = F.coalesce(F.col(self.ts) <= limit, F.lit(False))
+        late = rows.where(behind).withColumn("limit", limit)
+        fresh = keep_first(rows.where(~behind), self.key, [F.col(self.ts), F.xxhash64(*rows.columns)])
+        if seen is not None:
+            known = seen.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(self.key)])
+            same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(self.key)]
+            fresh = fresh.join(known, same, "left_anti")
+        self._put(fresh, self.TAKEN, batch)
+        self._put(late, self.LATE, batch)
+        n = lambda name, schema: F.lit(
+            spark.read.schema(schema).parquet(self._at(name, batch)).count()
+        ).cast("long")
+        mark = rows.agg(F.max(self.ts).cast("timestamp").alias("latest"), F.count("*").alias("rows"))
+        counts = mark.select("latest", "rows", n(self.TAKEN, fresh.schema).alias("taken"), n(self.LATE, late.schema).alias("late"))
+        self._put(counts, self.MARKS, batch)
+
+    def _at(self, name: str, batch: int) -> str:
+        return f"{self.home}/{name}/batch={batch}"
+
+    def _put(self, df: DataFrame, name: str, batch: int) -> None:
+        df.write.mode("overwrite").parquet(self._at(name, batch))
+
+    def _read(self, spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
+        return spark.read.schema(schema.add("batch", "long")).parquet(f"{self.home}/{name}")
+
+    def taken(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
+        """Rows taken, with their batch."""
+        return self._read(spark, self.TAKEN, T.StructType(list(schema.fields)))
+
+    def late(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
+        """Rows refused as late, with the limit they missed and their batch."""
+        return self._read(spark, self.LATE, T.StructType([*schema.fields, T.StructField("limit", T.TimestampType())]))
+
+    def marks(self, spark: SparkSession) -> DataFrame:
+        """Per batch: latest event time, rows seen, taken and late; the rest were repeated keys."""
+        return self._read(spark, self.MARKS, T.StructType.fromDDL(self.MARK))
+
+
 def dropped_late(query: StreamingQuery) -> int:
     """Rows the watermark refused over all batches still in the progress log."""
     return sum(

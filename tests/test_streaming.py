@@ -73,6 +73,59 @@ def test_late_rows_of_several_batches_are_counted(spark, tmp_path):
     assert out.count() + feeds.dropped_late(query) == 5 and feeds.dropped_late(query) >= 1
 
 
+def test_intake_keeps_late_rows_and_runs_again(spark, tmp_path):
+    t = lambda d: dt.datetime(2024, 1, d)
+    schema = "k int, ts timestamp, v string"
+    batches = [
+        [(1, t(10), "a"), (2, t(11), "a"), (2, t(11), "a"), (None, t(11), "a"), (9, None, "a")],
+        [(2, t(11), "b"), (3, t(2), "b"), (4, t(30), "b"), (None, t(11), "b"), (9, None, "b")],
+        [(5, t(26), "c"), (6, t(25), "c"), (4, t(30), "c")],
+        [(7, t(31), "d")],
+    ]
+    from panelwake.streaming.feeds import Intake
+
+    intake = Intake(str(tmp_path / "home"), "ts", ["k", "ts"], 5)
+    frames = [spark.createDataFrame(b, schema) for b in batches]
+    state = lambda: (
+        sorted((r["batch"], str(r["k"]), r["v"]) for r in intake.taken(spark, frames[0].schema).collect()),
+        sorted((r["batch"], r["k"], r["limit"]) for r in intake.late(spark, frames[0].schema).collect()),
+        sorted((r["batch"], r["rows"], r["taken"], r["late"]) for r in intake.marks(spark).collect()),
+    )
+    for i, frame in enumerate(frames):
+        intake.take(frame, i)
+    taken, late, marks = state()
+    assert taken == [(0, "1", "a"), (0, "2", "a"), (0, "9", "a"), (0, "None", "a"), (1, "4", "b"), (2, "5", "c"), (3, "7", "d")]
+    assert late == [(1, 3, t(6)), (2, 6, t(25))]
+    assert marks == [(0, 5, 4, 0), (1, 5, 1, 1), (2, 3, 1, 1), (3, 1, 1, 0)]
+    intake.take(frames[1], 1)  # a batch that failed is run again
+    intake.take(frames[3], 3)
+    assert state() == (taken, late, marks)
+    intake.take(spark.createDataFrame([], schema), 4)  # nothing landed
+    assert state()[0] == taken
+
+
+def test_intake_resumes_where_it_stopped(spark, tmp_path):
+    from panelwake.streaming.feeds import Intake
+
+    t = lambda d: dt.datetime(2024, 1, d)
+    intake = Intake(str(tmp_path / "home"), "ts", ["k"], 2)
+    for rows in ([(1, t(1))], [(2, t(20)), (1, t(1))], [(3, t(2)), (4, t(21))]):
+        spark.createDataFrame(rows, "k int, ts timestamp").write.mode("append").parquet(str(tmp_path / "in"))
+        stream = feeds.file_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+        intake.run(stream)
+        intake.run(stream)  # nothing new
+    marks = sorted((r["batch"], r["rows"], r["taken"], r["late"]) for r in intake.marks(spark).collect())
+    assert marks == [(0, 1, 1, 0), (1, 2, 1, 0), (2, 2, 1, 1)]
+
+
+def test_landings_are_several_batches_with_late_rows(spark, folder):
+    from panelwake.plans import stream_queries
+
+    rows = sorted(stream_queries.stream_ingest_batches(spark, folder).collect())
+    assert len(rows) >= 3 and sum(r["late_rows"] for r in rows) > 0 and sum(r["repeated"] for r in rows) > 0
+    assert stream_queries.stream_assoc_batches(spark, folder).first()["batches"] >= 3
+
+
 def test_keep_first_limits_rows_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
     out = dedupe.keep_first(df, ["k"], [F.desc("id")])
