@@ -124,7 +124,7 @@ def stream_ingest_batches(spark, folder):
     "stream_assoc_batches",
     st.with_base(
         """,
-z AS (SELECT max(d) - 7 AS settled, count(DISTINCT (year(d) - 1995) // 2) AS batches FROM li WHERE l_returnflag IN ('R', 'N')),
+z AS (SELECT max(d) - 7 AS settled, count(DISTINCT (year(d) - 1995) // 2) AS batches FROM (SELECT d FROM inc UNION ALL SELECT d FROM evt)),
 c AS (SELECT i.rid, i.d, count(e.rid) AS n FROM inc i LEFT JOIN evt e ON e.key = i.key AND e.d BETWEEN i.d - 30 AND i.d, z WHERE i.d <= settled GROUP BY i.rid, i.d)
 SELECT CAST(year(d) AS INTEGER) AS year, CAST(count(*) AS BIGINT) AS incidents, CAST(sum(n) AS BIGINT) AS pairs, CAST(count(*) FILTER (n = 0) AS BIGINT) AS silent, (SELECT batches FROM z) AS batches FROM c GROUP BY 1"""
     ),
